@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, token_counts
+from . import byte_bpe, packing, simhash, token_counts
 
 
 def queries() -> dict:
     return {
+        "op1_best_fit_packing": packing.op1_best_fit_packing,
+        "op6_simhash": simhash.op6_simhash,
         "op7_token_counts": token_counts.op7_token_counts,
         "op9_byte_bpe": byte_bpe.op9_byte_bpe,
     }

@@ -76,10 +76,11 @@ def connected_components(edges: DataFrame, name: str = "components", max_rounds:
     before = None
     for _ in range(max_rounds):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        # written, so that the join below has an exchange of its own on either side, which can be split
+        least = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), name)
+        large = materialize(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), name)
         # small star: every edge now points from the larger to the smaller end
-        small_least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small_least = materialize(large.groupBy("a").agg(F.min("b").alias("m")), name)
         small = large.join(small_least, "a").select(F.col("b").alias("x"), "a", "m")
         edges = materialize(
             small.select(F.col("x").alias("a"), F.col("m").alias("b"))

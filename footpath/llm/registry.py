@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, packing, simhash, token_counts
+from . import byte_bpe, packing, simhash, substring_dedup, threshold_search, token_counts, vantage_point
 
 
 def queries() -> dict:
     return {
         "op1_best_fit_packing": packing.op1_best_fit_packing,
+        "op2_threshold_search": threshold_search.op2_threshold_search,
+        "op5_vantage_point": vantage_point.op5_vantage_point,
         "op6_simhash": simhash.op6_simhash,
         "op7_token_counts": token_counts.op7_token_counts,
+        "op8_substring_dedup": substring_dedup.op8_substring_dedup,
         "op9_byte_bpe": byte_bpe.op9_byte_bpe,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_threshold_search": threshold_search.ORACLE}

@@ -149,8 +149,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, max_bits: int = 3, blocks:
     rows = materialize(fingerprints(docs, words, id_col, text_col), "fingerprints")
     classes = materialize(rows.groupBy("fp").agg(F.min(id_col).alias("first")), "classes")
     joined = connected_components(fingerprint_links(classes.select("fp"), max_bits, blocks, bucket), "fp-components")
-    classes = classes.join(joined, classes.fp == joined.node, "left").select("fp", "first", F.coalesce("component", "fp").alias("c"))
-    least = classes.groupBy("c").agg(F.min("first").alias("component_id"))
+    classes = materialize(classes.join(joined, classes.fp == joined.node, "left").select("fp", "first", F.coalesce("component", "fp").alias("c")), "classes")
+    least = materialize(classes.groupBy("c").agg(F.min("first").alias("component_id")), "components")
     named = classes.join(least, "c").select("fp", "component_id")
     return rows.join(named, "fp").select(id_col, "fp", "component_id")
 

@@ -155,6 +155,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, max_bits: int = 3, blocks:
     return rows.join(named, "fp").select(id_col, "fp", "component_id")
 
 
+def drop_near_duplicates(docs: DataFrame, **how) -> DataFrame:
+    """Rows of ``docs`` whose id names their component; one document of each group stays.
+
+    Rows with a null id are kept.  Rows that share an id and a component are all kept or all dropped.
+    """
+    found = near_duplicates(docs, **how).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(found, F.col("doc_id") == F.col("_gone"), "left_anti")
+
+
 def op6_simhash(spark, sf_dir: str) -> DataFrame:
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=3, max_bits=3)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

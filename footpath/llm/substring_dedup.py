@@ -232,5 +232,32 @@ def remove_repeats(docs: DataFrame, window: int = 20, seed: int = SEED_WORDS, di
     return _with_spans(docs, window, seed).mapInArrow(run, f"doc_id long, n_words long, n_removed long, {last} string")
 
 
+def without_repeats(docs: DataFrame, window: int = 20, seed: int = SEED_WORDS) -> DataFrame:
+    """``docs`` with the texts that ``remove_repeats`` leaves; other columns go along.
+
+    Null texts stay null.  Texts are replaced by id; of rows that share an id, which are judged as one place, each
+    keeps its own words.
+    """
+
+    names, at = docs.columns, docs.columns.index("text")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    spans = repeated_windows(rows.where("doc_id is not null"), window, seed).distinct()
+    spans = materialize(spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows")).alias("_spans")).withColumnRenamed("doc_id", "_span_doc"), "spans")
+
+    @F.arrow_udf("string")
+    def kept(text: pa.Array, found: pa.Array) -> pa.Array:
+        out = text.to_pylist()
+        for i, own in enumerate(found.to_pylist()):
+            if own and out[i]:
+                words = out[i].encode().split()
+                gone = covered(len(words), own, window).tolist()
+                out[i] = b" ".join([w for w, g in zip(words, gone) if not g]).decode()
+        return pa.array(out, pa.string())
+
+    joined = docs.join(spans, F.col("doc_id") == F.col("_span_doc"), "left")
+    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(kept("text", "_spans"))
+    return joined.select(*(text.alias("text") if i == at else F.col(n) for i, n in enumerate(names)))
+
+
 def op8_substring_dedup(spark, sf_dir: str) -> DataFrame:
     return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), window=20, digest=True)

@@ -1,11 +1,600 @@
-"""Queries of the reference's operators and their SQL."""
+"""Queries of the reference's operators over the star-schema tables, and their SQL.
+
+Distances are rounded to millimetres: sums and trigonometry differ in the last bits between engines.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import fixed, geo
+from ..functions.scratch import written
+from ..operators import directions, history, novelty, paths, report, snap, ways
+from ..operators.paths import Graph
+from ..sources import route_json
+from . import fixtures as fx
+
+# --- inputs ---------------------------------------------------------------------------------------
+
+
+def lattice(spark: SparkSession, d: str) -> Graph:
+    return Graph(fx.lattice_nodes(spark, d), fx.lattice_edges(spark, d))
+
+
+def street(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return fx.raw_ways(spark, d), fx.raw_nodes(spark, d)
+
+
+def walked(spark: SparkSession, d: str) -> DataFrame:
+    return history.walked_edges(fx.walk_events(spark, d))
+
+
+def request_points(spark: SparkSession, d: str) -> DataFrame:
+    """A point near each pair's source."""
+    p = fx.od_pairs(spark, d).select(F.col("qid").alias("pid"), F.col("source").alias("osm_id"))
+    return p.join(fx.lattice_nodes(spark, d), "osm_id").select("pid", (F.col("lat") + 0.0002).alias("lat"), (F.col("lon") - 0.0003).alias("lon"))
+
+
+def metres(c: str = "distance", digits: int = 3):
+    return F.round(c, digits).alias(c)
+
+
+WAYS_SQL = """
+refs as (select l_orderkey, list(l_partkey::bigint order by l_linenumber, l_partkey, l_suppkey, l_shipdate, l_quantity, l_extendedprice) as node_refs from lineitem group by l_orderkey),
+ways as (select o_orderkey::bigint as way_seq, node_refs,
+  case o_orderpriority when '1-URGENT' then 'footway' when '2-HIGH' then 'residential' when '3-MEDIUM' then 'steps' when '4-NOT SPECIFIED' then 'motorway' else '' end as highway,
+  case o_orderstatus when 'F' then 'private' when 'P' then 'no' else '' end as access,
+  case o_custkey % 4 when 0 then 'yes' when 1 then 'no' when 2 then 'designated' else '' end as foot,
+  case when o_custkey % 5 = 0 then '' else concat('Street ', o_custkey % 37) end as name
+  from orders join refs on o_orderkey = l_orderkey),
+kept as (select * from ways where highway in ('footway', 'residential', 'steps') and not (access in ('private', 'no') and foot not in ('yes', 'designated', 'permissive')) and foot <> 'no'),
+raw_nodes as (select p_partkey::bigint as osm_id, 37.10::double + ((p_partkey * 7919) % 1300) * 0.001::double as lat, -122.70::double + ((p_partkey * 104729) % 1050) * 0.001::double as lon from part),
+needed as (select distinct unnest(node_refs) as osm_id from kept),
+coords as (select * from raw_nodes where lat between 37.20::double and 38.35::double and lon between -122.65::double and -121.70::double and osm_id in (select osm_id from needed)),
+segs as (select way_seq, name, highway, i - 1 as pos, node_refs[i] as n1, node_refs[i + 1] as n2 from (select *, unnest(range(1, len(node_refs))) as i from kept))
+"""
+
+HAVERSINE_SQL = "2 * 6371000.0::double * atan2(sqrt({a}), sqrt(1 - {a}))"
+
+
+def hav(a1: str, o1: str, a2: str, o2: str) -> str:
+    a = f"(sin(radians({a2} - {a1}) / 2) * sin(radians({a2} - {a1}) / 2) + cos(radians({a1})) * cos(radians({a2})) * sin(radians({o2} - {o1}) / 2) * sin(radians({o2} - {o1}) / 2))"
+    return HAVERSINE_SQL.format(a=a)
+
+
+def bear(a1: str, o1: str, a2: str, o2: str) -> str:
+    x = f"degrees(atan2(sin(radians({o2} - {o1})) * cos(radians({a2})), cos(radians({a1})) * sin(radians({a2})) - sin(radians({a1})) * cos(radians({a2})) * cos(radians({o2} - {o1})))) + 360"
+    return f"(({x}) - 360 * floor(({x}) / 360))"
+
+
+LOCATED_SQL = f"""{WAYS_SQL},
+located as (select s.*, {hav("a.lat", "a.lon", "b.lat", "b.lon")} as weight from segs s join coords a on a.osm_id = n1 join coords b on b.osm_id = n2),
+edges as (select least(n1, n2) as u, greatest(n1, n2) as v, min(struct_pack(weight, way_seq, pos, name, highway)) as best from located group by all)
+"""
+
+LATTICE_SQL = f"""
+nodes as (select p_partkey::bigint as osm_id, 37.75::double + (p_partkey // 50) * 0.0009::double + ((p_partkey::bigint * 7919) % 97) * 0.000001::double as lat,
+  -122.45::double + (p_partkey % 50) * 0.0011::double + ((p_partkey::bigint * 104729) % 89) * 0.000001::double as lon from part),
+pairs as (select osm_id as u, osm_id + 1 as v, case when (osm_id // 50) % 7 = 3 then '' else concat('Row ', osm_id // 50) end as name, case when (osm_id // 50) % 7 = 3 then 'footway' else 'residential' end as highway from nodes where osm_id % 50 < 49
+  union all select osm_id, osm_id + 50, case when (osm_id % 50) % 5 = 2 then '' else concat('Col ', osm_id % 50) end, case when (osm_id % 50) % 5 = 2 then 'steps' else 'tertiary' end from nodes),
+e as (select p.*, {hav("a.lat", "a.lon", "b.lat", "b.lon")} as w from pairs p join nodes a on a.osm_id = u join nodes b on b.osm_id = v),
+adj as (select u, v, w, name, highway from e union all select v, u, w, name, highway from e),
+od as (select s_suppkey::bigint as qid, (s_suppkey * 37) % (select count(*) from part) as source, (s_suppkey * 101 + 50) % (select count(*) from part) as target from supplier),
+walks as (select case when user_id % 2 = 1 then a + 50 else a end as edge_start, case when user_id % 2 = 1 then a else a + 50 end as edge_end, ts as walked_at
+  from (select *, event_id % ((select count(*) from part) - 50) as a from events)),
+history as (select least(edge_start, edge_end) as edge_start, greatest(edge_start, edge_end) as edge_end, count(*) as walk_count, max(walked_at) as last_walked from walks group by 1, 2)
+"""
+
+#: Along the source's row to the target's column, then along that; corner = source's row and target's column.
+PATH_SQL = """
+corners as (select *, (source // 50) * 50 + target % 50 as corner from od),
+path_nodes as (
+  select qid, p as pos, source + sign(corner - source)::bigint * p as node from (select *, unnest(range(0, abs(corner - source) + 1)) as p from corners)
+  union all
+  select qid, abs(corner - source) + p, corner + sign(target - corner)::bigint * 50 * p from (select *, unnest(range(1, abs(target - corner) // 50 + 1)) as p from corners)),
+path_edges as (select qid, pos, node as u, lead(node) over (partition by qid order by pos) as v from path_nodes qualify v is not null)
+"""
+
+
+def least_costs(seeds: str, weight: str = "a.w", name: str = "r") -> str:
+    """Recursive relaxation that keeps one row of each (qid, id)."""
+    return f"""{name}(qid, id, dist) using key (qid, id) as (
+  select qid, {seeds}, 0.0::double from od
+  union
+  select r.qid, a.v, min(r.dist + {weight}) from {name} r join adj a on a.u = r.id left join recurring.{name} q on q.qid = r.qid and q.id = a.v
+  where q.id is null or r.dist + {weight} < q.dist - 1e-9 group by r.qid, a.v)"""
+
+
+DESCRIBED_SQL = f"""
+described as (select qid, pos, u, v, s.lat as lat1, s.lon as lon1, t.lat as lat2, t.lon as lon2, nullif(adj.name, '') as name,
+  coalesce(nullif(adj.name, ''), case adj.highway when 'footway' then 'footpath' when 'steps' then 'steps' else 'road' end) as effective_name,
+  {bear("s.lat", "s.lon", "t.lat", "t.lon")} as bearing, {hav("s.lat", "s.lon", "t.lat", "t.lon")} as metres
+  from path_edges join nodes s on s.osm_id = u join nodes t on t.osm_id = v join adj using (u, v)),
+marked as (select *, case when lag(effective_name) over (partition by qid order by pos) = effective_name then 0 else 1 end as change from described),
+islands as (select *, sum(change) over (partition by qid order by pos) - 1 as run from marked),
+runs as (select qid, run, arg_min(effective_name, pos) as effective_name, first(name order by pos) as street_name, sum(metres) as distance, arg_min(bearing, pos) as entry_bearing, arg_max(bearing, pos) as exit_bearing,
+  arg_min(lat1, pos) as start_lat, arg_min(lon1, pos) as start_lon, arg_max(lat2, pos) as end_lat, arg_max(lon2, pos) as end_lon from islands group by qid, run),
+angles as (select *, lag(exit_bearing) over (partition by qid order by run) as before, entry_bearing - before as raw from runs),
+turned as (select * exclude (before, raw), case when before is null then 0.0::double when raw > 180 then raw - 360 when raw < -180 then raw + 360 else raw end as turn_angle,
+  case when before is null then 'start' else case when abs(turn_angle) < 15 then 'straight' when abs(turn_angle) < 45 then 'slight_' || side when abs(turn_angle) < 120 then side when abs(turn_angle) < 160 then 'sharp_' || side else 'u_turn' end end as turn_direction
+  from (select *, case when (case when raw > 180 then raw - 360 when raw < -180 then raw + 360 else raw end) < 0 then 'left' else 'right' end as side from angles))
+"""
+
+# --- queries --------------------------------------------------------------------------------------
+
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def keep(f):
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return keep
+
+
+@query("ways_walkable_filter", f"with {WAYS_SQL} select way_seq, name, highway from kept")
+def _(spark, d):
+    return ways.walkable_ways(fx.raw_ways(spark, d)).select("way_seq", "name", "highway")
+
+
+@query("ways_access_matrix", f"""with {WAYS_SQL} select access, foot, count(*) as n_ways, count(*) filter (where not (access in ('private', 'no') and foot not in ('yes', 'designated', 'permissive')) and foot <> 'no') as n_open from ways group by all""")
+def _(spark, d):
+    rows = fx.raw_ways(spark, d).select(ways.tag("access").alias("access"), ways.tag("foot").alias("foot"), ways.is_open().alias("open"))
+    return rows.groupBy("access", "foot").agg(F.count("*").alias("n_ways"), F.count_if("open").alias("n_open"))
+
+
+@query("way_segments_explode", f"with {WAYS_SQL} select way_seq, pos::integer as pos, n1, n2 from segs")
+def _(spark, d):
+    return ways.segments(ways.walkable_ways(fx.raw_ways(spark, d))).select("way_seq", "pos", "n1", "n2")
+
+
+@query("needed_nodes_distinct", f"with {WAYS_SQL} select osm_id from needed")
+def _(spark, d):
+    return ways.needed_nodes(ways.walkable_ways(fx.raw_ways(spark, d)))
+
+
+@query("nodes_semi_join", f"with {WAYS_SQL} select osm_id, round(lat, 6) as lat, round(lon, 6) as lon from raw_nodes where osm_id in (select osm_id from needed)")
+def _(spark, d):
+    w, n = street(spark, d)
+    return ways.graph_nodes(n, ways.walkable_ways(w), None).select("osm_id", metres("lat", 6), metres("lon", 6))
+
+
+@query("nodes_bbox", f"with {WAYS_SQL} select osm_id, round(lat, 6) as lat, round(lon, 6) as lon from raw_nodes where lat between 37.20::double and 38.35::double and lon between -122.65::double and -121.70::double")
+def _(spark, d):
+    return fx.raw_nodes(spark, d).where(ways.inside()).select("osm_id", metres("lat", 6), metres("lon", 6))
+
+
+@query("edges_min_dedupe", f"with {LOCATED_SQL} select u, v, round(best.weight, 3) as weight from edges")
+def _(spark, d):
+    return ways.build_graph(*street(spark, d))[1].select("u", "v", metres("weight"))
+
+
+@query("edges_first_way_tiebreak", f"with {LOCATED_SQL} select u, v, best.name as name, best.highway as highway from edges")
+def _(spark, d):
+    return ways.build_graph(*street(spark, d))[1].select("u", "v", "name", "highway")
+
+
+@query("graph_nodes_connected", f"with {LOCATED_SQL} select osm_id from coords where osm_id in (select u from edges union select v from edges)")
+def _(spark, d):
+    return ways.build_graph(*street(spark, d))[0].select("osm_id")
+
+
+@query("adj_bidirectional", f"with {LATTICE_SQL} select u as src, v as dst, round(w, 3) as weight from adj")
+def _(spark, d):
+    return lattice(spark, d).adj.select("src", "dst", metres("weight"))
+
+
+@query("adjacency_slots", f"with {LATTICE_SQL} select u as src, v as dst, (row_number() over (partition by u order by v) - 1)::integer as slot from adj")
+def _(spark, d):
+    return ways.adjacency_positions(lattice(spark, d).adj).select("src", "dst", F.col("slot").cast("int").alias("slot"))
+
+
+@query("node_degree", f"with {LOCATED_SQL} select src, count(*) as degree from (select u as src from edges union all select v from edges) group by src")
+def _(spark, d):
+    return ways.degrees(ways.adjacency(ways.build_graph(*street(spark, d))[1]))
+
+
+@query("csr_offsets_prefix_sum", f"""with {LOCATED_SQL},
+ deg as (select src, count(*) as degree from (select u as src from edges union all select v from edges) group by src),
+ n as (select row_number() over (order by src) - 1 as node_idx, degree from deg)
+ select node_idx, coalesce(sum(degree) over (order by node_idx rows between unbounded preceding and 1 preceding), 0)::bigint as csr_offset from n
+ union all select count(*), sum(degree)::bigint from n""")
+def _(spark, d):
+    nodes, edges = ways.build_graph(*street(spark, d))
+    edges = written(edges, "edges")
+    ends = edges.select(F.col("u").alias("osm_id")).union(edges.select("v")).distinct()
+    return ways.csr_offsets(ends, ways.adjacency(edges))
+
+
+@query("dense_node_index", f"with {LOCATED_SQL} select osm_id, row_number() over (order by osm_id) - 1 as node_idx from needed")
+def _(spark, d):
+    return ways.dense_index(ways.needed_nodes(ways.walkable_ways(fx.raw_ways(spark, d))), "osm_id")
+
+
+@query("string_dictionary", f"with {WAYS_SQL} select value, row_number() over (order by value) - 1 as idx from (select distinct name as value from kept union select '')")
+def _(spark, d):
+    return ways.string_dictionary(ways.walkable_ways(fx.raw_ways(spark, d)), "name")
+
+
+@query("dictionary_encoded_edges", f"""with {LOCATED_SQL}, dict as (select value, row_number() over (order by value) - 1 as idx from (select distinct best.name as value from edges union select ''))
+ select u, v, idx as name_idx from edges join dict on value = best.name""")
+def _(spark, d):
+    edges = written(ways.build_graph(*street(spark, d))[1], "edges")
+    names = ways.string_dictionary(edges, "name")
+    return edges.join(names, F.coalesce("name", F.lit("")) == names.value).select("u", "v", F.col("idx").alias("name_idx"))
+
+
+@query("graph_counts", f"with {LATTICE_SQL} select (select count(*) from nodes) as n_nodes, (select count(*) from e) as n_edges, (select count(*) from adj) as n_directed")
+def _(spark, d):
+    g = lattice(spark, d)
+    e = g.edges.agg(F.count("*").alias("n_edges"))
+    return g.nodes.agg(F.count("*").alias("n_nodes")).crossJoin(e).withColumn("n_directed", F.col("n_edges") * 2)
+
+
+@query("haversine_edges", f"with {LATTICE_SQL} select u, v, round(w, 3) as metres from e")
+def _(spark, d):
+    return lattice(spark, d).edges.select("u", "v", F.round("weight", 3).alias("metres"))
+
+
+@query("bearing_compass", f"""with {LATTICE_SQL}, b as (select u, v, {bear("a.lat", "a.lon", "b.lat", "b.lon")} as bearing from adj join nodes a on a.osm_id = u join nodes b on b.osm_id = v)
+ select u, v, round(bearing, 6) as bearing, ['north', 'northeast', 'east', 'southeast', 'south', 'southwest', 'west', 'northwest'][(floor(((bearing + 22.5) - 360 * floor((bearing + 22.5) / 360)) / 45)::integer % 8) + 1] as compass from b""")
+def _(spark, d):
+    g = lattice(spark, d)
+    a = g.nodes.select(F.col("osm_id").alias("u"), F.col("lat").alias("a1"), F.col("lon").alias("o1"))
+    b = g.nodes.select(F.col("osm_id").alias("v"), F.col("lat").alias("a2"), F.col("lon").alias("o2"))
+    rows = g.adj.select(F.col("src").alias("u"), F.col("dst").alias("v")).join(a, "u").join(b, "v").withColumn("b", geo.bearing("a1", "o1", "a2", "o2"))
+    return rows.select("u", "v", F.round("b", 6).alias("bearing"), geo.compass(F.col("b")).alias("compass"))
+
+
+@query("equirectangular_projection", f"""with {LATTICE_SQL} select osm_id, round(radians(lat) * 6371000.0::double, 2) as northing, round(radians(lon) * 6371000.0::double * cos(radians((select avg(round(lat, 6)) from nodes))), 2) as easting from nodes""")
+def _(spark, d):
+    n = fx.lattice_nodes(spark, d)
+    m = n.agg(F.avg(F.round("lat", 6)).alias("m"))  # one row
+    north, east = geo.project(F.col("lat"), F.col("lon"), F.col("m"))
+    return n.crossJoin(F.broadcast(m)).select("osm_id", F.round(north, 2).alias("northing"), F.round(east, 2).alias("easting"))
+
+
+POINTS_SQL = f"with {LATTICE_SQL}, points as (select qid as pid, lat + 0.0002::double as lat, lon - 0.0003::double as lon from od join nodes on osm_id = source), near as (select pid, osm_id, {hav('p.lat', 'p.lon', 'n.lat', 'n.lon')} as metres from points p cross join nodes n), ranked as (select *, row_number() over (partition by pid order by metres, osm_id)::integer as rank from near)"
+
+
+@query("snap_nearest_knn", f"{POINTS_SQL} select pid, osm_id, round(metres, 3) as metres from ranked where rank = 1")
+def _(spark, d):
+    return snap.nearest(request_points(spark, d), fx.lattice_nodes(spark, d)).select("pid", "osm_id", metres("metres"))
+
+
+@query("snap_topk10", f"{POINTS_SQL} select pid, rank, osm_id, round(metres, 3) as metres from ranked where rank <= 10")
+def _(spark, d):
+    return snap.nearest(request_points(spark, d), fx.lattice_nodes(spark, d), k=10).select("pid", "rank", "osm_id", metres("metres"))
+
+
+@query("sssp_lattice", f"with recursive {LATTICE_SQL.replace('select s_suppkey::bigint as qid', 'select 0::bigint as qid').replace('from supplier', 'from supplier limit 1')}, {least_costs('0::bigint')} select id as node, round(dist, 3) as distance from r")
+def _(spark, d):
+    one = spark.createDataFrame([(0,)], "source long")
+    return paths.single_source(lattice(spark, d), one).select("node", F.round("cost", 3).alias("distance"))
+
+
+OD_SQL = f"with recursive {LATTICE_SQL}, {least_costs('source')}"
+
+
+@query("shortest_path_od", f"{OD_SQL} select od.qid, source, target, round(dist, 3) as distance from od join r on r.qid = od.qid and r.id = od.target")
+def _(spark, d):
+    return paths.shortest_paths(lattice(spark, d), fx.od_pairs(spark, d)).select("qid", "source", "target", metres())
+
+
+@query("path_nodes_on_shortest", f"""{OD_SQL}, {least_costs('target', name='t')},
+ best as (select od.qid, dist as d from od join r on r.qid = od.qid and r.id = od.target)
+ select r.qid, (row_number() over (partition by r.qid order by r.dist) - 1)::integer as pos, r.id as node from r join t on t.qid = r.qid and t.id = r.id join best on best.qid = r.qid where abs(r.dist + t.dist - d) < 1e-6""")
+def _(spark, d):
+    return paths.on_path_nodes(paths.shortest_paths(lattice(spark, d), fx.od_pairs(spark, d)))
+
+
+WALKED_WEIGHT = "(a.w * case when a.walked then {p} else 1.0 end)"
+PENALTY_SQL = LATTICE_SQL + ", adj_w as (select u, v, w, history.edge_start is not null as walked from adj left join history on least(u, v) = edge_start and greatest(u, v) = edge_end)"
+
+
+def penalised(p: float, seeds: str = "source", name: str = "r") -> str:
+    return least_costs(seeds, WALKED_WEIGHT.format(p=f"{p}::double"), name).replace("join adj a", "join adj_w a")
+
+
+@query("penalized_sssp_fixed", f"with recursive {PENALTY_SQL}, {penalised(3.0)} select od.qid, round(dist, 3) as cost from od join r on r.qid = od.qid and r.id = od.target")
+def _(spark, d):
+    pairs = fx.od_pairs(spark, d).withColumn("penalty", F.lit(3.0))
+    return paths.solve(lattice(spark, d), pairs, walked(spark, d)).select("qid", metres("cost"))
+
+
+@query("penalty_sweep_costs", "with recursive " + PENALTY_SQL + "".join(f", {penalised(p, name=f'r{i}')}" for i, p in enumerate(fixed.FALLBACK_PENALTIES)) + " " + " union all ".join(f"select od.qid, {p}::double as penalty, round(dist, 3) as cost from od join r{i} r on r.qid = od.qid and r.id = od.target" for i, p in enumerate(fixed.FALLBACK_PENALTIES)))
+def _(spark, d):
+    grid = F.explode(F.array(*(F.lit(p) for p in fixed.FALLBACK_PENALTIES))).alias("penalty")
+    pairs = fx.od_pairs(spark, d).select("qid", "source", "target", grid)
+    return paths.solve(lattice(spark, d), pairs, walked(spark, d)).select("qid", "penalty", metres("cost"))
+
+
+P_SQL = f"with {LATTICE_SQL}, {PATH_SQL}"
+
+
+@query("path_edge_pairs", f"{P_SQL} select qid, pos::integer as pos, u, v, least(u, v) as edge_start, greatest(u, v) as edge_end from path_edges")
+def _(spark, d):
+    return paths.path_edges(fx.corner_paths(spark, d))
+
+
+@query("path_distance", f"{P_SQL} select od.qid, round(coalesce(sum(w), 0), 3) as distance from od left join path_edges p on p.qid = od.qid left join adj on adj.u = p.u and adj.v = p.v group by od.qid")
+def _(spark, d):
+    return paths.path_distance(fx.corner_paths(spark, d), lattice(spark, d).adj).select("qid", metres())
+
+
+@query("path_coordinates", f"{P_SQL} select qid, pos::integer as pos, node as node_id, round(lat, 6) as lat, round(lon, 6) as lon from path_nodes join nodes on osm_id = node")
+def _(spark, d):
+    rows = paths.path_coordinates(fx.corner_paths(spark, d), fx.lattice_nodes(spark, d))
+    rows = rows.select("qid", F.posexplode("coordinates").alias("pos", "c"))
+    return rows.select("qid", "pos", "c.node_id", F.round("c.lat", 6).alias("lat"), F.round("c.lon", 6).alias("lon"))
+
+
+@query("edge_name_lookup", f"{P_SQL} select distinct p.u, p.v, nullif(name, '') as name, nullif(highway, '') as highway from path_edges p join adj on adj.u = p.u and adj.v = p.v")
+def _(spark, d):
+    wanted = paths.path_edges(fx.corner_paths(spark, d)).select("u", "v").distinct()
+    return paths.edge_attributes(lattice(spark, d), wanted).select("u", "v", "name", "highway")
+
+
+@query("novelty_fraction", f"{P_SQL} select od.qid, round(coalesce(avg(case when p.qid is null then null when h.edge_start is null then 1.0 else 0.0 end), 1.0), 9) as novelty from od left join path_edges p on p.qid = od.qid left join history h on h.edge_start = least(p.u, p.v) and h.edge_end = greatest(p.u, p.v) group by od.qid")
+def _(spark, d):
+    return novelty.path_novelty(fx.corner_paths(spark, d), walked(spark, d)).select("qid", metres("novelty", 9))
+
+
+@query("novel_edges_anti_join", f"{P_SQL} select qid, pos::integer as pos, u, v from path_edges p where not exists (select 1 from history h where h.edge_start = least(p.u, p.v) and h.edge_end = greatest(p.u, p.v))")
+def _(spark, d):
+    return novelty.novel_edges(fx.corner_paths(spark, d), walked(spark, d)).select("qid", "pos", "u", "v")
+
+
+@query("overhead_ratio", f"""{OD_SQL}, {PATH_SQL}, b as (select od.qid, dist from od join r on r.qid = od.qid and r.id = od.target),
+ c as (select od.qid, coalesce(sum(w), 0) as distance from od left join path_edges p on p.qid = od.qid left join adj on adj.u = p.u and adj.v = p.v group by od.qid)
+ select qid, round(case when dist > 0 then (distance - dist) / dist else 0 end, 6) + 0.0::double as overhead from b join c using (qid)""")
+def _(spark, d):
+    g = lattice(spark, d)
+    base = paths.shortest_paths(g, fx.od_pairs(spark, d)).select("qid", F.col("distance").alias("base"))
+    rows = paths.path_distance(fx.corner_paths(spark, d), g.adj).join(base, "qid")
+    # sums in another order may differ in the last bits; adding zero makes a negative zero positive
+    return rows.select("qid", (F.round(novelty.overhead(F.col("distance"), F.col("base")), 6) + 0.0).alias("overhead"))
+
+
+def _candidates(spark, d):
+    return written(novelty.candidates(lattice(spark, d), fx.od_pairs(spark, d), walked(spark, d)), "candidates")
+
+
+@query("penalty_sweep_candidates")
+def _(spark, d):
+    return _candidates(spark, d).select("qid", "penalty", metres(), metres("novelty", 9), metres("overhead", 6))
+
+
+@query("best_candidate_novelty")
+def _(spark, d):
+    return novelty.best_candidates(_candidates(spark, d)).select("qid", "penalty", metres(), metres("novelty", 9), metres("overhead", 6))
+
+
+@query("best_candidate_length")
+def _(spark, d):
+    return novelty.best_candidates(_candidates(spark, d), profile="length").select("qid", "penalty", metres(), metres("novelty", 9), metres("overhead", 6))
+
+
+def _even_walks(g: Graph, pairs: DataFrame) -> DataFrame:
+    """Edges of the shortest paths of even pairs: the history that the routes below are held against."""
+    return written(report.walked_of(paths.shortest_paths(g, pairs.where("qid % 2 = 0"))), "even-walks")
+
+
+def _routes(spark, d, **how):
+    g, pairs = lattice(spark, d), fx.od_pairs(spark, d)
+    found = novelty.novelty_routes(g, pairs, _even_walks(g, pairs), **how)
+    return found.select("qid", "found", metres(), metres("shortest_distance"), metres("novelty", 9), metres("overhead", 6), F.size("path").alias("n_nodes"))
+
+
+@query("novelty_route")
+def _(spark, d):
+    return _routes(spark, d)
+
+
+@query("novelty_route_length_seeking")
+def _(spark, d):
+    return _routes(spark, d, profile="length")
+
+
+@query("via_waypoint_route")
+def _(spark, d):
+    return _routes(spark, d, profile="length", max_overhead=0.5)
+
+
+def _detours(spark, d):
+    """The points beside the middle of every pair's line, as columns."""
+    n = fx.lattice_nodes(spark, d)
+    a = n.select(F.col("osm_id").alias("source"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"))
+    b = n.select(F.col("osm_id").alias("target"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
+    rows = fx.od_pairs(spark, d).join(a, "source").join(b, "target").where("source <> target")
+    narrow = F.cos(F.radians((F.col("lat1") + F.col("lat2")) / 2))
+    rows = rows.withColumn("narrow", narrow).withColumn("east", (F.col("lon2") - F.col("lon1")) * F.col("narrow")).withColumn("north", F.col("lat2") - F.col("lat1"))
+    rows = rows.withColumn("line", F.sqrt(F.col("east") * F.col("east") + F.col("north") * F.col("north")))
+    base = geo.haversine("lat1", "lon1", "lat2", "lon2")
+    height = F.sqrt(base * 1.25 * (base * 1.25) - base * base) / 2
+    grid = [(i, s, x) for i, x in enumerate(fixed.DETOUR_SCALES) for s in (1.0, -1.0)]
+    shifts = F.array(*(F.struct(F.lit(2 * i + (s < 0)).alias("position"), F.lit(s).alias("side"), F.lit(x).alias("scale")) for i, s, x in grid))
+    rows = rows.withColumn("height", height).select("*", F.inline(shifts)).withColumn("degrees", F.col("height") * F.col("scale") / fixed.METRES_PER_DEGREE * F.col("side"))
+    lat = (F.col("lat1") + F.col("lat2")) / 2 + F.col("east") / F.col("line") * F.col("degrees")
+    lon = (F.col("lon1") + F.col("lon2")) / 2 - F.col("north") / F.col("line") * F.col("degrees") / F.col("narrow")
+    return rows.select("qid", "position", lat.alias("lat"), lon.alias("lon"))
+
+
+DETOUR_SQL = f"""with {LATTICE_SQL}, line as (select qid, a.lat as lat1, a.lon as lon1, b.lat as lat2, b.lon as lon2, cos(radians((a.lat + b.lat) / 2)) as narrow, (b.lon - a.lon) * narrow as east, b.lat - a.lat as north, sqrt(east * east + north * north) as len,
+  {hav("a.lat", "a.lon", "b.lat", "b.lon")} as base from od join nodes a on a.osm_id = source join nodes b on b.osm_id = target where source <> target),
+ scales as (select row_number() over () - 1 as i, s from (select unnest([{", ".join(f"{x}::double" for x in fixed.DETOUR_SCALES)}]) as s)),
+ points as (select qid, (2 * i + k)::integer as position, (lat1 + lat2) / 2 + east / len * h as lat, (lon1 + lon2) / 2 - north / len * h / narrow as lon
+  from (select *, sqrt(base * 1.25::double * (base * 1.25::double) - base * base) / 2 * s / 111320.0::double * (case k when 0 then 1.0::double else -1.0::double end) as h from line cross join scales cross join (select unnest([0, 1]) as k)))"""
+
+
+@query("via_waypoint_offsets", f"{DETOUR_SQL} select qid, position, round(lat, 8) as lat, round(lon, 8) as lon from points")
+def _(spark, d):
+    return _detours(spark, d).select("qid", "position", metres("lat", 8), metres("lon", 8))
+
+
+@query("via_waypoint_snap", f"{DETOUR_SQL}, near as (select qid, position, osm_id, {hav('p.lat', 'p.lon', 'n.lat', 'n.lon')} as metres from points p cross join nodes n) select qid, position, osm_id, round(metres, 3) as metres from near qualify row_number() over (partition by qid, position order by metres, osm_id) = 1")
+def _(spark, d):
+    points = written(_detours(spark, d), "detours").select((F.col("qid") * 100 + F.col("position")).alias("pid"), "lat", "lon")
+    found = snap.nearest(points, fx.lattice_nodes(spark, d))
+    return found.select(F.floor(F.col("pid") / 100).alias("qid"), (F.col("pid") % 100).cast("int").alias("position"), "osm_id", metres("metres"))
+
+
+R_SQL = f"{P_SQL}, {DESCRIBED_SQL}"
+
+
+@query("path_street_runs", f"{R_SQL} select qid, run::bigint as run, effective_name, street_name, round(distance, 3) as distance from runs")
+def _(spark, d):
+    rows = directions.street_runs(directions.described_edges(lattice(spark, d), fx.corner_paths(spark, d)))
+    return rows.select("qid", F.col("run").cast("long").alias("run"), "effective_name", "street_name", metres())
+
+
+@query("turn_classification", f"{R_SQL} select qid, run::bigint as run, round(turn_angle, 5) as turn_angle, turn_direction from turned")
+def _(spark, d):
+    rows = directions.turns(directions.street_runs(directions.described_edges(lattice(spark, d), fx.corner_paths(spark, d))))
+    return rows.select("qid", F.col("run").cast("long").alias("run"), metres("turn_angle", 5), "turn_direction")
+
+
+@query("turn_instructions", f"""{R_SQL} select qid, run::bigint as step,
+ case when turn_direction = 'start' then 'Head ' || ['north', 'northeast', 'east', 'southeast', 'south', 'southwest', 'west', 'northwest'][(floor(((entry_bearing + 22.5) - 360 * floor((entry_bearing + 22.5) / 360)) / 45)::integer % 8) + 1] || ' on ' || effective_name
+  when turn_direction = 'straight' then 'Continue on ' || effective_name
+  when turn_direction = 'u_turn' then 'Make a U-turn onto ' || effective_name
+  else 'Turn ' || replace(turn_direction, '_', ' ') || ' onto ' || effective_name end as instruction,
+ street_name, effective_name as street_description, round(distance, 3) as distance, turn_direction, round(start_lat, 6) as start_lat, round(start_lon, 6) as start_lon from turned
+ union all select qid, max(run)::bigint + 1, 'Arrive at destination', null, '', 0.0::double, 'arrive', round(arg_max(end_lat, run), 6), round(arg_max(end_lon, run), 6) from turned group by qid""")
+def _(spark, d):
+    rows = directions.steps(lattice(spark, d), fx.corner_paths(spark, d))
+    return rows.select("qid", F.col("step").cast("long").alias("step"), "instruction", "street_name", "street_description", metres(), "turn_direction", metres("start_lat", 6), metres("start_lon", 6))
+
+
+H_SQL = f"with {LATTICE_SQL}"
+
+
+@query("history_upsert", f"{H_SQL} select edge_start, edge_end, walk_count, last_walked from history")
+def _(spark, d):
+    return history.edge_history(fx.walk_events(spark, d))
+
+
+@query("history_stats", f"{H_SQL} select count(*) as unique_edges, coalesce(sum(walk_count), 0)::bigint as total_walks, coalesce(round(avg(walk_count), 2), 0) as avg_walks, coalesce(max(walk_count), 0) as max_walks, min(last_walked) as first_walk, max(last_walked) as last_walk from history")
+def _(spark, d):
+    return history.statistics(history.edge_history(fx.walk_events(spark, d)))
+
+
+@query("history_true_first_walk", f"{H_SQL} select min(walked_at) as true_first_walk from walks")
+def _(spark, d):
+    return history.true_first_walk(fx.walk_events(spark, d))
+
+
+@query("history_point_lookup", f"{H_SQL} select u as edge_start, v as edge_end, h.edge_start is not null as is_walked, coalesce(walk_count, 0) as walk_count from e left join history h on h.edge_start = u and h.edge_end = v")
+def _(spark, d):
+    wanted = lattice(spark, d).edges.select(F.col("v").alias("edge_start"), F.col("u").alias("edge_end"))
+    return history.look_up(history.edge_history(fx.walk_events(spark, d)), wanted)
+
+
+@query("walked_edges_distinct", f"{H_SQL} select edge_start, edge_end from history")
+def _(spark, d):
+    return walked(spark, d)
+
+
+@query("walked_edges_union", f"{P_SQL} select edge_start, edge_end from history union select least(u, v), greatest(u, v) from path_edges")
+def _(spark, d):
+    return walked(spark, d).union(report.walked_of(fx.corner_paths(spark, d))).distinct()
+
+
+@query("recorded_edge_counts", f"{P_SQL} select count(*) as n_recorded, count(distinct (least(u, v), greatest(u, v))) as n_unique from path_edges")
+def _(spark, d):
+    rows = paths.path_edges(fx.corner_paths(spark, d))
+    return rows.agg(F.count("*").alias("n_recorded"), F.count_distinct("edge_start", "edge_end").alias("n_unique"))
+
+
+@query("history_stream", f"{H_SQL} select edge_start, edge_end, walk_count, last_walked from history")
+def _(spark, d):
+    """The history kept by a stream over the written log must be that of the batch."""
+    import uuid
+
+    from ..functions.scratch import shared_dir
+    from ..streaming.history_stream import latest, read_events, upsert
+
+    place = f"{shared_dir(spark)}/history-{uuid.uuid4().hex}"
+    log = fx.walk_events(spark, d).withColumn("walked_at", F.col("walked_at").cast("timestamp_ntz"))
+    log.repartition(4).write.parquet(f"{place}/log")
+    upsert(read_events(spark, f"{place}/log", 2), f"{place}/table", f"{place}/offsets").awaitTermination()
+    return latest(spark, f"{place}/table")
+
+
+@query("route_json_roundtrip", f"""{P_SQL}, c as (select od.qid, coalesce(sum(w), 0) as distance, count(p.u) as num_edges from od left join path_edges p on p.qid = od.qid left join adj on adj.u = p.u and adj.v = p.v group by od.qid)
+ select c.qid, num_edges, p.pos::integer as pos, p.u, p.v from c join path_edges p on p.qid = c.qid""")
+def _(spark, d):
+    g, p = lattice(spark, d), fx.corner_paths(spark, d)
+    routes = p.join(paths.path_distance(p, g.adj), "qid").select("qid", "path", "distance", F.col("distance").alias("shortest_distance"), F.lit(1.0).alias("novelty"), F.lit(0.0).alias("overhead"))
+    back = route_json.parse(route_json.as_text(route_json.documents(routes, g.nodes)))
+    rows = back.select("qid", "num_edges", F.posexplode("edges").alias("pos", "e"))
+    return rows.select("qid", "num_edges", "pos", F.get("e", F.lit(0)).alias("u"), F.get("e", F.lit(1)).alias("v"))
+
+
+LABEL_SQL = "case when n >= 0.3 and o <= 0.25 then 'BOTH' when n >= 0.3 then 'NOV' when o <= 0.25 then 'OVH' else 'NONE' end"
+
+
+@query("constraint_labels", f"select l_orderkey, l_linenumber, l_partkey, l_suppkey, {LABEL_SQL} as label from (select *, (l_quantity / 50)::double as n, (l_discount * 5)::double as o from lineitem)")
+def _(spark, d):
+    line = fx.table(spark, d, "lineitem")
+    label = report.constraint_label((F.col("l_quantity") / 50).cast("double"), (F.col("l_discount") * 5).cast("double"))
+    return line.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", label.alias("label"))
+
+
+@query("extra_minutes_sweep", f"""{OD_SQL} select od.qid, m as minutes, round(case when dist > 0 then m * 60 * 1.4::double / dist else 0 end, 6) as max_overhead from od join r on r.qid = od.qid and r.id = od.target cross join (select unnest([5, 10, 15, 20, 30]) as m)""")
+def _(spark, d):
+    base = paths.shortest_paths(lattice(spark, d), fx.od_pairs(spark, d))
+    rows = base.select("qid", "distance", F.explode(F.array(*map(F.lit, (5, 10, 15, 20, 30)))).alias("minutes"))
+    return rows.select("qid", "minutes", F.round(geo.overhead_for_extra_minutes(F.col("minutes"), F.col("distance")), 6).alias("max_overhead"))
+
+
+@query("extra_minutes_routes")
+def _(spark, d):
+    g = lattice(spark, d)
+    base = paths.shortest_paths(g, fx.od_pairs(spark, d)).where("found and distance > 0")
+    rows = base.select("qid", "source", "target", "distance", F.explode(F.array(*map(F.lit, (5, 10, 15, 20, 30)))).alias("minutes"))
+    rows = rows.select((F.col("qid") * 100 + F.col("minutes")).alias("qid"), "source", "target", geo.overhead_for_extra_minutes(F.col("minutes"), F.col("distance")).alias("max_overhead"))
+    nothing = spark.createDataFrame([], "edge_start long, edge_end long")
+    found = novelty.novelty_routes(g, written(rows, "sweep"), nothing, min_novelty=0.15, profile="length")
+    return found.select(F.floor(F.col("qid") / 100).alias("qid"), (F.col("qid") % 100).alias("minutes"), metres(), metres("overhead", 6))
+
+
+@query("parse_latlon", "select o_orderkey, round(lat, 4) as lat, round(lon, 4) as lon from (select o_orderkey, 37 + (o_orderkey % 1000) * 0.001::double as lat, -122 - (o_custkey % 1000) * 0.001::double as lon from orders)")
+def _(spark, d):
+    o = fx.table(spark, d, "orders")
+    text = F.concat(F.lit(" "), (F.lit(37) + (F.col("o_orderkey") % 1000) * F.lit(0.001)).cast("string"), F.lit(" , "), (F.lit(-122) - (F.col("o_custkey") % 1000) * F.lit(0.001)).cast("string"), F.lit(",x"))
+    rows = o.select("o_orderkey", geo.parse_latlon(text).alias("p"))
+    return rows.select("o_orderkey", F.round("p.lat", 4).alias("lat"), F.round("p.lon", 4).alias("lon"))
+
+
+@query("walk_minutes", f"{OD_SQL} select od.qid, round(dist / 1000 / 5 * 60, 4) as minutes, round(dist / 1.4::double / 60, 4) as report_minutes from od join r on r.qid = od.qid and r.id = od.target")
+def _(spark, d):
+    base = paths.shortest_paths(lattice(spark, d), fx.od_pairs(spark, d))
+    return base.select("qid", F.round(geo.walk_minutes(F.col("distance")), 4).alias("minutes"), F.round(geo.walk_minutes(F.col("distance"), fixed.REPORT_MPS), 4).alias("report_minutes"))
+
+
+def _phases(spark, d):
+    g = lattice(spark, d)
+    n = fx.lattice_nodes(spark, d)
+    a = n.select(F.col("osm_id").alias("source"), (F.col("lat") + 0.0002).alias("slat"), (F.col("lon") - 0.0003).alias("slon"))
+    b = n.select(F.col("osm_id").alias("target"), (F.col("lat") + 0.0002).alias("elat"), (F.col("lon") - 0.0003).alias("elon"))
+    points = fx.od_pairs(spark, d).join(a, "source").join(b, "target").select("qid", "slat", "slon", "elat", "elon")
+    return report.four_phases(g, points)
+
+
+@query("four_phase_report")
+def _(spark, d):
+    return report.summary(written(_phases(spark, d), "phases")).select("phase", "pairs", "found", "changed", "met_both", metres("avg_distance"), metres("max_distance"), metres("max_snap_m"), "snaps_over_100m")
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)

@@ -110,10 +110,10 @@ def fingerprint_links(distinct: DataFrame, max_bits: int = 3, blocks: int = 6, b
     rows = materialize(rows.join(shared, "key"), "buckets")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, fp = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        key, fp = np.zeros(0, np.int64), np.zeros(0, np.uint64)
         for b in batches:
             key = np.concatenate((key, b.column(0).to_numpy()))
-            fp = np.concatenate((fp, b.column(1).to_numpy()))
+            fp = np.concatenate((fp, b.column(1).to_numpy().view(np.uint64)))  # of signed numbers numpy counts the absolute value's bits
             cut = int(np.searchsorted(key, key[-1])) if len(key) else 0  # the last bucket may go on
             yield _batch(bucket_links(key[:cut], fp[:cut], max_bits))
             key, fp = key[cut:], fp[cut:]
@@ -134,8 +134,8 @@ def fingerprint_links(distinct: DataFrame, max_bits: int = 3, blocks: int = 6, b
 
 
 def _batch(links: list[tuple[int, int]]) -> pa.RecordBatch:
-    a, b = zip(*links) if links else ((), ())
-    return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+    ends = np.array(links, np.uint64).reshape(-1, 2).view(np.int64)
+    return pa.record_batch([pa.array(ends[:, 0].copy()), pa.array(ends[:, 1].copy())], names=["a", "b"])
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, max_bits: int = 3, blocks: int = 6, bucket: int = BUCKET, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -82,7 +82,7 @@ def parse_latlon(text: Column) -> Column:
 
 def metres_text(metres: Column) -> Column:
     """Whole metres, or N/A."""
-    return F.coalesce(F.format_string("%.0fm", metres), F.lit("N/A"))
+    return F.when(metres.isNull(), F.lit("N/A")).otherwise(F.format_string("%.0fm", metres))
 
 
 def padded(text: Column, width: int) -> Column:

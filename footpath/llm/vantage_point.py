@@ -23,7 +23,7 @@ from .vectors import dealt, merged, usable
 SHARD_ROWS, BLOCK_ROWS, LEAF_ROWS = 16_384, 4_096, 128
 
 #: Pruning factor of the query; recall against brute force is in the README.
-FACTOR = 3.0
+FACTOR = 2.0
 
 
 class VantagePointTree:

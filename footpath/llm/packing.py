@@ -19,8 +19,10 @@ from __future__ import annotations
 
 import bisect
 import os
+import struct
 import zlib
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, slices, tokenizer_file
-from .pretokens import words_of
+from .pretokens import byte_string, words_of
 
 #: Entries of the memo from word to ids that a Python worker keeps; it is emptied when full.
 MEMO_ENTRIES = 800_000
@@ -36,6 +38,9 @@ MEMO_ENTRIES = 800_000
 #: Pieces that a shard holds on average when ranks are counted.
 SHARD_ROWS = 100_000
 
+#: Marks that end words, and the last Latin letter that is taken for simple.
+MARKS, LATIN = ".,!?;:", "\u024f"
+
 _STATE: dict[str, "WordEncoder"] = {}
 
 
@@ -49,32 +54,42 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model = self.tokenizer.model
         self.memo: dict[str, bytes] = {}
         self.bare: dict[str, bytes] = {}
+        self.marks = {"": b""} | {m: np.array(self.tokenizer.encode(m, add_special_tokens=False).ids, "<u4").tobytes() for m in MARKS}
+
+    def simple(self, word: str) -> str | None:
+        """The word in lower case if the tokenizer takes it as one pre-token of letters (composed Latin
+        letters, whose lower case doesn't depend on their neighbours); else None."""
+        if not word.isascii() and not (max(word) <= LATIN and is_normalized("NFC", word)):
+            return None
+        low = word.lower()
+        return low if low.isalpha() else None
+
+    def letters(self, word: str) -> bytes:
+        """Ids of a pre-token of letters by the library's merges."""
+        found = self.bare.get(word)
+        if found is None:
+            ids = [t.id for t in self.model.tokenize(word if word.isascii() else byte_string(word))]
+            found = self.bare[word] = struct.pack(f"<{len(ids)}I", *ids)
+        return found
 
     def learn(self, words: set[str]) -> None:
-        """Encode new words.  Words in ASCII letters share an entry with their lower case and with the
-        same word before a full stop or comma, which is a pre-token of its own."""
-        todo: dict[str, None] = {}
-        parts: dict[str, tuple[str, ...]] = {}
+        """Encode new words.  Words of letters share an entry with their lower case and with the same
+        word before a punctuation mark, which is a pre-token of its own; others go to the library whole."""
+        rest: list[str] = []
         for word in words:
-            stem, last = word, ""
-            if word[-1] in ".,!?;:":
-                stem, last = word[:-1], word[-1]
-            if last and stem.isascii() and stem.isalpha():
-                parts[word] = (stem.lower(), last)
-            elif word.isascii() and word.isalpha():
-                parts[word] = (word.lower(),)
+            stem, last = (word[:-1], word[-1]) if word[-1] in MARKS else (word, "")
+            low = self.simple(stem) if stem else None
+            if low is None:
+                rest.append(word)
             else:
-                parts[word] = (word,)
-            todo.update(dict.fromkeys(p for p in parts[word] if p not in self.bare))
-        keys = list(todo)
-        for at in range(0, len(keys), 20_000):
-            some = keys[at : at + 20_000]
-            for key, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                self.bare[key] = np.array(e.ids, "<u4").tobytes()
-        for word, own in parts.items():
-            self.memo[word] = b"".join(map(self.bare.__getitem__, own))
+                self.memo[word] = self.letters(low) + self.marks[last]
+        for at in range(0, len(rest), 20_000):
+            some = rest[at : at + 20_000]
+            for word, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+                self.memo[word] = np.array(e.ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed little-endian unsigned 32-bit ids of every text, without an end id."""

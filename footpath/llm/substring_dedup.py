@@ -132,6 +132,7 @@ def repeated_windows(docs: DataFrame, window: int = 20, seed: int = SEED_WORDS)
 
     texts = docs.select("doc_id", "text")
     often = texts.mapInArrow(seeds, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    often = materialize(often, "repeated-anchors")  # so that both sides of the join are dealt out for it and hot anchors can be split
     rows = texts.mapInArrow(occurrences, "h long, block long, doc_id long, start int, windows int, lead int, again boolean")
     shared = materialize(rows.join(often, "h"), "anchors")
     first = materialize(shared.groupBy("h", "block").agg(F.min("doc_id").alias("first")), "blocks")

@@ -106,7 +106,8 @@ def fingerprint_links(distinct: DataFrame, max_bits: int = 3, blocks: int = 6, b
     masks = block_masks(max_bits, blocks)
     keys = F.array(*(F.struct(F.lit(t).alias("t"), F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(_signed(m)))).alias("key")) for t, m in enumerate(masks)))
     rows = distinct.select("fp", F.inline(keys))
-    shared = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    # written, so that both sides of the join are dealt out for it and hot buckets can be split
+    shared = materialize(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared-keys")
     rows = materialize(rows.join(shared, "key"), "buckets")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

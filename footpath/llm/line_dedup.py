@@ -56,7 +56,7 @@ def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
 def _shared(rows: DataFrame) -> DataFrame:
     """Rows whose key another line has as well."""
     often = rows.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("key")
-    return rows.join(often, "key")
+    return rows.join(materialize(often, "shared-keys"), "key")  # written, so that the join can split hot keys
 
 
 def near_lines(docs: DataFrame, distinct: DataFrame, min_chars: int = MIN_CHARS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:

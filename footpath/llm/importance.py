@@ -195,13 +195,14 @@ def kth_largest(keys: DataFrame, k: int, bins: int = 4096) -> float:
     return low
 
 
-def select(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS) -> tuple[Model, float]:
-    """The fitted model and the least key (log weight plus noise) that is drawn."""
+def scores(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS) -> tuple[Model, float, DataFrame]:
+    """The fitted model, the least key (log weight plus noise) that is drawn, and the written table
+    ``doc_id, log_weight, key`` of all rows."""
     model = fit(docs, labels, labelled_rows)
-    keys = docs.select(log_weight(model, F.col("doc_id"), F.col("text")).alias("w"), gumbel(F.col("doc_id")).alias("g"))
-    keys = materialize(keys.select("w", (F.col("w") + F.col("g")).alias("key")), "keys")
-    k = keys.where(F.col("w") >= F.lit(float(-np.log(REJECT_ODDS * model.prior)))).count()
-    return model, kth_largest(keys, k) if k else float("inf")
+    keys = docs.select("doc_id", log_weight(model, F.col("doc_id"), F.col("text")).alias("log_weight"))
+    keys = materialize(keys.withColumn("key", F.col("log_weight") + gumbel(F.col("doc_id"))), "keys")
+    k = keys.where(F.col("log_weight") >= F.lit(float(-np.log(REJECT_ODDS * model.prior)))).count()
+    return model, kth_largest(keys, k) if k else float("inf"), keys
 
 
 def classify(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS) -> DataFrame:
@@ -209,11 +210,12 @@ def classify(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_R
 
     Null and empty texts have weight 1; ids that are null share one noise; equal keys at the border are all
     kept, so repeated rows are judged alike.  Columns named like the new ones are replaced; an empty
-    table gives an empty result.
+    table gives an empty result.  Texts are weighed again rather than joined with their written scores:
+    a pass over the texts moves no data.
     """
     own = [c for c in docs.columns if c not in ("log_weight", "key", "keep")]
     docs = docs.select(*own)
-    model, least = select(docs, labels, labelled_rows)
+    model, least, _ = scores(docs.select("doc_id", "text"), labels, labelled_rows)
     rows = docs.withColumn("log_weight", log_weight(model, F.col("doc_id"), F.col("text")))
     rows = rows.withColumn("key", F.col("log_weight") + gumbel(F.col("doc_id")))
     return rows.withColumn("keep", F.col("key") >= F.lit(least))
@@ -222,4 +224,5 @@ def classify(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_R
 def op10_importance_resampling(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return classify(docs, labels).select("doc_id", "log_weight", "key", "keep")
+    _, least, found = scores(docs, labels)
+    return found.withColumn("keep", F.col("key") >= F.lit(least))

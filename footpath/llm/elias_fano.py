@@ -22,19 +22,23 @@ def encode(values: np.ndarray, universe: int) -> bytes:
     low = min(56, max(0, (max(1, universe) // max(1, n)).bit_length() - 1))  # read as 8 bytes from any bit
     high = (v >> np.uint64(low)).astype(np.int64)
     bits = n + (max(universe - 1, 0) >> low) + 1
-    words = np.zeros((bits + 63) // 64 + 1, np.uint64)
-    at = high + np.arange(n)
-    np.bitwise_or.at(words, at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
+    marks = np.zeros(((bits + 63) // 64 + 1) * 64, np.uint8)
+    marks[high + np.arange(n)] = 1
+    words = np.packbits(marks, bitorder="little").view("<u8")
     ones = np.zeros(len(words) + 1, np.uint64)
     np.cumsum(np.bitwise_count(words), out=ones[1:])
-    packed = np.zeros((n * low + 7) // 8 + 8, np.uint8)
-    if low and n:
-        for i in range(0, n, 1 << 18):  # whole bytes: a multiple of 8 values
-            part = v[i : i + (1 << 18)]
-            raw = ((part[:, None] >> np.arange(low, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8)
-            own = np.packbits(raw.ravel(), bitorder="little")
-            packed[i * low // 8 : i * low // 8 + len(own)] = own
-    packed = np.concatenate((packed, np.zeros(-len(packed) % 8, np.uint8)))
+    # 64 values take ``low`` words; each place among the 64 is written for all groups at once
+    groups = (n + 63) // 64
+    part = np.zeros(groups * 64, np.uint64)
+    part[:n] = v & np.uint64((1 << low) - 1)
+    part = part.reshape(groups, 64)
+    packed = np.zeros((groups, low + 1), np.uint64)
+    for k in range(64 if low else 0):
+        word, shift = divmod(k * low, 64)
+        packed[:, word] |= part[:, k] << np.uint64(shift)
+        if shift + low > 64:
+            packed[:, word + 1] |= part[:, k] >> np.uint64(64 - shift)
+    packed = np.concatenate((packed[:, :low].astype("<u8").ravel(), np.zeros(1, "<u8"))).view(np.uint8)
     head = np.array([n, low, universe, len(words), len(packed)], "<u8").tobytes()
     return (MAGIC + head).ljust(HEADER, b"\0") + words.astype("<u8").tobytes() + ones.astype("<u8").tobytes() + packed.tobytes()
 

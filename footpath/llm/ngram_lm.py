@@ -43,8 +43,9 @@ from .common import local_path, materialize, new_path, slices
 #: Strength of the unigram prior, in counts.
 MU = 200.0
 
-#: Tokens of a shard, on average, and words of a vocabulary part.
-SHARD_TOKENS, PART_WORDS = 4_000_000, 1_000_000
+#: Tokens of a shard and shards of a task, on average, and words of a vocabulary part.  A task unpacks one shard at a
+#: time and adds up its shards' sums, so that a text's sums come back from fewer tasks than there are shards.
+SHARD_TOKENS, TASK_SHARDS, PART_WORDS = 750_000, 6, 1_000_000
 
 #: The end's spelling; no word has white space.
 END = b" end"
@@ -268,7 +269,8 @@ def score(docs: DataFrame, held_out, name: str = "ngram-lm") -> DataFrame:
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"), held_out.alias("held_out"))
     files, stats, shipped = _vocabulary_files(rows, name)
     total, types = stats["train_tokens"], stats["types"]
-    shards = max(8, -(-total // SHARD_TOKENS))
+    tasks = max(8, -(-total // (SHARD_TOKENS * TASK_SHARDS)))
+    shards = tasks * TASK_SHARDS
     hot = max(1, total // (4 * shards))  # contexts beyond are cut by word as well
     place = local_path(new_path(spark, name))
 
@@ -294,7 +296,7 @@ def score(docs: DataFrame, held_out, name: str = "ngram-lm") -> DataFrame:
             here = (word < 0) | (context < 0)
             own = sums(np.where(here, backed(log_word, n_context), 0.0))
             yield pa.record_batch(
-                [pa.array((np.array(row) % shards).astype(np.int32)), pa.array(row, pa.int64()), pa.array(doc, pa.int64()), pa.array(held, pa.bool_()), pa.array(size), pa.array(sums(n > 0).astype(np.int64)), pa.array(base), pa.array(own), pa.nulls(len(split), pa.binary())],
+                [pa.array((np.array(row) % shards // TASK_SHARDS).astype(np.int32)), pa.nulls(len(split), pa.int32()), pa.array(row, pa.int64()), pa.array(doc, pa.int64()), pa.array(held, pa.bool_()), pa.array(size), pa.array(sums(n > 0).astype(np.int64)), pa.array(base), pa.array(own), pa.nulls(len(split), pa.binary())],
                 names=SENT,
             )
             there = np.flatnonzero(~here)
@@ -311,21 +313,22 @@ def score(docs: DataFrame, held_out, name: str = "ngram-lm") -> DataFrame:
                 head = struct.pack("<II", len(split), b - a) + np.array(row, "<i8").tobytes() + train.tobytes()
                 blobs.append(packer.compress(head + context[which].astype(kind).tobytes() + word[which].astype(kind).tobytes() + of[which].astype("<u4").tobytes()) if b > a else None)
             some = [s for s in range(shards) if blobs[s]]
+            key = pa.array([s // TASK_SHARDS for s in some], pa.int32())
             nothing = [pa.nulls(len(some), t) for t in (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]
-            yield pa.record_batch([pa.array(some, pa.int32()), *nothing, pa.array([blobs[s] for s in some], pa.binary())], names=SENT)
+            yield pa.record_batch([key, pa.array(some, pa.int32()), *nothing, pa.array([blobs[s] for s in some], pa.binary())], names=SENT)
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(files, stats, shipped)
         kind = "<u4" if vocab.size < 2**32 - 2 else "<u8"
         by_shard: dict[int, list[bytes]] = {}
         for b in batches:
-            blob = b.column(8)
+            blob = b.column(9)
             plain = b.filter(pa.compute.is_null(blob))
-            yield plain.select(SENT[1:8])
-            for s, x in zip(b.column(0).to_pylist(), blob.to_pylist()):
+            yield plain.select(SENT[2:9])
+            for s, x in zip(b.column(1).to_pylist(), blob.to_pylist()):
                 if x is not None:
                     by_shard.setdefault(s, []).append(x)
-        unpack = zstandard.ZstdDecompressor()
+        unpack, every = zstandard.ZstdDecompressor(), []
         for s in sorted(by_shard):
             rows_, trains, contexts, words, ofs, at = [], [], [], [], [], 0
             for x in by_shard.pop(s):
@@ -343,13 +346,13 @@ def score(docs: DataFrame, held_out, name: str = "ngram-lm") -> DataFrame:
             row, train, of = np.concatenate(rows_), np.concatenate(trains), np.concatenate(ofs)
             context, word = np.concatenate(contexts).astype(np.int64), np.concatenate(words).astype(np.int64)
             del rows_, trains, contexts, words, ofs
-            order = np.lexsort((word, context))
-            c, w = context[order], word[order]
-            new = np.concatenate(([True], (c[1:] != c[:-1]) | (w[1:] != w[:-1])))
-            pair = np.cumsum(new) - 1
-            c, w = c[new], w[new]
-            back = np.empty(len(order), np.int64)
-            back[order] = pair
+            if (vocab.size + 1) * (vocab.size + 1) < 2**63:
+                keys, back = np.unique(context * vocab.size + word, return_inverse=True)
+                c, w = np.divmod(keys, vocab.size)
+            else:
+                pairs, back = np.unique(np.stack((context, word), axis=1), axis=0, return_inverse=True)
+                c, w = pairs.T
+            del context, word
             count = np.bincount(back, weights=train[of], minlength=len(c))
             n_context, _ = vocab.look(c)
             _, log_word = vocab.look(w)
@@ -362,21 +365,25 @@ def score(docs: DataFrame, held_out, name: str = "ngram-lm") -> DataFrame:
             if not place:
                 shutil.rmtree(folder, True)
             sums = np.bincount(of, weights=log[back], minlength=len(row))
-            some = np.flatnonzero(np.bincount(of, minlength=len(row)))
-            for i in range(0, len(some), 50_000):
-                own = some[i : i + 50_000]
+            some = np.bincount(of, minlength=len(row)) > 0
+            every.append((row[some], sums[some]))
+        if every:
+            row, back = np.unique(np.concatenate([r for r, _ in every]), return_inverse=True)
+            sums = np.bincount(back, weights=np.concatenate([x for _, x in every]))
+            for i in range(0, len(row), 50_000):
+                own = row[i : i + 50_000]
                 empty = [pa.nulls(len(own), t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64())]
-                yield pa.record_batch([pa.array(row[own]), *empty, pa.array(sums[own])], names=SENT[1:8])
+                yield pa.record_batch([pa.array(own), *empty, pa.array(sums[i : i + 50_000])], names=SENT[2:9])
 
     rows = rows.select("doc_id", F.monotonically_increasing_id().alias("row"), "text", "held_out")
-    sent = rows.mapInArrow(send, "shard int, row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, blob binary")
-    found = sent.repartition(shards, "shard").mapInArrow(answer, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
-    out = found.groupBy("row").agg(*(F.max(x).alias(x) for x in SENT[2:6]), F.max("base_score").alias("base_score"), F.sum("score").alias("score"))
+    sent = rows.mapInArrow(send, "task int, shard int, row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, blob binary")
+    found = sent.repartition(tasks, "task").mapInArrow(answer, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    out = found.groupBy("row").agg(*(F.max(x).alias(x) for x in SENT[3:7]), F.max("base_score").alias("base_score"), F.sum("score").alias("score"))
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 #: Columns that are sent to the shards.
-SENT = ["shard", "row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "blob"]
+SENT = ["task", "shard", "row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "blob"]
 
 
 def op3_elias_fano_lm(spark, sf_dir: str) -> DataFrame:

@@ -194,3 +194,29 @@ def test_runs_have_equal_hashes():
     a, b = substring_dedup.Words(b"x y z a b c"), substring_dedup.Words(b"a b c")
     at = np.array
     assert a.run(at([3]), at([6])) == b.run(at([0]), at([3])) and a.run(at([0]), at([3])) != b.run(at([0]), at([3]))
+
+
+@pytest.mark.parametrize("bucket", [4096, 4])
+def test_similar_documents(spark, bucket):
+    rnd = random.Random(6)
+    rows, family = [], {}
+    for f in range(25):
+        words = [str(rnd.randrange(10**6)) for _ in range(rnd.choice([60, 200, 800]))]
+        for k in range(6):
+            own = list(words)
+            for i in rnd.sample(range(len(own)), max(1, len(own) // 80)) if k else []:
+                own[i] = "edit" + str(rnd.randrange(10**6))
+            family[len(rows)] = f
+            rows.append((len(rows), " ".join(own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(docs, bucket=bucket).collect()}
+    shingles = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for _, t in rows]
+    close = [(a, b) for a in family for b in range(a) if len(shingles[a] & shingles[b]) >= 0.8 * len(shingles[a] | shingles[b])]
+    assert len(close) > 150
+    assert sum(got[a] == got[b] for a, b in close) >= 0.97 * len(close)
+    assert all(family[i] == family[got[i]] for i in got)  # nothing joins what isn't alike
+
+
+def test_wide_choices_grow_slowly():
+    few, many = simhash.wide_choices(1000), simhash.wide_choices(10**9)
+    assert len(few[0]) == 20 and len(many[0]) == 32 and len(few) < len(many) < 1500

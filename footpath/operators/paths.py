@@ -116,15 +116,39 @@ class Index:
         """Number of the nearest node, ties to the smaller id."""
         return int(np.argmin(self.metres(np.arange(len(self.ids)), lat, lon)))
 
-    def search(self, source: int, target: int, penalty: float = 1.0) -> tuple[list[int], float] | None:
+    def around(self, target: int, source: int, slack: float = 1.25) -> tuple[dict[int, float], float] | None:
+        """Unpenalised distances to ``target`` of all nodes up to ``slack`` times the source's, and that distance.
+
+        A bound for many penalised searches of one pair: exact where known, and nodes beyond are at
+        least as far.  None if the source isn't reached."""
+        cost, done, limit = {target: 0.0}, {}, math.inf
+        heap = [(0.0, target)]
+        while heap:
+            c, u = heapq.heappop(heap)
+            if u in done:
+                continue
+            if c > limit:
+                break
+            done[u] = c
+            if u == source:
+                limit = c * slack
+            at = slice(self.start[u], self.start[u + 1])
+            for v, w in zip(self.dst[at].tolist(), self.weight[at].tolist()):
+                n = c + w
+                if v not in done and n < cost.get(v, math.inf):
+                    cost[v] = n
+                    heapq.heappush(heap, (n, v))
+        return (done, limit) if source in done else None
+
+    def search(self, source: int, target: int, penalty: float = 1.0, bound: tuple[dict[int, float], float] | None = None) -> tuple[list[int], float] | None:
         """Least-cost path by node numbers; walked edges cost ``penalty`` times their weight.
 
         Goal-directed: a node's rank is its cost plus the straight line to the target, which no
         path undercuts as long as weights are distances and the penalty is at least one.  Equal costs go
-        to the smaller parent."""
+        to the smaller parent.  ``bound`` (of ``around``) takes the straight line's place."""
         if source == target:
             return [source], 0.0
-        line = self.line_to(target)
+        line = self.line_to(target) if bound is None else (lambda v, known=bound[0].get, far=bound[1]: known(v, far) * (1 - 1e-9))
         cost, parent, ahead, done = {source: 0.0}, {source: -1}, {}, set()
         heap = [(0.0, source)]
         while heap:

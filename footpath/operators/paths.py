@@ -88,6 +88,20 @@ class Index:
         self.start = np.searchsorted(src[by], np.arange(len(self.ids) + 1))
         return self
 
+    #: Nodes whose neighbours are kept as lists, which loops read faster than arrays; emptied when full.
+    KEPT = 500_000
+
+    def near(self, u: int) -> list[tuple[int, float, bool]]:
+        """Neighbours of a node: number, weight, walked."""
+        kept = self.__dict__.setdefault("_kept", {})
+        found = kept.get(u)
+        if found is None:
+            if len(kept) >= self.KEPT:
+                kept.clear()
+            at = slice(self.start[u], self.start[u + 1])
+            found = kept[u] = list(zip(self.dst[at].tolist(), self.weight[at].tolist(), self.walked[at].tolist()))
+        return found
+
     def number(self, osm_id: int) -> int:
         i = int(np.searchsorted(self.ids, osm_id))
         if i == len(self.ids) or self.ids[i] != osm_id:
@@ -102,12 +116,13 @@ class Index:
 
     def line_to(self, target: int):
         """Great-circle distance of single nodes to a target, a trifle less against rounding."""
-        lat, lon, lats, lons = math.radians(self.lat[target]), math.radians(self.lon[target]), self.lat, self.lon
+        lat, lon = math.radians(self.lat[target]), math.radians(self.lon[target])
+        lats, lons = self.__dict__.setdefault("_radians", (np.radians(self.lat), np.radians(self.lon)))
         cos, radius = math.cos(lat), 2 * fixed.EARTH_RADIUS_M * (1 - 1e-9)
 
         def line(i: int) -> float:
-            p = math.radians(lats[i])
-            a = math.sin((lat - p) / 2) ** 2 + math.cos(p) * cos * math.sin((lon - math.radians(lons[i])) / 2) ** 2
+            p = float(lats[i])
+            a = math.sin((lat - p) / 2) ** 2 + math.cos(p) * cos * math.sin((lon - float(lons[i])) / 2) ** 2
             return radius * math.asin(min(1.0, math.sqrt(a)))
 
         return line
@@ -132,8 +147,7 @@ class Index:
             done[u] = c
             if u == source:
                 limit = c * slack
-            at = slice(self.start[u], self.start[u + 1])
-            for v, w in zip(self.dst[at].tolist(), self.weight[at].tolist()):
+            for v, w, _ in self.near(u):
                 n = c + w
                 if v not in done and n < cost.get(v, math.inf):
                     cost[v] = n
@@ -158,9 +172,8 @@ class Index:
             if u in done:
                 continue
             done.add(u)
-            at = slice(self.start[u], self.start[u + 1])
             base = cost[u]
-            for v, w, old in zip(self.dst[at].tolist(), self.weight[at].tolist(), self.walked[at].tolist()):
+            for v, w, old in self.near(u):
                 c = base + (w * penalty if old else w)
                 known = cost.get(v)
                 if known is None or c < known or (c == known and u < parent[v]):
@@ -186,8 +199,7 @@ class Index:
             c, u = heapq.heappop(heap)
             if c > out[u]:
                 continue
-            at = slice(self.start[u], self.start[u + 1])
-            for v, w, old in zip(self.dst[at].tolist(), self.weight[at].tolist(), self.walked[at].tolist()):
+            for v, w, old in self.near(u):
                 n = c + (w * penalty if old else w)
                 if n < out[v]:
                     out[v] = n
@@ -198,8 +210,7 @@ class Index:
         """Length of a path by unpenalised weights."""
         total = 0.0
         for u, v in zip(path, path[1:]):
-            at = slice(self.start[u], self.start[u + 1])
-            total += float(self.weight[at][self.dst[at] == v].min())
+            total += min(w for x, w, _ in self.near(u) if x == v)
         return total
 
     def novelty(self, path: list[int]) -> float:
@@ -208,8 +219,7 @@ class Index:
             return 1.0
         new = 0
         for u, v in zip(path, path[1:]):
-            at = slice(self.start[u], self.start[u + 1])
-            new += not self.walked[at][self.dst[at] == v].any()
+            new += not any(old for x, _, old in self.near(u) if x == v)
         return new / (len(path) - 1)
 
 

@@ -172,7 +172,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, max_bits: int = 3, blocks:
 WIDE, WIDE_BITS = 8, 90
 
 #: Share of alike bits at similarity 0.8, and share of such pairs that may be missed.
-ALIKE, MISSED = 0.849, 0.02
+ALIKE, MISSED = 0.849, 0.04
 
 
 def wide_fingerprint(text: bytes, words: int = 5) -> bytes:
@@ -187,9 +187,9 @@ def wide_fingerprint(text: bytes, words: int = 5) -> bytes:
 
 
 def wide_choices(n: int) -> list[np.ndarray]:
-    """Choices of bits whose joint value is a key: some more bits than it takes to tell n fingerprints apart,
-    and as many choices as keep the share of missed pairs under ``MISSED``."""
-    size = max(20, n.bit_length() + 2)
+    """Choices of bits whose joint value is a key: several more bits than it takes to tell n fingerprints apart, so that
+    few others share it, and as many choices as keep the share of missed pairs under ``MISSED``."""
+    size = max(24, n.bit_length() + 4)
     number = int(np.ceil(np.log(MISSED) / np.log(1 - ALIKE**size)))
     rng = np.random.default_rng(SEED)
     return [rng.choice(64 * WIDE, size, replace=False) for _ in range(number)]
@@ -278,7 +278,7 @@ def similar_documents(docs: DataFrame, words: int = 5, max_bits: int = WIDE_BITS
 
     64 bits don't tell 0.8 from 0.6, and blocks that no such pair can miss would be a few bits long.  So the fingerprint is
     eight times as wide, and keys are many choices of its bits, of which a pair at 0.8 shares one with
-    probability 0.98 (at 0.9 nearly always); distances are verified on all bits.  Null texts count as
+    probability 0.96 (at 0.9 nearly always); distances are verified on all bits.  Null texts count as
     empty; rows with a null id have a null ``component_id``; rows that share an id are linked; an empty table
     gives an empty result.
     """

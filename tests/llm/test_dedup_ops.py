@@ -219,4 +219,4 @@ def test_similar_documents(spark, bucket):
 
 def test_wide_choices_grow_slowly():
     few, many = simhash.wide_choices(1000), simhash.wide_choices(10**9)
-    assert len(few[0]) == 20 and len(many[0]) == 32 and len(few) < len(many) < 1500
+    assert len(few[0]) == 24 and len(many[0]) == 34 and len(few) < len(many) < 1500

@@ -278,7 +278,7 @@ def score(docs: DataFrame, held_out, name: str = "ngram-lm") -> DataFrame:
         vocab = vocabulary(files, stats, shipped)
         kind = "<u4" if vocab.size < 2**32 - 2 else "<u8"
         packer = zstandard.ZstdCompressor(level=1)
-        for part in slices(batches, 2, 16 << 20):
+        for part in slices(batches, 2, 4 << 20):
             doc, row, texts, held = (part.column(i).to_pylist() for i in range(4))
             split = [tokens(t) for t in texts]
             local: dict[bytes, int] = {END: 0}

@@ -171,8 +171,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, max_bits: int = 3, blocks:
 #: for 0.6.
 WIDE, WIDE_BITS = 8, 90
 
-#: Share of alike bits at similarity 0.8, and share of such pairs that may be missed.
-ALIKE, MISSED = 0.849, 0.04
+#: Share of alike bits at similarity 0.8, and share of pairs (at a given share of alike bits) that may be missed.
+ALIKE, MISSED = 0.849, 0.02
+
+#: Number of rows that the keys are made for.  Fixed, so that it doesn't depend on the other rows whether a pair is found; with more
+#: rows more of them share a key by chance, which costs time but no pair.
+KEY_ROWS = 2**20 - 1
 
 
 def wide_fingerprint(text: bytes, words: int = 5) -> bytes:
@@ -186,13 +190,15 @@ def wide_fingerprint(text: bytes, words: int = 5) -> bytes:
     return b"".join(out)
 
 
-def wide_choices(n: int) -> list[np.ndarray]:
+def wide_choices(n: int, alike: float = ALIKE) -> list[np.ndarray]:
     """Choices of bits whose joint value is a key: several more bits than it takes to tell n fingerprints apart, so that
-    few others share it, and as many choices as keep the share of missed pairs under ``MISSED``."""
+    few others share it, and as many choices as keep the share of missed pairs, at a share ``alike`` of alike bits, under ``MISSED``."""
     size = max(24, n.bit_length() + 4)
-    number = int(np.ceil(np.log(MISSED) / np.log(1 - ALIKE**size)))
+    bits = 64 * WIDE
+    shared = np.prod((alike * bits - np.arange(size)) / (bits - np.arange(size)))  # all of a choice's bits are alike
+    number = int(np.ceil(np.log(MISSED) / np.log(1 - shared)))
     rng = np.random.default_rng(SEED)
-    return [rng.choice(64 * WIDE, size, replace=False) for _ in range(number)]
+    return [rng.choice(bits, size, replace=False) for _ in range(number)]
 
 
 def wide_forest(v: np.ndarray, max_bits: int) -> tuple[list[tuple[int, int]], list[int]]:
@@ -215,12 +221,12 @@ def wide_links(classes: DataFrame, max_bits: int = WIDE_BITS, bucket: int = BUCK
     """Links ``a, b`` between the nodes of ``classes(node, wide)`` whose fingerprints share a key and differ in
     at most ``max_bits`` bits.  A bucket of any size is read in parts of ``bucket`` rows; from part to part one row of each
     component is carried on."""
-    choices = wide_choices(classes.count())
+    choices = wide_choices(KEY_ROWS, 1 - max_bits / (64 * WIDE))
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 2000):
-                part = b.slice(at, 2000)
+            for at in range(0, b.num_rows, 500):
+                part = b.slice(at, 500)
                 node = part.column(0).to_numpy()
                 bits = np.unpackbits(np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(len(node), -1), axis=1)
                 found = []
@@ -229,6 +235,24 @@ def wide_links(classes: DataFrame, max_bits: int = WIDE_BITS, bucket: int = BUCK
                     found.append((bits[:, c] * weight).sum(axis=1) * np.uint64(2048) + np.uint64(t))
                 yield pa.record_batch([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.tile(node, len(choices)))], names=["key", "node"])
 
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of rows sorted by key those whose key another row has as well."""
+        last, open_ = None, False  # the row before, and whether its key was met earlier
+        for b in batches:
+            if not b.num_rows:
+                continue
+            key, node = b.column(0).to_numpy(), b.column(1).to_numpy()
+            met = np.zeros(len(key), bool)
+            if last is not None:
+                key, node, met = np.append(last[0], key), np.append(last[1], node), np.append(open_, met)
+            same = key[1:] == key[:-1]
+            met[1:] |= same
+            keep = met[:-1] | same
+            yield pa.record_batch([pa.array(key[:-1][keep]), pa.array(node[:-1][keep])], names=["key", "node"])
+            last, open_ = (key[-1], node[-1]), bool(met[-1])
+        if open_:
+            yield pa.record_batch([pa.array([last[0]], pa.int64()), pa.array([last[1]], pa.int64())], names=["key", "node"])
+
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, node, wide = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, WIDE), np.uint64)
 
@@ -263,8 +287,8 @@ def wide_links(classes: DataFrame, max_bits: int = WIDE_BITS, bucket: int = BUCK
         yield _signed_batch(joined(len(key))[0])
 
     rows = classes.mapInArrow(keys, "key long, node long")
-    shared = materialize(rows.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("key"), "wide-keys")
-    rows = rows.join(shared, "key").join(classes, "node").select("key", "node", "wide")
+    rows = materialize(rows.repartition("key").sortWithinPartitions("key").mapInArrow(shared, "key long, node long"), "wide-keys")
+    rows = rows.join(classes, "node").select("key", "node", "wide")
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(links, "a long, b long")
 
 
@@ -277,8 +301,8 @@ def similar_documents(docs: DataFrame, words: int = 5, max_bits: int = WIDE_BITS
     """Per row of ``docs``: the id and ``component_id``, where links stand for a similarity of about 0.8 or more.
 
     64 bits don't tell 0.8 from 0.6, and blocks that no such pair can miss would be a few bits long.  So the fingerprint is
-    eight times as wide, and keys are many choices of its bits, of which a pair at 0.8 shares one with
-    probability 0.96 (at 0.9 nearly always); distances are verified on all bits.  Null texts count as
+    eight times as wide, and keys are many choices of its bits, of which a pair at ``max_bits`` shares one with
+    probability 0.98 (a nearer one nearly always); distances are verified on all bits.  Null texts count as
     empty; rows with a null id have a null ``component_id``; rows that share an id are linked; an empty table
     gives an empty result.
     """

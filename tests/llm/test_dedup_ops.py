@@ -220,3 +220,18 @@ def test_similar_documents(spark, bucket):
 def test_wide_choices_grow_slowly():
     few, many = simhash.wide_choices(1000), simhash.wide_choices(10**9)
     assert len(few[0]) == 24 and len(many[0]) == 34 and len(few) < len(many) < 1500
+
+
+@pytest.mark.parametrize("others", [0, 3000])
+def test_pairs_at_the_bound_are_proposed(spark, others):
+    rng = np.random.default_rng(4)
+    rows = []
+    for _ in range(500):
+        a = rng.integers(0, 2, 512)
+        b = a.copy()
+        b[rng.choice(512, simhash.WIDE_BITS, replace=False)] ^= 1
+        rows += [a, b]
+    rows += list(rng.integers(0, 2, (others, 512)))
+    classes = spark.createDataFrame([(i, np.packbits(x).tobytes()) for i, x in enumerate(rows)], "node long, wide binary")
+    got = {tuple(sorted(r)) for r in simhash.wide_links(classes).collect()}
+    assert got <= {(i, i + 1) for i in range(0, 1000, 2)} and len(got) >= 0.97 * 500

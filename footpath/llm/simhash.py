@@ -201,26 +201,26 @@ def wide_choices(n: int, alike: float = ALIKE) -> list[np.ndarray]:
     return [rng.choice(bits, size, replace=False) for _ in range(number)]
 
 
-def wide_forest(v: np.ndarray, max_bits: int) -> tuple[list[tuple[int, int]], list[int]]:
-    """Links, as row numbers, among the rows of ``v``, and the first row of each component."""
-    links, firsts, left = [], [], np.arange(len(v))
+def wide_forest(v: np.ndarray, max_bits: int, step: int = BUCKET) -> list[tuple[int, int]]:
+    """Links, as row numbers, that join what is joined by distances among the rows of ``v``; a row is compared with ``step``
+    others at once."""
+    links, left = [], np.arange(len(v))
     while len(left):
-        firsts.append(int(left[0]))
         queue, left = [left[0]], left[1:]
         while queue and len(left):
             x = queue.pop()
-            near = np.bitwise_count(v[left] ^ v[x]).sum(axis=1) <= max_bits
+            near = np.concatenate([np.bitwise_count(v[left[at : at + step]] ^ v[x]).sum(axis=1) <= max_bits for at in range(0, len(left), step)])
             if near.any():
                 found, left = left[near], left[~near]
                 links += [(int(x), int(y)) for y in found]
                 queue.extend(found)
-    return links, firsts
+    return links
 
 
 def wide_links(classes: DataFrame, max_bits: int = WIDE_BITS, bucket: int = BUCKET) -> DataFrame:
     """Links ``a, b`` between the nodes of ``classes(node, wide)`` whose fingerprints share a key and differ in
-    at most ``max_bits`` bits.  A bucket of any size is read in parts of ``bucket`` rows; from part to part one row of each
-    component is carried on."""
+    at most ``max_bits`` bits.  Rows are read in parts of ``bucket``, and a larger bucket is put together from its parts before
+    it is linked: distances aren't transitive, so no row can stand for another."""
     choices = wide_choices(KEY_ROWS, 1 - max_bits / (64 * WIDE))
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,37 +254,38 @@ def wide_links(classes: DataFrame, max_bits: int = WIDE_BITS, bucket: int = BUCK
             yield pa.record_batch([pa.array([last[0]], pa.int64()), pa.array([last[1]], pa.int64())], names=["key", "node"])
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, node, wide = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, WIDE), np.uint64)
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # parts of the bucket that may go on
 
-        def joined(cut: int) -> tuple[list[tuple[int, int]], list[int]]:
-            found, firsts = [], []
-            start = np.flatnonzero(np.concatenate(([True], key[1:cut] != key[: cut - 1]))) if cut else np.zeros(0, np.int64)
-            size = np.diff(np.append(start, cut))
+        def joined(key: np.ndarray, node: np.ndarray, wide: np.ndarray) -> list[tuple[int, int]]:
+            found = []
+            start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            size = np.diff(np.append(start, len(key)))
             two = start[size == 2]
             two = two[np.bitwise_count(wide[two] ^ wide[two + 1]).sum(axis=1) <= max_bits]
             found += zip(node[two].tolist(), node[two + 1].tolist())
             for a, n in zip(start[size > 2].tolist(), size[size > 2].tolist()):
-                own, first = wide_forest(wide[a : a + n], max_bits)
-                found += [(int(node[a + x]), int(node[a + y])) for x, y in own]
-                firsts = [a + x for x in first]
-            return found, firsts
+                found += [(int(node[a + x]), int(node[a + y])) for x, y in wide_forest(wide[a : a + n], max_bits, bucket)]
+            return found
+
+        def whole() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            parts = [np.concatenate(x) for x in zip(*held)]
+            held.clear()
+            return parts[0], parts[1], parts[2]
 
         for b in batches:
             for at in range(0, b.num_rows, bucket):
                 part = b.slice(at, bucket)
-                key = np.concatenate((key, part.column(0).to_numpy()))
-                node = np.concatenate((node, part.column(1).to_numpy()))
-                own = np.frombuffer(b"".join(part.column(2).to_pylist()), ">u8").astype(np.uint64).reshape(-1, WIDE)
-                wide = np.concatenate((wide, own))
-                cut = int(np.searchsorted(key, key[-1])) if len(key) else 0
-                found, _ = joined(cut)
-                key, node, wide = key[cut:], node[cut:], wide[cut:]
-                if len(key) > bucket:  # one bucket
-                    more, firsts = joined(len(key))
-                    found += more
-                    key, node, wide = key[firsts], node[firsts], wide[firsts]
-                yield _signed_batch(found)
-        yield _signed_batch(joined(len(key))[0])
+                key, node = part.column(0).to_numpy(), part.column(1).to_numpy()
+                wide = np.frombuffer(b"".join(part.column(2).to_pylist()), ">u8").astype(np.uint64).reshape(-1, WIDE)
+                held.append((key, node, wide))
+                if held[0][0][0] == key[-1]:  # one bucket so far
+                    continue
+                key, node, wide = whole()
+                cut = int(np.searchsorted(key, key[-1]))
+                held.append((key[cut:], node[cut:], wide[cut:]))
+                yield _signed_batch(joined(key[:cut], node[:cut], wide[:cut]))
+        if held:
+            yield _signed_batch(joined(*whole()))
 
     rows = classes.mapInArrow(keys, "key long, node long")
     rows = materialize(rows.repartition("key").sortWithinPartitions("key").mapInArrow(shared, "key long, node long"), "wide-keys")

@@ -235,3 +235,21 @@ def test_pairs_at_the_bound_are_proposed(spark, others):
     classes = spark.createDataFrame([(i, np.packbits(x).tobytes()) for i, x in enumerate(rows)], "node long, wide binary")
     got = {tuple(sorted(r)) for r in simhash.wide_links(classes).collect()}
     assert got <= {(i, i + 1) for i in range(0, 1000, 2)} and len(got) >= 0.97 * 500
+
+
+@pytest.mark.parametrize("bucket", [4096, 4])
+def test_chains_in_hot_buckets(spark, bucket, monkeypatch):
+    """Neighbours of a chain are 60 bits apart, all others over the bound; each chain has one key."""
+    monkeypatch.setattr(simhash, "wide_choices", lambda *a: [np.arange(24)])
+    rng = np.random.default_rng(5)
+    rows = []
+    for c in range(20):
+        x = rng.integers(0, 2, 512)
+        for k in range(9):
+            x[24 + 60 * (k - 1) : 24 + 60 * k if k else 24] ^= 1
+            rows.append((len(rows), np.packbits(x).tobytes(), c))
+    order = rng.permutation(len(rows)).tolist()
+    classes = spark.createDataFrame([(i, rows[j][1]) for i, j in enumerate(order)], "node long, wide binary")
+    found = {r.node: r.component for r in common.connected_components(simhash.wide_links(classes, bucket=bucket)).collect()}
+    chain = {i: rows[j][2] for i, j in enumerate(order)}
+    assert found == {i: min(x for x in chain if chain[x] == c) for i, c in chain.items()}

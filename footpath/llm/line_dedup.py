@@ -10,7 +10,8 @@ equal to a whole line is an insertion.  Emitting a variant per character of ever
 so the part that may differ is narrowed first: one edit leaves one half of a line alone, so only lines that
 share a half with a different line can have a partner, and the other half is halved again until it has at
 most ``WINDOW`` characters.  That loses nothing: at each step the longer length of a pair settles where both
-are cut, and a line is cut for either case.  Equal variants are joined through the earliest line of each, not as
+are cut, and a line is cut for either case.  Windows of a pair may be ``WINDOW`` and ``WINDOW + 1`` long; so the latter
+give variants as well as being halved again.  Equal variants are joined through the earliest line of each, not as
 pairs; the edit distance is verified on the texts.
 """
 
@@ -76,7 +77,7 @@ def near_lines(docs: DataFrame, distinct: DataFrame, min_chars: int = MIN_CHARS,
     while True:
         rows = rows.select("h", "first", F.inline(_cuts(F.length("window"), F.col("key"), F.col("window"))))
         rows = materialize(_shared(rows), "windows")
-        done = rows.where(F.length("window") <= WINDOW)
+        done = rows.where(F.length("window") <= WINDOW + 1)  # one more, as its partner may end here
         ready = done if ready is None else ready.unionByName(done)
         rows = rows.where(F.length("window") > WINDOW)
         if rows.isEmpty():  # a window is halved each time

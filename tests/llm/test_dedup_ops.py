@@ -124,6 +124,20 @@ def test_lines(spark, broadcast):
     assert removed > 100
 
 
+def test_one_edit_at_every_place(spark):
+    """Lines of 60 to 140 characters, each without one of its characters or with one replaced, at every place."""
+    rnd = random.Random(3)
+    rows = []
+    for n in range(60, 141):
+        for i in range(n):
+            line = "".join(rnd.choice("abcdefgh") for _ in range(n))
+            new = "#" if i % 2 else ""
+            rows += [(len(rows), line), (len(rows) + 1, line[:i] + line[i + 1 :]), (len(rows) + 2, line[:i] + new + line[i + 1 :])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id for r in line_dedup.dedup_lines(docs).where("n_removed = 0").collect()}
+    assert got == set(range(0, len(rows), 3))
+
+
 def test_lines_special_rows(spark):
     line = "a line that is long enough"
     rows = [(None, line), (1, None), (2, ""), (3, f"{line}\n{line}\nshort\nshort\n"), (4, line + "!"), (4, line + "!"), (5, "z" * 5000), (6, "z" * 5001)]

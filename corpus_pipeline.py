@@ -1,7 +1,7 @@
 """Cleaning and packing of a text corpus in five stages; each works on all that the one before kept.
 
 1. quality: documents that the importance-resampling classifier rejects go.
-2. lines: lines that repeat an earlier line up to one edit go.
+2. lines: lines that repeat an earlier line up to one edit go (those under 16 characters only as exact repeats).
 3. near_duplicates: one document of each SimHash group stays, that with the smallest id.
 4. substrings: words in repeated passages of ``PASSAGE_WORDS`` words or more go.
 5. packing: token pieces are packed into sequences of 2048.
@@ -31,7 +31,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _with_text(line_dedup.dedup_lines(docs))
+    return _with_text(line_dedup.dedup_lines(docs, short_repeats=True))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

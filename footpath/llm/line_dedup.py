@@ -25,7 +25,7 @@ from .common import materialize
 #: Characters of a window whose variants are emitted.
 WINDOW = 32
 
-#: Lines with fewer characters say too little to be called duplicates; they are left alone.
+#: Lines with fewer characters say too little to be called duplicates of lines one edit away.
 MIN_CHARS = 16
 
 #: Up to so many lines with a shared half (16 bytes each) are broadcast to fetch their texts; beyond, they
@@ -47,10 +47,16 @@ def _cuts(n: Column, key: Column, text: Column) -> Column:
     return F.concat(left, right)
 
 
-def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
+def _takes_part(line: Column, min_chars: int, short: bool = False) -> Column:
+    """Lines of ``min_chars`` characters, spaces at the ends apart; with ``short`` all lines that aren't blank."""
+    long = F.length(F.trim(line)) >= min_chars
+    return long | line.rlike(r"\S") if short else long
+
+
+def _lines(docs: DataFrame, min_chars: int, short: bool = False) -> DataFrame:
     """Lines that take part: ``doc_id, pos, line, h, h2``."""
     rows = docs.where("doc_id is not null and text is not null").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    rows = rows.where(F.length(F.trim("line")) >= min_chars)
+    rows = rows.where(_takes_part(F.col("line"), min_chars, short))
     return rows.withColumn("h", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit(7), "line"))
 
 
@@ -105,11 +111,13 @@ def near_lines(docs: DataFrame, distinct: DataFrame, min_chars: int = MIN_CHARS,
     return verified.select("h", "h2").distinct()
 
 
-def kept_lines(docs: DataFrame, max_edits: int = 1, min_chars: int = MIN_CHARS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def kept_lines(docs: DataFrame, max_edits: int = 1, min_chars: int = MIN_CHARS, broadcast_rows: int = BROADCAST_ROWS, short_repeats: bool = False) -> DataFrame:
     """``doc_id, kept``: positions of the lines of a document that take part and stay."""
-    lines = _lines(docs, min_chars)
+    lines = _lines(docs, min_chars, short_repeats)
     n = F.length("line")
     keys = F.transform(_cuts(n, F.lit(0).cast("long"), F.col("line")), lambda x: x["key"])
+    if short_repeats:
+        keys = F.when(_takes_part(F.col("line"), min_chars), keys)  # short lines are compared as a whole only
     first = F.min(F.struct("doc_id", "pos")).alias("first")
     if max_edits:
         # fixed in number (3 to 4), so that they go along with the hash; missing ones are null
@@ -124,11 +132,12 @@ def kept_lines(docs: DataFrame, max_edits: int = 1, min_chars: int = MIN_CHARS,
     return kept.select("first.*").groupBy("doc_id").agg(F.collect_list("pos").alias("kept"))
 
 
-def dedup_lines(docs: DataFrame, max_edits: int = 1, min_chars: int = MIN_CHARS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def dedup_lines(docs: DataFrame, max_edits: int = 1, min_chars: int = MIN_CHARS, broadcast_rows: int = BROADCAST_ROWS, short_repeats: bool = False) -> DataFrame:
     """``docs`` with ``text`` without duplicate lines, and ``n_lines`` and ``n_removed``.
 
     ``max_edits`` is 1, or 0 for equal lines only.  Lines end at line feeds; those with fewer than
-    ``min_chars`` characters, spaces at the ends apart, always stay.  A null text stays null (0 lines), an empty text has one
+    ``min_chars`` characters, spaces at the ends apart, always stay, or with ``short_repeats`` go as exact repeats
+    unless they are blank.  A null text stays null (0 lines), an empty text has one
     empty line.  Rows with a null ``doc_id`` stay as they are and are no source of duplicates; rows
     that share a ``doc_id`` are taken as one place and judged alike.  Other columns go along (but for
     ``n_lines`` and ``n_removed``, which are replaced); an empty table gives an empty result.
@@ -136,12 +145,12 @@ def dedup_lines(docs: DataFrame, max_edits: int = 1, min_chars: int = MIN_CHARS,
     if max_edits not in (0, 1):
         raise ValueError("max_edits must be 0 or 1")
     own = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    kept = kept_lines(docs.select("doc_id", "text"), max_edits, min_chars, broadcast_rows)
+    kept = kept_lines(docs.select("doc_id", "text"), max_edits, min_chars, broadcast_rows, short_repeats)
     kept = materialize(kept.select(F.col("doc_id").alias("_kept_doc"), F.col("kept").alias("_kept")), "kept")
     lines = F.split("text", "\n", -1)
     rows = docs.select(*own).join(kept, F.col("doc_id") == F.col("_kept_doc"), "left")
     at = F.sequence(F.lit(0), F.size("_lines") - 1)
-    judged = F.filter(at, lambda i: F.length(F.trim(F.get(F.col("_lines"), i))) >= min_chars)
+    judged = F.filter(at, lambda i: _takes_part(F.get(F.col("_lines"), i), min_chars, short_repeats))
     rows = rows.withColumn("_lines", lines)
     gone = F.when(F.col("doc_id").isNull(), F.array().cast("array<int>")).otherwise(F.array_except(judged, F.coalesce("_kept", F.array().cast("array<int>"))))
     rows = rows.withColumn("_gone", F.when(F.col("_lines").isNotNull(), gone))

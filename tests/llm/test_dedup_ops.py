@@ -9,6 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from footpath.llm import common, line_dedup, simhash, substring_dedup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -138,6 +139,15 @@ def test_one_edit_at_every_place(spark):
     assert got == set(range(0, len(rows), 3))
 
 
+def test_short_repeats(spark):
+    line = "a line that is long enough"
+    docs = spark.createDataFrame([(1, f"menu\n\n{line}\n\r\nmenu"), (2, f"menu\n\n{line}s\n\r\nmenus"), (3, " menu")], "doc_id long, text string")
+    got = {r.doc_id: (r.text, r.n_removed) for r in line_dedup.dedup_lines(docs, short_repeats=True).collect()}
+    assert got == {1: (f"menu\n\n{line}\n\r", 1), 2: ("\n\r\nmenus", 2), 3: (" menu", 0)}
+    stage = {r.doc_id: r.text for r in corpus_pipeline.lines(spark, docs.withColumn("lang", F.lit("")).withColumn("source", F.lit("")), "").collect()}
+    assert stage == {i: text for i, (text, _) in got.items()}
+
+
 def test_lines_special_rows(spark):
     line = "a line that is long enough"
     rows = [(None, line), (1, None), (2, ""), (3, f"{line}\n{line}\nshort\nshort\n"), (4, line + "!"), (4, line + "!"), (5, "z" * 5000), (6, "z" * 5001)]

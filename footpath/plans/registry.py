@@ -380,14 +380,9 @@ def _(spark, d):
     return novelty.best_candidates(_candidates(spark, d), profile="length").select("qid", "penalty", metres(), metres("novelty", 9), metres("overhead", 6))
 
 
-def _even_walks(g: Graph, pairs: DataFrame) -> DataFrame:
-    """Edges of the shortest paths of even pairs: the history that the routes below are held against."""
-    return written(report.walked_of(paths.shortest_paths(g, pairs.where("qid % 2 = 0"))), "even-walks")
-
-
 def _routes(spark, d, **how):
     g, pairs = lattice(spark, d), fx.od_pairs(spark, d)
-    found = novelty.novelty_routes(g, pairs, _even_walks(g, pairs), **how)
+    found = novelty.novelty_routes(g, pairs, written(walked(spark, d), "walked"), **how)
     return found.select("qid", "found", metres(), metres("shortest_distance"), metres("novelty", 9), metres("overhead", 6), F.size("path").alias("n_nodes"))
 
 

@@ -17,6 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import materialize, slices
 
@@ -27,7 +28,9 @@ BUCKETS = 10_000
 LABELLED_ROWS = 20_000
 
 SEED = 42
-MEMO_ENTRIES = 500_000
+
+#: Tokens of at most ``MEMO_CHARS`` characters whose hashes a Python worker keeps (about 20 MB); emptied when full.
+MEMO_ENTRIES, MEMO_CHARS = 100_000, 32
 
 #: Words, and runs of other characters.  A token that repeats the one before counts as this mark.
 TOKEN = re.compile(r"\w+|[^\w\s]+")
@@ -47,7 +50,9 @@ def features(text: str) -> np.ndarray:
     for t in tokens:
         h = _MEMO.get(t)
         if h is None:
-            h = _MEMO[t] = xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass"), SEED)
+            h = xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass"), SEED)
+            if len(t) <= MEMO_CHARS:
+                _MEMO[t] = h
         out.append(h)
     one = np.array(out, np.uint64)
     same = np.concatenate(([False], one[1:] == one[:-1]))
@@ -64,7 +69,7 @@ def bucket_counts(docs: DataFrame, target_ids: frozenset[int]) -> tuple[np.ndarr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         every, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
-        for part in slices(batches, 1):
+        for part in slices(batches, 1, 4 << 20):
             for one, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                 n = np.bincount(features(text), minlength=BUCKETS)
                 every += n
@@ -79,10 +84,6 @@ def bucket_counts(docs: DataFrame, target_ids: frozenset[int]) -> tuple[np.ndarr
     return every, target
 
 
-#: N-grams that a document's evidence counts as, at most.  Those of one text depend on each other, and a
-#: plain sum would let tiny misfits of the models decide over long texts.
-EVIDENCE = 50
-
 #: Odds against a document from which on it isn't counted among those to keep: dropping a good
 #: document costs more than keeping a bad one.
 REJECT_ODDS = 100.0
@@ -98,7 +99,8 @@ class Model:
         self.every, self.target, self.ids, self.prior = every, target, ids, prior
 
     def log_weight(self, one: int | None, text: str | None) -> float:
-        """Log of a whole text's importance weight, as of ``EVIDENCE`` n-grams; 0 (no evidence) for a text without words.
+        """Log of a whole text's importance weight: the sum over its n-grams of the log ratio of the two models; 0 for a text
+        without words.
 
         The text's own n-grams are taken out of the counts of all text and, if it is one of the
         target's documents, of these, so that the models don't favour what they were fitted on.  A
@@ -112,8 +114,7 @@ class Model:
         share = (self.every[bucket] - n + 1.0) / (self.every.sum() - n.sum() + BUCKETS)
         e = (self.target.sum() - size) * share
         c = self.target[bucket] - own + PRIOR_COUNT + 0.5 * e / (e + PRIOR_COUNT)
-        mean = (n * np.log(c / (e + PRIOR_COUNT))).sum() / n.sum()
-        return float(mean * min(int(n.sum()), EVIDENCE))
+        return float((n * np.log(c / (e + PRIOR_COUNT))).sum())
 
 
 def fit(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS) -> Model:
@@ -130,45 +131,17 @@ def fit(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS)
     return Model(every, target, ids, share if share else 1.0)
 
 
-def log_weight(self, one: int | None, text: str | None) -> float:
-        """Log of a whole text's importance weight, as of ``EVIDENCE`` n-grams; 0 (no evidence) for a text without words.
-
-        The text's own n-grams are taken out of the counts of all text and, if it is one of the
-        target's documents, of these, so that the models don't favour what they were fitted on.  A
-        bucket of expected target count e and observed count c has the log ratio of c and e, both with the
-        prior count; e / (e + prior) / 2 evens out the bias of a logarithm of counts.
-        """
-        if not text or not self.target.sum():
-            return 0.0
-        bucket, n = np.unique(features(text), return_counts=True)
-        own, size = (n, n.sum()) if one in self.ids else (0, 0)
-        share = (self.every[bucket] - n + 1.0) / (self.every.sum() - n.sum() + BUCKETS)
-        e = (self.target.sum() - size) * share
-        c = self.target[bucket] - own + PRIOR_COUNT + 0.5 * e / (e + PRIOR_COUNT)
-        mean = (n * np.log(c / (e + PRIOR_COUNT))).sum() / n.sum()
-        return float(mean * min(int(n.sum()), EVIDENCE))
-
+def weighed(docs: DataFrame, model: Model) -> DataFrame:
+    """``docs`` (with ``doc_id`` and ``text``) and their ``log_weight``, some megabytes of text at a time."""
+    names = docs.columns
+    one, text = names.index("doc_id"), names.index("text")
 
-def fit(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS) -> Model:
-    """Fit both models.  ``labels``: ``doc_id, quality`` (1 good) and ``toxic``; good ones that aren't toxic are the target.
-
-    Counts of all text cover every document.  Without labelled good documents every weight is 1.
-    """
-    labels = labels.where("doc_id is not null and quality is not null").select("doc_id", "quality", "toxic")
-    good = (F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)
-    chosen = labels.where(good).select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(labelled_rows)
-    ids = frozenset(r.doc_id for r in chosen.collect())  # labelled_rows at most
-    share = labels.agg(F.avg(F.when(F.col("quality") == 1, 1.0).otherwise(0.0))).first()[0]
-    every, target = bucket_counts(docs, ids)
-    return Model(every, target, ids, share if share else 1.0)
-
-
-def log_weight(model: Model, id_col: Column, text: Column) -> Column:
-    @F.arrow_udf("double")
-    def weigh(ids: pa.Array, texts: pa.Array) -> pa.Array:
-        return pa.array(map(model.log_weight, ids.to_pylist(), texts.to_pylist()), pa.float64())
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, text, 4 << 20):
+            found = pa.array(map(model.log_weight, part.column(one).to_pylist(), part.column(text).to_pylist()), pa.float64())
+            yield pa.record_batch([*part.columns, found], names=[*names, "log_weight"])
 
-    return weigh(id_col, text)
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("log_weight", DoubleType())]))
 
 
 def gumbel(id_col: Column, seed: int = SEED) -> Column:
@@ -199,7 +172,7 @@ def scores(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROW
     """The fitted model, the least key (log weight plus noise) that is drawn, and the written table
     ``doc_id, log_weight, key`` of all rows."""
     model = fit(docs, labels, labelled_rows)
-    keys = docs.select("doc_id", log_weight(model, F.col("doc_id"), F.col("text")).alias("log_weight"))
+    keys = weighed(docs, model).select("doc_id", "log_weight")
     keys = materialize(keys.withColumn("key", F.col("log_weight") + gumbel(F.col("doc_id"))), "keys")
     k = keys.where(F.col("log_weight") >= F.lit(float(-np.log(REJECT_ODDS * model.prior)))).count()
     return model, kth_largest(keys, k) if k else float("inf"), keys
@@ -216,12 +189,12 @@ def classify(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_R
     own = [c for c in docs.columns if c not in ("log_weight", "key", "keep")]
     docs = docs.select(*own)
     model, least, _ = scores(docs.select("doc_id", "text"), labels, labelled_rows)
-    rows = docs.withColumn("log_weight", log_weight(model, F.col("doc_id"), F.col("text")))
-    rows = rows.withColumn("key", F.col("log_weight") + gumbel(F.col("doc_id")))
+    rows = weighed(docs, model).withColumn("key", F.col("log_weight") + gumbel(F.col("doc_id")))
     return rows.withColumn("keep", F.col("key") >= F.lit(least))
 
 
 def op10_importance_resampling(spark, sf_dir: str) -> DataFrame:
+    """Weight, key and decision of every document; see ``classify`` for special cases."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     _, least, found = scores(docs, labels)

@@ -1,51 +1,52 @@
-"""Language-model scores from an Elias-Fano n-gram trie of two levels.
+"""Language-model scores from an Elias-Fano n-gram trie of three levels.
 
-Model: a bigram model with a Dirichlet prior of strength ``MU`` around the unigram model,
+Model: trigrams over bigrams over words, each level with a Dirichlet prior of the one below,
 
-    P(w | c) = (n(c, w) + MU * P(w)) / (n(c) + MU),
+    P(w | u v) = (n(u v w) + MU3 * P(w | v)) / (n(u v) + MU3),
+    P(w | v)   = (n(v w) + MU2 * P(w)) / (n(v) + MU2),
 
 where unknown words together have the Good-Turing mass of the words that were seen once, and known ones share
-the rest by their counts.  A text's tokens are its words and one end; the first context is the start.
-
-Level one holds the vocabulary: sorted word hashes (Elias-Fano), exact counts and quantised log
-probabilities, in files that every task maps into memory; a word's id is its rank.  Level two is cut into shards by
-context, frequent contexts also by word, so that no shard grows with the corpus and no word makes one
-hot.  A shard's trie has its contexts, monotone pointers to their successors, the successors as one monotone sequence
-(rank of the context times the vocabulary plus word, so successors are searched relative to their context) and
-one byte for each quantised smoothed log probability.
-
-Pairs travel to their shard once: there they are counted (training documents only; all of them, no
-cut-off), the trie is written and mapped, and the same pairs are looked up in it.  Documents' sums come
-back by row.  Sums are of multiples of 2**-20, so they don't depend on the order.
+the rest by their counts.  A text's tokens are its words and one end; before the first stand two starts.
+
+Level one is the vocabulary: sorted word hashes (Elias-Fano), exact counts and quantised log
+probabilities; a word's id is its rank.  Levels two and three are cut into shards by first word, frequent
+first words also by second word.  A shard has its first words, monotone pointers to their successors, the successors as one
+monotone sequence (rank of the first word times the vocabulary plus word, so successors are searched relative to their
+context), and the same again from pairs to third words.  A pair has one byte for its quantised log P(w | v) and one for the
+quantised weight MU3 / (n + MU3) of the level below, a triple one for its quantised log n / MU3: their product with the weight is what the
+triple adds to the weighed level below.  So no shard needs another's statistics.  Triples of pairs that
+may be frequent (both words are) are spread over all shards by the third word too, so no pair makes a shard hot.
+
+Every n-gram of the training texts is kept, no cut-off.  Texts become word ids once, in a written table.  N-grams are added up before
+they travel to their shard, where levels are written once to the shared folder; then every scoring task maps them,
+and looks up a batch's distinct n-grams shard by shard, in order.  A text is scored in one place and gives one row.
 """
 
 from __future__ import annotations
 
+import mmap
 import os
-import shutil
 import struct
-import tempfile
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
+import pyarrow.parquet as pq
 import xxhash
 import zstandard
 from pyspark import SparkFiles
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import elias_fano
 from .common import local_path, materialize, new_path, slices
 
-#: Strength of the unigram prior, in counts.
-MU = 200.0
+#: Strength of the priors of pairs and of triples, in counts.
+MU2, MU3 = 200.0, 5.0
 
-#: Tokens of a shard and shards of a task, on average, and words of a vocabulary part.  A task unpacks one shard at a
-#: time and adds up its shards' sums, so that a text's sums come back from fewer tasks than there are shards.
-SHARD_TOKENS, TASK_SHARDS, PART_WORDS = 750_000, 6, 1_000_000
+#: Training tokens of a shard on average, tokens that are counted or scored at once, and words of a vocabulary part.
+SHARD_TOKENS, STEP_TOKENS, PART_WORDS = 3_000_000, 1_000_000, 1_000_000
 
 #: The end's spelling; no word has white space.
 END = b" end"
@@ -77,6 +78,9 @@ class Vocabulary:
         self.bits = stats["part_bits"]
         self.parts, self.base = [], [0]
         for path in files:
+            if not os.path.exists(path):  # a part without words
+                self.base.append(self.base[-1])
+                continue
             data = elias_fano.mapped(path)
             words = elias_fano.Sequence(data)
             at = words.end
@@ -85,16 +89,17 @@ class Vocabulary:
             codes = data[at : at + words.n]
             at += words.n + (-words.n % 8)
             book = data[at : at + 256 * 8].view("<f8")
-            self.parts.append((words, counts, codes, book))
+            self.parts.append((len(self.base) - 1, words, counts, codes, book))
             self.base.append(self.base[-1] + words.n)
-        self.size = self.base[-1]
+        self.size = self.base[-1]  # the start's id
+        self.none = self.size + 1
         self.unknown = round(np.log10(stats["unknown"]) * 2**20) / 2**20
 
     def ids(self, hashes: np.ndarray) -> np.ndarray:
         """Ids of words by hash; -1 for unknown ones."""
         out = np.full(len(hashes), -1, np.int64)
         part = hashes >> np.uint64(64 - self.bits)
-        for p, (words, *_) in enumerate(self.parts):
+        for p, words, *_ in self.parts:
             which = np.flatnonzero(part == p)
             x = hashes[which] & np.uint64((1 << (64 - self.bits)) - 1)
             found = words.find(x)
@@ -104,7 +109,7 @@ class Vocabulary:
     def look(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Counts and log10 probabilities by id; 0 and the unknown word's for -1; the start (id ``size``) counts the texts."""
         count, log = np.zeros(len(ids), np.int64), np.full(len(ids), self.unknown)
-        for p, (words, counts, codes, book) in enumerate(self.parts):
+        for p, _, counts, codes, book in self.parts:
             which = np.flatnonzero((ids >= self.base[p]) & (ids < self.base[p + 1]))
             own = ids[which] - self.base[p]
             count[which] = counts[own]
@@ -113,62 +118,194 @@ class Vocabulary:
         return count, log
 
 
-def vocabulary(files: list[str], stats: dict, shipped: bool) -> Vocabulary:
-    key = files[0]
-    if key not in _LEVELS:
+def vocabulary(files: "Files", stats: dict) -> Vocabulary:
+    if files.path not in _LEVELS:
         _LEVELS.clear()
-        _LEVELS[key] = Vocabulary([SparkFiles.get(f) for f in files] if shipped else files, stats)
-    return _LEVELS[key]
+        _LEVELS[files.path] = Vocabulary([files.local(f"words-{p}") for p in range(1 << stats["part_bits"])], stats)
+    return _LEVELS[files.path]
+
+
+class Files:
+    """Files that tasks write and others map, in a folder of the shared store.
+
+    Where the store can be mapped, they are written there.  Where it can't, Spark writes them as rows of a table, and
+    executors fetch that table from the store as they fetch other files of the job; the driver doesn't handle them."""
+
+    def __init__(self, spark: SparkSession, name: str, mapped: bool | None = None):
+        self.path = new_path(spark, name)
+        self.place = local_path(self.path) if mapped is not False else None
+
+    def put(self, name: str, parts: list[bytes]) -> bytes | None:
+        """Write a file; returns its bytes where they are to go into the table."""
+        if self.place:
+            elias_fano.write(f"{self.place}/{name}", parts)
+            return None
+        return b"".join(x + b"\0" * (-len(x) % 8) for x in parts)
+
+    def publish(self, rows: DataFrame) -> None:
+        """Run the tasks that give ``rows(name string, blob binary)``."""
+        if self.place:
+            rows.write.format("noop").mode("overwrite").save()
+        else:
+            rows.write.parquet(self.path)
+            rows.sparkSession.sparkContext.addFile(self.path, recursive=True)
+
+    def local(self, name: str) -> str:
+        """Path of a file in a task; there is none if no task wrote it."""
+        if self.place:
+            return f"{self.place}/{name}"
+        folder = SparkFiles.get(os.path.basename(self.path))
+        if not os.path.exists(f"{folder}/files/_done"):
+            for part in sorted(os.listdir(folder)):
+                if part.endswith(".parquet"):
+                    for batch in pq.ParquetFile(f"{folder}/{part}").iter_batches(1, columns=["name", "blob"]):
+                        for own, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                            elias_fano.write(f"{folder}/files/{own}", [blob])
+            elias_fano.write(f"{folder}/files/_done", [])
+        return f"{folder}/files/{name}"
+
+
+def grouped(u: np.ndarray, v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows sorted by u, v, w: where first words, pairs and triples begin."""
+    if not len(u):
+        return (np.zeros(0, np.int64),) * 3
+    one = np.concatenate(([True], u[1:] != u[:-1]))
+    two = one | np.concatenate(([True], v[1:] != v[:-1]))
+    three = two | np.concatenate(([True], w[1:] != w[:-1]))
+    return np.flatnonzero(one), np.flatnonzero(two), np.flatnonzero(three)
+
+
+class Level:
+    """Two levels of a trie: first words to second words, pairs to third words.
+
+    ``width`` is greater than every word id; a third word of ``width`` stands for a pair without a third word."""
 
+    @staticmethod
+    def encode(u: np.ndarray, v: np.ndarray, w: np.ndarray, width: int) -> list[bytes]:
+        """From distinct rows, sorted by u, v, w."""
+        one, two, _ = grouped(u, v, w)
+        rank1 = np.searchsorted(one, two, "right") - 1  # of the pairs
+        rank2 = np.repeat(np.arange(len(two)), np.diff(np.append(two, len(u))))
+        real = w < width
+        before = np.concatenate(([0], np.cumsum(real)))
+        return [
+            elias_fano.encode(u[one], width),
+            elias_fano.encode(np.append(np.searchsorted(two, one), len(two)), len(two) + 1),
+            elias_fano.encode(rank1 * width + v[two], max(1, len(one)) * width),
+            elias_fano.encode(before[np.append(two, len(u))], int(before[-1]) + 1),
+            elias_fano.encode(rank2[real] * width + w[real], max(1, len(two)) * width),
+        ]
+
+    def __init__(self, data: np.ndarray, at: int, width: int):
+        self.width = width
+        self.first = elias_fano.Sequence(data, at)
+        self.pointers = elias_fano.Sequence(data, self.first.end)
+        self.second = elias_fano.Sequence(data, self.pointers.end)
+        self.next_pointers = elias_fano.Sequence(data, self.second.end)
+        self.third = elias_fano.Sequence(data, self.next_pointers.end)
+        self.end = self.third.end
+
+    def _successors(self, pointers: elias_fano.Sequence, words: elias_fano.Sequence, parent: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Places of words among the successors of their parents; -1 if a word isn't one or the parent is -1."""
+        out = np.full(len(word), -1, np.int64)
+        some = np.flatnonzero(parent >= 0)
+        if not len(some) or not words.n:
+            return out
+        own, back = np.unique(parent[some], return_inverse=True)
+        first, last = pointers.access(own).astype(np.int64)[back], pointers.access(own + 1).astype(np.int64)[back]
+        at = words.find(parent[some] * self.width + word[some])
+        out[some] = np.where((at >= first) & (at < last), at, -1)
+        return out
+
+    def pairs(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """Places of pairs in level two, or -1."""
+        own, back = np.unique(u, return_inverse=True)
+        return self._successors(self.pointers, self.second, self.first.find(own)[back], v)
 
-def backed(log_word: np.ndarray, context_count: np.ndarray) -> np.ndarray:
-    """log10 of MU P(w) / (n(c) + MU), in multiples of 2**-20."""
-    return np.round((log_word + np.log10(MU / (context_count + MU))) * 2**20) / 2**20
+    def triples(self, pair: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Places in level three of the words after pairs (given by place), or -1."""
+        return self._successors(self.next_pointers, self.third, pair, w)
 
 
 class Trie:
-    """Level two of a shard."""
+    """Levels two and three of a shard: its own pairs, and its part of the triples of frequent pairs."""
 
     @staticmethod
-    def build(context: np.ndarray, word: np.ndarray, count: np.ndarray, log_word: np.ndarray, context_count: np.ndarray, size: int) -> list[bytes]:
-        """Parts of the file, from distinct pairs sorted by context and word."""
-        values = np.log10((count + MU * 10**log_word) / (context_count + MU))
-        codes, book = quantise(values)
-        start = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1]))) if len(context) else np.zeros(0, np.int64)
-        rank = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(context))))
-        pointers = np.append(start, len(context))
+    def build(u: np.ndarray, v: np.ndarray, w: np.ndarray, count: np.ndarray, vocab: "Vocabulary", hot: int) -> list[bytes]:
+        """Parts of the file, from distinct rows sorted by u, v, w; w is ``vocab.none`` in rows that count a pair alone."""
+        n_first, _ = vocab.look(u)
+        n_second, _ = vocab.look(v)
+        spread = (np.minimum(n_first, n_second) > hot) & (w != vocab.none)
+        own = ~spread
+        a, b, c, n = u[own], v[own], w[own], count[own]
+        _, two, _ = grouped(a, b, c)
+        pair = np.add.reduceat(n, two) if len(two) else np.zeros(0, np.int64)
+        _, log_word = vocab.look(b[two])
+        code2, book2 = quantise(np.log10((pair + MU2 * 10**log_word) / (n_first[own][two] + MU2)))
+        weight, weights = quantise(np.log10(MU3 / (pair + MU3)))
+        code3, book3 = quantise(np.log10(n[c != vocab.none] / MU3))
+        code4, book4 = quantise(np.log10(count[spread] / MU3))
         return [
-            elias_fano.encode(context[start], size + 1),
-            elias_fano.encode(pointers, len(context) + 1),
-            elias_fano.encode(rank * size + word, max(1, len(start)) * size),
-            codes.tobytes(),
-            book.astype("<f8").tobytes(),
+            *Level.encode(a, b, c, vocab.none),
+            *Level.encode(u[spread], v[spread], w[spread], vocab.none),
+            *(x.tobytes() for x in (code2, weight, code3, code4)),
+            *(x.astype("<f8").tobytes() for x in (book2, weights, book3, book4)),
         ]
 
-    def __init__(self, path: str, size: int):
-        data = elias_fano.mapped(path)
-        self.size = size
-        self.contexts = elias_fano.Sequence(data)
-        self.pointers = elias_fano.Sequence(data, self.contexts.end)
-        self.words = elias_fano.Sequence(data, self.pointers.end)
-        at, n = self.words.end, self.words.n
-        self.codes = data[at : at + n]
-        at += n + (-n % 8)
-        self.book = data[at : at + 256 * 8].view("<f8")
-
-    def look(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Whether pairs are there, and their log10 probabilities; contexts sorted, so each is searched once."""
-        own, back = np.unique(context, return_inverse=True)
-        rank = self.contexts.find(own)
-        known = rank >= 0
-        first, last = np.zeros(len(own), np.int64), np.zeros(len(own), np.int64)
-        first[known] = self.pointers.access(rank[known]).astype(np.int64)
-        last[known] = self.pointers.access(rank[known] + 1).astype(np.int64)
-        at = np.full(len(word), -1, np.int64)
-        some = np.flatnonzero(known[back])
-        at[some] = self.words.find(rank[back[some]] * self.size + word[some])
-        there = (at >= first[back]) & (at < last[back]) & (at >= 0)
-        return there, self.book[self.codes[np.where(there, at, 0)]] if self.words.n else np.zeros(len(word))
+    def __init__(self, path: str, none: int):
+        self.data = elias_fano.mapped(path)
+        self.own = Level(self.data, 0, none)
+        self.spread = Level(self.data, self.own.end, none)
+        at, columns = self.spread.end, []
+        for n in (self.own.second.n, self.own.second.n, self.own.third.n, self.spread.third.n):
+            columns.append(self.data[at : at + n])
+            at += n + (-n % 8)
+        books = [self.data[at + i * 2048 : at + (i + 1) * 2048].view("<f8") for i in range(4)]
+        self.log2, self.weight, self.log3, self.log4 = ((c, b) for c, b in zip(columns, books))
+
+    @staticmethod
+    def _decoded(column: tuple[np.ndarray, np.ndarray], at: np.ndarray, missing: float) -> np.ndarray:
+        out = np.full(len(at), missing)
+        some = at >= 0
+        out[some] = column[1][column[0][at[some]]]
+        return out
+
+    def pairs(self, u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of pairs (or -1), log10 P(v | u) (or not a number), and the log10 weight of the level below after the pair."""
+        at = self.own.pairs(u, v)
+        return at, self._decoded(self.log2, at, np.nan), self._decoded(self.weight, at, 0.0)
+
+    def triples(self, pair: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """log10 of the count over ``MU3`` of triples of pairs given by place; minus infinity for unknown triples."""
+        return self._decoded(self.log3, self.own.triples(pair, w), -np.inf)
+
+    def spread_triples(self, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """The same of pairs that may be frequent."""
+        return self._decoded(self.log4, self.spread.triples(self.spread.pairs(u, v), w), -np.inf)
+
+    def close(self) -> None:
+        """The process lets go of the pages it has read; they stay in the system's cache."""
+        self.data._mmap.madvise(mmap.MADV_DONTNEED)
+
+
+class Shards:
+    """Which shard has which n-grams."""
+
+    def __init__(self, total: int):
+        self.n = max(8, -(-total // SHARD_TOKENS))
+        self.hot = max(1, total // (4 * self.n))  # words beyond are frequent
+
+    def pair(self, u: np.ndarray, v: np.ndarray, n_u: np.ndarray) -> np.ndarray:
+        x = _mixed(u)
+        often = n_u > self.hot
+        x[often] ^= _mixed(v[often] + 1)
+        return (x % np.uint64(self.n)).astype(np.int64)
+
+    def triple(self, u: np.ndarray, v: np.ndarray, w: np.ndarray, n_u: np.ndarray, n_v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The shard, and whether the pair may be frequent."""
+        out, spread = self.pair(u, v, n_u), np.minimum(n_u, n_v) > self.hot
+        out[spread] = (_mixed(u[spread] ^ (_mixed(v[spread]) + _mixed(_mixed(w[spread]))).view(np.int64)) % np.uint64(self.n)).astype(np.int64)
+        return out, spread
 
 
 def _mixed(a: np.ndarray) -> np.ndarray:
@@ -177,7 +314,7 @@ def _mixed(a: np.ndarray) -> np.ndarray:
     return a ^ (a >> np.uint64(32))
 
 
-def _vocabulary_files(rows: DataFrame, name: str) -> tuple[list[str], dict, bool]:
+def _vocabulary_files(rows: DataFrame, name: str, mapped: bool | None) -> tuple[Files, dict]:
     """Count the training words of ``rows(text, held_out)`` and write level one."""
     spark = rows.sparkSession
 
@@ -206,46 +343,22 @@ def _vocabulary_files(rows: DataFrame, name: str) -> tuple[list[str], dict, bool
     bits = max(1, (v // PART_WORDS).bit_length())
     unknown = ((total.once or 0) + 0.5) / (n + 1.0)
     stats = {"train_tokens": n, "types": v, "texts": texts_n, "unknown": unknown, "part_bits": bits}
-    path = new_path(spark, name)
-    place = local_path(path)
+    files = Files(spark, f"{name}-words", mapped)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _whole(batches):
-            for p in np.unique(b[0]).tolist():
-                h = b[1][b[0] == p].view(np.uint64) & np.uint64((1 << (64 - bits)) - 1)
+        for part, hashes, n_each in _whole(batches):
+            for p in np.unique(part).tolist():
+                h = hashes[part == p].view(np.uint64) & np.uint64((1 << (64 - bits)) - 1)
                 order = np.argsort(h)
-                h, own = h[order], b[2][b[0] == p][order]
+                h, own = h[order], n_each[part == p][order]
                 codes, book = quantise(np.log10((1 - unknown) * own / n))
-                parts = [elias_fano.encode(h, 1 << (64 - bits)), own.astype("<i8").tobytes(), codes.tobytes(), book.astype("<f8").tobytes()]
-                blob = b""
-                if place:
-                    elias_fano.write(f"{place}/words-{p}", parts)
-                else:
-                    blob = b"".join(x + b"\0" * (-len(x) % 8) for x in parts)
-                yield pa.record_batch([pa.array([p], pa.int32()), pa.array([blob], pa.binary())], names=["part", "blob"])
+                blob = files.put(f"words-{p}", [elias_fano.encode(h, 1 << (64 - bits)), own.astype("<i8").tobytes(), codes.tobytes(), book.astype("<f8").tobytes()])
+                yield pa.record_batch([pa.array([f"words-{p}"]), pa.array([blob], pa.binary())], names=["name", "blob"])
 
     # h >>> (64 - bits) numbers the parts; hashes are spread evenly over them
     part = F.shiftrightunsigned("h", 64 - bits).cast("int")
-    built = words.withColumn("part", part).select("part", "h", "n").repartition(1 << bits, "part").mapInArrow(build, "part int, blob binary")
-    if place:
-        have = {r.part for r in built.select("part").collect()}
-        for p in set(range(1 << bits)) - have:
-            elias_fano.write(f"{place}/words-{p}", [elias_fano.encode(np.zeros(0, np.uint64), 1 << (64 - bits)), np.zeros(256).tobytes()])
-        return [f"{place}/words-{p}" for p in range(1 << bits)], stats, False
-    # a store that can't be mapped: the files pass through the driver's disk, one at a time, to every node
-    folder, have = tempfile.mkdtemp(), set()
-    for r in built.toLocalIterator():
-        own = f"{folder}/{os.path.basename(path)}-{r.part}"
-        with open(own, "wb") as f:
-            f.write(r.blob)
-        spark.sparkContext.addFile(own)
-        have.add(r.part)
-    for p in set(range(1 << bits)) - have:
-        own = f"{folder}/{os.path.basename(path)}-{p}"
-        elias_fano.write(own, [elias_fano.encode(np.zeros(0, np.uint64), 1 << (64 - bits)), np.zeros(256).tobytes()])
-        spark.sparkContext.addFile(own)
-    shutil.rmtree(folder, True)
-    return [f"{os.path.basename(path)}-{p}" for p in range(1 << bits)], stats, True
+    files.publish(words.withColumn("part", part).select("part", "h", "n").repartition(1 << bits, "part").mapInArrow(build, "name string, blob binary"))
+    return files, stats
 
 
 def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
@@ -257,136 +370,204 @@ def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
         yield [np.concatenate(c) for c in zip(*columns)]
 
 
-def score(docs: DataFrame, held_out, name: str = "ngram-lm") -> DataFrame:
+def _planes(x: np.ndarray) -> bytes:
+    """An array of integers by byte planes, which pack better."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
+
+
+def _from_planes(raw: bytes, n: int, kind: str) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(-1, n).T).view(kind).ravel()
+
+
+def _steps(word: np.ndarray, begin: np.ndarray, start: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Each word and the two before it, ``STEP_TOKENS`` at once, for texts one after another that begin at ``begin``."""
+    before = np.concatenate(([start], word[:-1]))
+    before[begin] = start
+    first = np.concatenate(([start], before[:-1]))
+    first[begin] = start
+    for at in range(0, len(word), STEP_TOKENS):
+        yield first[at : at + STEP_TOKENS], before[at : at + STEP_TOKENS], word[at : at + STEP_TOKENS]
+
+
+def _ids(blobs: list[bytes], kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """Word ids (-1 for unknown ones) of texts one after another, and where each text begins (none is empty)."""
+    size = np.array([len(b) // np.dtype(kind).itemsize for b in blobs], np.int64)
+    raw = np.frombuffer(b"".join(blobs), kind)
+    return np.where(raw == np.iinfo(kind).max, -1, raw.astype(np.int64)), np.cumsum(size) - size
+
+
+def _counted(u: np.ndarray, v: np.ndarray, w: np.ndarray, vocab: Vocabulary, shards: Shards, kind: str, end: int) -> Iterator[tuple[int, bytes]]:
+    """Packed n-gram counts of some words and their contexts, by shard."""
+    last = np.flatnonzero(w == end)  # the pair that ends a text has no third word
+    u, v, w = np.concatenate((u, v[last])), np.concatenate((v, w[last])), np.concatenate((w, np.full(len(last), vocab.none)))
+    order = np.lexsort((w, v, u))
+    u, v, w = u[order], v[order], w[order]
+    _, _, at = grouped(u, v, w)
+    n = np.diff(np.append(at, len(u)))
+    u, v, w = u[at], v[at], w[at]
+    n_u, n_v = vocab.look(u)[0], vocab.look(v)[0]
+    shard, spread = shards.triple(u, v, w, n_u, n_v)
+    alone = w == vocab.none
+    shard[alone] = shards.pair(u[alone], v[alone], n_u[alone])
+    spread &= ~alone
+    # pairs that may be frequent are counted in their own shard too
+    a, b = u[spread], v[spread]
+    _, at, _ = grouped(a, b, b)
+    if len(at):
+        shard = np.concatenate((shard, shards.pair(a[at], b[at], n_u[spread][at])))
+        u, v = np.concatenate((u, a[at])), np.concatenate((v, b[at]))
+        w, n = np.concatenate((w, np.full(len(at), vocab.none))), np.concatenate((n, np.add.reduceat(n[spread], at)))
+    order = np.argsort(shard, kind="stable")
+    ends = np.cumsum(np.bincount(shard, minlength=shards.n))
+    packer = zstandard.ZstdCompressor(level=1)
+    for s, (i, j) in enumerate(zip(np.concatenate(([0], ends[:-1])).tolist(), ends.tolist())):
+        if i < j:
+            own = order[i:j]
+            yield s, struct.pack("<I", j - i) + packer.compress(b"".join(_planes(x[own].astype(kind)) for x in (u, v, w)) + _planes(n[own].astype("<u4")))
+
+
+def _merged(blobs: list[bytes], kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct n-grams of a shard, sorted, and their counts."""
+    unpack, width, columns = zstandard.ZstdDecompressor(), np.dtype(kind).itemsize, []
+    for x in blobs:
+        (n,), raw = struct.unpack_from("<I", x), unpack.decompress(x[4:])
+        cut = [raw[i * width * n : (i + 1) * width * n] for i in range(3)]
+        columns.append([_from_planes(c, n, kind) for c in cut] + [_from_planes(raw[3 * width * n :], n, "<u4")])
+    u, v, w, n = (np.concatenate(c) for c in zip(*columns))
+    del columns
+    order = np.lexsort((w, v, u))
+    u, v, w, n = u[order], v[order], w[order], n[order]
+    _, _, at = grouped(u, v, w)
+    return u[at].astype(np.int64), v[at].astype(np.int64), w[at].astype(np.int64), np.add.reduceat(n.astype(np.int64), at)
+
+
+def _logs(first: np.ndarray, before: np.ndarray, word: np.ndarray, vocab: Vocabulary, shards: Shards, files: Files) -> np.ndarray:
+    """log10 P of each word after the two before it, in multiples of 2**-20."""
+    order = np.lexsort((word, before, first))
+    u, v, w = first[order], before[order], word[order]
+    _, two, three = grouped(u, v, w)
+    number = np.diff(np.append(three, len(u)))
+    contexts = np.diff(np.append(np.searchsorted(three, two), len(three)))
+    # distinct pairs: the first two words of triples, and their last two
+    a, b = np.concatenate((u[two], v[three])), np.concatenate((v[two], w[three]))
+    u, v, w = u[three], v[three], w[three]
+    by = np.lexsort((b, a))
+    _, at, _ = grouped(a[by], b[by], b[by])
+    back = np.empty(len(a), np.int64)
+    back[by] = np.searchsorted(at, np.arange(len(a)), "right") - 1
+    a, b = a[by][at], b[by][at]
+    context, below = np.repeat(back[: len(two)], contexts), back[len(two) :]
+    place, log2, weight, log3 = np.full(len(a), -1, np.int64), np.full(len(a), np.nan), np.zeros(len(a)), np.full(len(u), -np.inf)
+    n_a, n_u, n_v = vocab.look(a)[0], vocab.look(u)[0], vocab.look(v)[0]
+    pair_shard, (triple_shard, spread) = shards.pair(a, b, n_a), shards.triple(u, v, w, n_u, n_v)
+    pair_shard[(a < 0) | (b < 0)] = shards.n
+    triple_shard[(u < 0) | (v < 0) | (w < 0)] = shards.n
+    pair_by, triple_by = np.argsort(pair_shard, kind="stable"), np.argsort(triple_shard, kind="stable")
+    pair_end, triple_end = (np.concatenate(([0], np.cumsum(np.bincount(x, minlength=shards.n + 1)))) for x in (pair_shard, triple_shard))
+    for s in range(shards.n):
+        pairs, triples = pair_by[pair_end[s] : pair_end[s + 1]], triple_by[triple_end[s] : triple_end[s + 1]]
+        path = files.local(f"grams-{s}")
+        if not len(pairs) + len(triples) or not os.path.exists(path):
+            continue
+        trie = Trie(path, vocab.none)
+        place[pairs], log2[pairs], weight[pairs] = trie.pairs(a[pairs], b[pairs])
+        own, other = triples[~spread[triples]], triples[spread[triples]]
+        log3[own] = trie.triples(place[context[own]], w[own])
+        if len(other):
+            log3[other] = trie.spread_triples(u[other], v[other], w[other])
+        trie.close()
+    missing = np.flatnonzero(np.isnan(log2))
+    log2[missing] = vocab.look(b[missing])[1] + np.log10(MU2 / (n_a[missing] + MU2))
+    out = np.empty(len(word))
+    out[order] = np.repeat(weight[context] + np.log10(10**log3 + 10 ** log2[below]), number)
+    return np.round(out * 2**20) / 2**20
+
+
+def score(docs: DataFrame, held_out, name: str = "ngram-lm", mapped: bool | None = None) -> DataFrame:
     """Train on the rows of ``docs`` where ``held_out`` (a Column, not null) is false; score all whole texts.
 
     Returns per row: ``doc_id, held_out, n_tokens, n_known`` (tokens seen in training), ``train_tokens,
     base_score`` (add-one unigram) and ``score`` (the model), both log10.  A null text is an empty text: one
     end.  Null ids and repeated rows are rows like others; without training rows every token is unknown; an
-    empty table gives an empty result.  The trie's files stay in the shared folder under ``name``.
+    empty table gives an empty result.  The trie's files stay in the shared folder under ``name``; ``mapped`` false
+    treats that folder as one that can't be mapped.
     """
     spark = docs.sparkSession
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"), held_out.alias("held_out"))
-    files, stats, shipped = _vocabulary_files(rows, name)
+    words, stats = _vocabulary_files(rows, name, mapped)
     total, types = stats["train_tokens"], stats["types"]
-    tasks = max(8, -(-total // (SHARD_TOKENS * TASK_SHARDS)))
-    shards = tasks * TASK_SHARDS
-    hot = max(1, total // (4 * shards))  # contexts beyond are cut by word as well
-    place = local_path(new_path(spark, name))
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = vocabulary(files, stats, shipped)
-        kind = "<u4" if vocab.size < 2**32 - 2 else "<u8"
-        packer = zstandard.ZstdCompressor(level=1)
-        for part in slices(batches, 2, 4 << 20):
-            doc, row, texts, held = (part.column(i).to_pylist() for i in range(4))
-            split = [tokens(t) for t in texts]
+    shards, grams = Shards(total), Files(spark, f"{name}-grams", mapped)
+    kind = "<u4" if types < 2**32 - 3 else "<u8"
+    width = np.dtype(kind).itemsize
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab = vocabulary(words, stats)
+        for part in slices(batches, 1, 4 << 20):
+            split = [tokens(t) for t in part.column(1).to_pylist()]
             local: dict[bytes, int] = {END: 0}
-            flat = [local.setdefault(w, len(local)) for words in split for w in (*words, END)]
-            word_ids = vocab.ids(np.fromiter(map(xxhash.xxh64_intdigest, local), np.uint64, len(local)))
-            word = word_ids[np.array(flat, np.int64)] if flat else np.zeros(0, np.int64)
+            flat = np.array([local.setdefault(w, len(local)) for own in split for w in (*own, END)], np.int64)
+            ids = vocab.ids(np.fromiter(map(xxhash.xxh64_intdigest, local), np.uint64, len(local)))
+            n, _ = vocab.look(ids)
             size = np.array([len(w) + 1 for w in split], np.int64)
-            of = np.repeat(np.arange(len(split)), size)
-            context = np.concatenate(([0], word[:-1])) if len(word) else word
-            context[np.cumsum(size) - size] = vocab.size
-            n, log_word = vocab.look(word)
-            n_context, _ = vocab.look(context)
-            sums = lambda x: np.bincount(of, weights=x, minlength=len(split))
-            base = sums(np.log10((n + 1) / (total + 1 * (types + 1))))
-            here = (word < 0) | (context < 0)
-            own = sums(np.where(here, backed(log_word, n_context), 0.0))
-            yield pa.record_batch(
-                [pa.array((np.array(row) % shards // TASK_SHARDS).astype(np.int32)), pa.nulls(len(split), pa.int32()), pa.array(row, pa.int64()), pa.array(doc, pa.int64()), pa.array(held, pa.bool_()), pa.array(size), pa.array(sums(n > 0).astype(np.int64)), pa.array(base), pa.array(own), pa.nulls(len(split), pa.binary())],
-                names=SENT,
-            )
-            there = np.flatnonzero(~here)
-            shard = _mixed(context[there])
-            often = n_context[there] > hot
-            shard[often] ^= _mixed(word[there][often] + 1)
-            shard = (shard % np.uint64(shards)).astype(np.int64)
-            there = there[np.argsort(shard, kind="stable")]
-            ends = np.cumsum(np.bincount(shard, minlength=shards))
-            train = ~np.array(held, bool)
-            blobs = []
-            for a, b in zip(np.concatenate(([0], ends[:-1])).tolist(), ends.tolist()):
-                which = there[a:b]
-                head = struct.pack("<II", len(split), b - a) + np.array(row, "<i8").tobytes() + train.tobytes()
-                blobs.append(packer.compress(head + context[which].astype(kind).tobytes() + word[which].astype(kind).tobytes() + of[which].astype("<u4").tobytes()) if b > a else None)
-            some = [s for s in range(shards) if blobs[s]]
-            key = pa.array([s // TASK_SHARDS for s in some], pa.int32())
-            nothing = [pa.nulls(len(some), t) for t in (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]
-            yield pa.record_batch([key, pa.array(some, pa.int32()), *nothing, pa.array([blobs[s] for s in some], pa.binary())], names=SENT)
+            of, n = np.repeat(np.arange(len(split)), size), n[flat]
+            base = np.bincount(of, weights=np.log10((n + 1) / (total + 1 * (types + 1))), minlength=len(split))
+            known = np.bincount(of, weights=n > 0, minlength=len(split)).astype(np.int64)
+            raw = np.where(ids < 0, np.iinfo(kind).max, ids).astype(kind)[flat].tobytes()
+            end = (np.cumsum(size) * width).tolist()
+            blobs = [raw[a:b] for a, b in zip([0, *end[:-1]], end)]
+            yield pa.record_batch([part.column(0).cast(pa.int64()), part.column(2), pa.array(size), pa.array(known), pa.array(base), pa.array(blobs, pa.binary())], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "ids"])
 
-    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = vocabulary(files, stats, shipped)
-        kind = "<u4" if vocab.size < 2**32 - 2 else "<u8"
-        by_shard: dict[int, list[bytes]] = {}
+    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double"
+    coded = materialize(rows.mapInArrow(encode, f"{schema}, ids binary"), "word-ids")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab = vocabulary(words, stats)
+        end = int(vocab.ids(np.array([xxhash.xxh64_intdigest(END)], np.uint64))[0])
+
+        def out(held: list[bytes]) -> Iterator[pa.RecordBatch]:
+            for step in _steps(*_ids(held, kind), vocab.size):
+                found = list(_counted(*step, vocab, shards, kind, end))
+                yield pa.record_batch([pa.array([s for s, _ in found], pa.int32()), pa.array([b for _, b in found], pa.binary())], names=["shard", "blob"])
+
+        held, size = [], 0
+        for part in slices(batches, 0):
+            for one in part.column(0).to_pylist():
+                held.append(one)
+                size += len(one)
+                if size >= STEP_TOKENS * width:
+                    yield from out(held)
+                    held, size = [], 0
+        if held:
+            yield from out(held)
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab = vocabulary(words, stats)
+        found: dict[int, list[bytes]] = {}
         for b in batches:
-            blob = b.column(9)
-            plain = b.filter(pa.compute.is_null(blob))
-            yield plain.select(SENT[2:9])
-            for s, x in zip(b.column(1).to_pylist(), blob.to_pylist()):
-                if x is not None:
-                    by_shard.setdefault(s, []).append(x)
-        unpack, every = zstandard.ZstdDecompressor(), []
-        for s in sorted(by_shard):
-            rows_, trains, contexts, words, ofs, at = [], [], [], [], [], 0
-            for x in by_shard.pop(s):
-                raw = unpack.decompress(x)
-                r, n = struct.unpack_from("<II", raw)
-                p = 8
-                rows_.append(np.frombuffer(raw, "<i8", r, p))
-                trains.append(np.frombuffer(raw, np.bool_, r, p + 8 * r))
-                p += 9 * r
-                width = np.dtype(kind).itemsize
-                contexts.append(np.frombuffer(raw, kind, n, p))
-                words.append(np.frombuffer(raw, kind, n, p + width * n))
-                ofs.append(np.frombuffer(raw, "<u4", n, p + 2 * width * n).astype(np.int64) + at)
-                at += r
-            row, train, of = np.concatenate(rows_), np.concatenate(trains), np.concatenate(ofs)
-            context, word = np.concatenate(contexts).astype(np.int64), np.concatenate(words).astype(np.int64)
-            del rows_, trains, contexts, words, ofs
-            if (vocab.size + 1) * (vocab.size + 1) < 2**63:
-                keys, back = np.unique(context * vocab.size + word, return_inverse=True)
-                c, w = np.divmod(keys, vocab.size)
-            else:
-                pairs, back = np.unique(np.stack((context, word), axis=1), axis=0, return_inverse=True)
-                c, w = pairs.T
-            del context, word
-            count = np.bincount(back, weights=train[of], minlength=len(c))
-            n_context, _ = vocab.look(c)
-            _, log_word = vocab.look(w)
-            seen = count > 0
-            parts = Trie.build(c[seen], w[seen], count[seen], log_word[seen], n_context[seen], vocab.size)
-            folder = place or tempfile.mkdtemp()
-            elias_fano.write(f"{folder}/pairs-{s}", parts)
-            there, log = Trie(f"{folder}/pairs-{s}", vocab.size).look(c, w)
-            log = np.where(there, log, backed(log_word, n_context))
-            if not place:
-                shutil.rmtree(folder, True)
-            sums = np.bincount(of, weights=log[back], minlength=len(row))
-            some = np.bincount(of, minlength=len(row)) > 0
-            every.append((row[some], sums[some]))
-        if every:
-            row, back = np.unique(np.concatenate([r for r, _ in every]), return_inverse=True)
-            sums = np.bincount(back, weights=np.concatenate([x for _, x in every]))
-            for i in range(0, len(row), 50_000):
-                own = row[i : i + 50_000]
-                empty = [pa.nulls(len(own), t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64())]
-                yield pa.record_batch([pa.array(own), *empty, pa.array(sums[i : i + 50_000])], names=SENT[2:9])
-
-    rows = rows.select("doc_id", F.monotonically_increasing_id().alias("row"), "text", "held_out")
-    sent = rows.mapInArrow(send, "task int, shard int, row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, blob binary")
-    found = sent.repartition(tasks, "task").mapInArrow(answer, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
-    out = found.groupBy("row").agg(*(F.max(x).alias(x) for x in SENT[3:7]), F.max("base_score").alias("base_score"), F.sum("score").alias("score"))
-    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
-
-
-#: Columns that are sent to the shards.
-SENT = ["task", "shard", "row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "blob"]
+            for s, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                found.setdefault(s, []).append(x)
+        for s in sorted(found):
+            blob = grams.put(f"grams-{s}", Trie.build(*_merged(found.pop(s), kind), vocab, shards.hot))
+            yield pa.record_batch([pa.array([f"grams-{s}"]), pa.array([blob], pa.binary())], names=["name", "blob"])
+
+    counted = coded.where("not held_out").select("ids").mapInArrow(count, "shard int, blob binary")
+    grams.publish(counted.repartitionById(shards.n, "shard").mapInArrow(build, "name string, blob binary"))
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab = vocabulary(words, stats)
+        for part in slices(batches, 5, STEP_TOKENS * width):
+            if part.num_rows:
+                word, begin = _ids(part.column(5).to_pylist(), kind)
+                logs = np.concatenate([_logs(*step, vocab, shards, grams) for step in _steps(word, begin, vocab.size)])
+                sums = np.add.reduceat(logs, begin)
+                yield pa.record_batch([*part.columns[:5], pa.array(sums)], names=[*part.schema.names[:5], "score"])
+
+    scored = coded.mapInArrow(answer, f"{schema}, score double")
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op3_elias_fano_lm(spark, sf_dir: str) -> DataFrame:
+    """The trigram model, learnt from the documents whose crc32 of the id isn't 2 modulo 7, on all documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     held = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(7)) == 2
     return score(docs.select("doc_id", "text"), held)

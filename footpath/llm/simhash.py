@@ -11,12 +11,13 @@ which is exact as well and grows with the bucket's size.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import connected_components, materialize, slices
@@ -201,26 +202,15 @@ def wide_choices(n: int, alike: float = ALIKE) -> list[np.ndarray]:
     return [rng.choice(bits, size, replace=False) for _ in range(number)]
 
 
-def wide_forest(v: np.ndarray, max_bits: int, step: int = BUCKET) -> list[tuple[int, int]]:
-    """Links, as row numbers, that join what is joined by distances among the rows of ``v``; a row is compared with ``step``
-    others at once."""
-    links, left = [], np.arange(len(v))
-    while len(left):
-        queue, left = [left[0]], left[1:]
-        while queue and len(left):
-            x = queue.pop()
-            near = np.concatenate([np.bitwise_count(v[left[at : at + step]] ^ v[x]).sum(axis=1) <= max_bits for at in range(0, len(left), step)])
-            if near.any():
-                found, left = left[near], left[~near]
-                links += [(int(x), int(y)) for y in found]
-                queue.extend(found)
-    return links
+def _distance(a: str, b: str) -> Column:
+    """Differing bits of two wide fingerprints, given as arrays of longs."""
+    return reduce(lambda x, y: x + y, (F.bit_count(F.get(a, F.lit(j)).bitwiseXOR(F.get(b, F.lit(j)))) for j in range(WIDE)))
 
 
-def wide_links(classes: DataFrame, max_bits: int = WIDE_BITS, bucket: int = BUCKET) -> DataFrame:
-    """Links ``a, b`` between the nodes of ``classes(node, wide)`` whose fingerprints share a key and differ in
-    at most ``max_bits`` bits.  Rows are read in parts of ``bucket``, and a larger bucket is put together from its parts before
-    it is linked: distances aren't transitive, so no row can stand for another."""
+def shared_keys(classes: DataFrame, max_bits: int = WIDE_BITS) -> DataFrame:
+    """``key, node`` of the nodes of ``classes(node, wide)`` whose key another node has as well, and ``leader``, the key's least node.
+
+    Written; of a key's rows none is held, as they come sorted."""
     choices = wide_choices(KEY_ROWS, 1 - max_bits / (64 * WIDE))
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,7 +218,7 @@ def wide_links(classes: DataFrame, max_bits: int = WIDE_BITS, bucket: int = BUCK
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
                 node = part.column(0).to_numpy()
-                bits = np.unpackbits(np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(len(node), -1), axis=1)
+                bits = np.unpackbits(_words(part.column(1)).astype(">u8").view(np.uint8).reshape(len(node), -1), axis=1)
                 found = []
                 for t, c in enumerate(choices):
                     weight = np.left_shift(np.uint64(1), np.arange(len(c), dtype=np.uint64))
@@ -236,61 +226,133 @@ def wide_links(classes: DataFrame, max_bits: int = WIDE_BITS, bucket: int = BUCK
                 yield pa.record_batch([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.tile(node, len(choices)))], names=["key", "node"])
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of rows sorted by key those whose key another row has as well."""
-        last, open_ = None, False  # the row before, and whether its key was met earlier
+        held = None  # the last row (its leader, whether another has its key), which may stand alone
         for b in batches:
             if not b.num_rows:
                 continue
             key, node = b.column(0).to_numpy(), b.column(1).to_numpy()
-            met = np.zeros(len(key), bool)
-            if last is not None:
-                key, node, met = np.append(last[0], key), np.append(last[1], node), np.append(open_, met)
-            same = key[1:] == key[:-1]
-            met[1:] |= same
-            keep = met[:-1] | same
-            yield pa.record_batch([pa.array(key[:-1][keep]), pa.array(node[:-1][keep])], names=["key", "node"])
-            last, open_ = (key[-1], node[-1]), bool(met[-1])
-        if open_:
-            yield pa.record_batch([pa.array([last[0]], pa.int64()), pa.array([last[1]], pa.int64())], names=["key", "node"])
+            if held is not None:
+                key, node = np.append(held[0], key), np.append(held[1], node)
+            new = np.concatenate(([True], key[1:] != key[:-1]))
+            start = np.flatnonzero(new)
+            leader = node[start[np.cumsum(new) - 1]]
+            met = ~new
+            if held is not None:
+                leader[key == held[0]], met[0] = held[2], held[3]
+            keep = met[:-1] | ~new[1:]
+            yield pa.record_batch([pa.array(x[:-1][keep]) for x in (key, node, leader)], names=["key", "node", "leader"])
+            held = (key[-1], node[-1], leader[-1], bool(met[-1]))
+        if held is not None and held[3]:
+            yield pa.record_batch([pa.array([x], pa.int64()) for x in held[:3]], names=["key", "node", "leader"])
+
+    rows = classes.select("node", "wide").mapInArrow(keys, "key long, node long")
+    return materialize(rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(shared, "key long, node long, leader long"), "wide-keys")
+
+
+def _words(column: pa.Array) -> np.ndarray:
+    """Wide fingerprints of an Arrow list column, one row of ``WIDE`` unsigned words each."""
+    return column.flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, WIDE)
+
+
+def leader_links(classes: DataFrame, keys: DataFrame, max_bits: int = WIDE_BITS) -> DataFrame:
+    """Links ``a, b`` of nodes to the leaders of their keys, verified.  One row for each node and leader, never pairs of a key's rows."""
+    asked = materialize(keys.where("node <> leader").select("node", "leader").distinct(), "leaders")
+    # sides that are written have exchanges of their own in the join, so that rows of a frequent leader can be split
+    leaders = classes.select(F.col("node").alias("leader"), F.col("wide").alias("other"))
+    met = asked.join(classes.select("node", "wide"), "node").join(leaders, "leader")
+    return met.where(_distance("wide", "other") <= max_bits).select(F.col("node").alias("a"), F.col("leader").alias("b"))
+
+
+def cross_links(classes: DataFrame, keys: DataFrame, found: DataFrame, max_bits: int = WIDE_BITS, bucket: int = BUCKET) -> DataFrame:
+    """Links ``a, b`` between components of ``found(node, component)`` that share a key: what the leaders alone don't link.
+
+    Distances aren't transitive, so no row can stand for another.  But rows of one component needn't be compared, so in a key
+    only the rows outside its largest component are, with all rows of the key.  Both are dealt out by hash in parts of about
+    ``bucket`` rows, and every part of the former meets every part of the latter in a task's group.  A group gives links that
+    join components, at most one a row.
+    """
+    rows = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 2").join(keys, "key")  # two rows are a row and its leader
+    rows = rows.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
+    rows = materialize(rows, "key-components")
+    sizes = rows.groupBy("key", "c").agg(F.count("*").alias("n"))
+    mixed = sizes.groupBy("key").agg(F.max_by("c", F.struct("n", "c")).alias("largest"), F.sum("n").alias("n"), F.max("n").alias("most"), F.count("*").alias("k"))
+    mixed = materialize(mixed.where("k > 1").select("key", "largest", F.ceil(F.col("n") / bucket).cast("int").alias("parts"), F.ceil((F.col("n") - F.col("most")) / bucket).cast("int").alias("rest_parts")), "mixed-keys")
+    rows = rows.join(mixed, "key")
+    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    rest = F.pmod(F.xxhash64("node", F.lit(1)), F.col("rest_parts")).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    here = rows.select("key", "node", "c", part.alias("j"), every("rest_parts").alias("i"), F.lit(False).alias("rest"))
+    there = rows.where("c <> largest").select("key", "node", "c", every("parts").alias("j"), rest.alias("i"), F.lit(True).alias("rest"))
+    dealt = here.unionByName(there).select(F.xxhash64("key", "i", "j").alias("g"), "node", "c", "rest")
+    dealt = materialize(dealt, "dealt-keys").join(classes.select("node", "wide"), "node")
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # parts of the bucket that may go on
-
-        def joined(key: np.ndarray, node: np.ndarray, wide: np.ndarray) -> list[tuple[int, int]]:
-            found = []
-            start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-            size = np.diff(np.append(start, len(key)))
-            two = start[size == 2]
-            two = two[np.bitwise_count(wide[two] ^ wide[two + 1]).sum(axis=1) <= max_bits]
-            found += zip(node[two].tolist(), node[two + 1].tolist())
-            for a, n in zip(start[size > 2].tolist(), size[size > 2].tolist()):
-                found += [(int(node[a + x]), int(node[a + y])) for x, y in wide_forest(wide[a : a + n], max_bits, bucket)]
-            return found
-
-        def whole() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            parts = [np.concatenate(x) for x in zip(*held)]
-            held.clear()
-            return parts[0], parts[1], parts[2]
+        held: list[tuple] = []  # parts of the group that may go on
+
+        def joined(g, node, c, rest, wide) -> list[tuple[int, int]]:
+            out = []
+            start = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
+            for a, z in zip(start.tolist(), np.append(start[1:], len(g)).tolist()):
+                out += _joins(node[a:z], c[a:z], rest[a:z], wide[a:z], max_bits)
+            return out
 
         for b in batches:
             for at in range(0, b.num_rows, bucket):
                 part = b.slice(at, bucket)
-                key, node = part.column(0).to_numpy(), part.column(1).to_numpy()
-                wide = np.frombuffer(b"".join(part.column(2).to_pylist()), ">u8").astype(np.uint64).reshape(-1, WIDE)
-                held.append((key, node, wide))
-                if held[0][0][0] == key[-1]:  # one bucket so far
+                held.append((*(part.column(i).to_numpy(zero_copy_only=False) for i in range(4)), _words(part.column(4))))
+                if held[0][0][0] == held[-1][0][-1]:  # one group so far
                     continue
-                key, node, wide = whole()
-                cut = int(np.searchsorted(key, key[-1]))
-                held.append((key[cut:], node[cut:], wide[cut:]))
-                yield _signed_batch(joined(key[:cut], node[:cut], wide[:cut]))
+                columns = [np.concatenate(x) for x in zip(*held)]
+                cut = int(np.flatnonzero(columns[0] != columns[0][-1])[-1]) + 1
+                held = [tuple(x[cut:] for x in columns)]
+                yield _signed_batch(joined(*(x[:cut] for x in columns)))
         if held:
-            yield _signed_batch(joined(*whole()))
-
-    rows = classes.mapInArrow(keys, "key long, node long")
-    rows = materialize(rows.repartition("key").sortWithinPartitions("key").mapInArrow(shared, "key long, node long"), "wide-keys")
-    rows = rows.join(classes, "node").select("key", "node", "wide")
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(links, "a long, b long")
+            yield _signed_batch(joined(*(np.concatenate(x) for x in zip(*held))))
+
+    dealt = dealt.select("g", "node", "c", "rest", "wide")
+    return dealt.repartition("g").sortWithinPartitions("g", "rest", "node").mapInArrow(links, "a long, b long")
+
+
+def _joins(node: np.ndarray, c: np.ndarray, rest: np.ndarray, wide: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
+    """Links between rows marked ``rest`` and others, by which components ``c`` become one; none between components that already are."""
+    root: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while root.get(x, x) != x:
+            x = root[x]
+        return x
+
+    out, every = [], np.flatnonzero(~rest)
+    for i in np.flatnonzero(rest).tolist():
+        near = every[np.bitwise_count(wide[every] ^ wide[i]).sum(axis=1) <= max_bits]
+        _, one = np.unique(c[near], return_index=True)
+        for j in near[one].tolist():
+            x, y = top(int(c[i])), top(int(c[j]))
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                out.append((int(node[i]), int(node[j])))
+    return out
+
+
+def wide_components(classes: DataFrame, copies: DataFrame | None = None, max_bits: int = WIDE_BITS, bucket: int = BUCKET) -> DataFrame:
+    """``node, component`` (its smallest node) of the linked nodes of the written table ``classes(node, wide)``; ``copies(a, b)``
+    are further links.
+
+    Nodes are linked to the leaders of their keys first; then components that share a key are compared."""
+    keys = shared_keys(classes, max_bits)
+    links = leader_links(classes, keys, max_bits)
+    found = materialize(connected_components(links.unionByName(copies) if copies is not None else links, "similar"), "similar")
+    across = materialize(cross_links(classes, keys, found, max_bits, bucket), "cross-links")
+    if across.isEmpty():
+        return found
+    first = lambda n: found.select(F.col("node").alias(n), F.col("component").alias(f"{n}_c"))
+    across = across.join(first("a"), "a", "left").join(first("b"), "b", "left")
+    ends = across.select("a", "b", F.coalesce("a_c", "a").alias("x"), F.coalesce("b_c", "b").alias("y"))
+    ends = materialize(ends, "joined")
+    joined = materialize(connected_components(ends.select(F.col("x").alias("a"), F.col("y").alias("b")), "joined"), "joined")
+    nodes = found.unionByName(ends.select(F.explode(F.array("x", "y")).alias("node")).distinct().select("node", F.col("node").alias("component"))).distinct()
+    last = joined.select(F.col("node").alias("component"), F.col("component").alias("last"))
+    return nodes.join(last, "component", "left").select("node", F.coalesce("last", "component").alias("component"))
 
 
 def _signed_batch(links: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -303,21 +365,23 @@ def similar_documents(docs: DataFrame, words: int = 5, max_bits: int = WIDE_BITS
 
     64 bits don't tell 0.8 from 0.6, and blocks that no such pair can miss would be a few bits long.  So the fingerprint is
     eight times as wide, and keys are many choices of its bits, of which a pair at ``max_bits`` shares one with
-    probability 0.98 (a nearer one nearly always); distances are verified on all bits.  Null texts count as
+    probability 0.98 (a nearer one nearly always); distances are verified on all bits.  Every pair that shares a key is linked or
+    found to be in one component, whatever the size of the key's group.  Null texts count as
     empty; rows with a null id have a null ``component_id``; rows that share an id are linked; an empty table
     gives an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, 1):
-            yield pa.record_batch([part.column(0), pa.array([wide_fingerprint(t, words) for t in part.column(1).to_pylist()], pa.binary())], names=["node", "wide"])
+        for part in slices(batches, 1, 4 << 20):
+            found = b"".join(wide_fingerprint(t, words) for t in part.column(1).to_pylist())
+            flat = np.frombuffer(found, ">i8").astype(np.int64)
+            yield pa.record_batch([part.column(0), pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1) * WIDE, pa.int32()), pa.array(flat))], names=["node", "wide"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
-    rows = materialize(texts.mapInArrow(run, "node long, wide binary"), "wide")
+    rows = materialize(texts.mapInArrow(run, "node long, wide array<long>"), "wide")
     classes = materialize(rows.where("node is not null").groupBy("wide").agg(F.min("node").alias("node")), "wide-classes")
     copies = rows.join(classes.withColumnRenamed("node", "first"), "wide").where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
-    links = wide_links(classes.select("node", "wide"), max_bits, bucket).unionByName(copies)
-    joined = connected_components(links, "similar")
+    joined = wide_components(classes, copies, max_bits, bucket)
     ids = rows.select(F.col("node").alias(id_col))
     return ids.join(joined, F.col(id_col) == joined.node, "left").select(id_col, F.coalesce("component", id_col).alias("component_id"))
 
@@ -334,5 +398,6 @@ def drop_near_duplicates(docs: DataFrame, narrow: bool = False, **how) -> DataFr
 
 
 def op6_simhash(spark, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document; see ``near_duplicates`` for special cases."""
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=3, max_bits=3)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -241,6 +241,34 @@ def test_similar_documents(spark, bucket):
     assert all(family[i] == family[got[i]] for i in got)  # nothing joins what isn't alike
 
 
+def wide(bits):
+    return np.frombuffer(np.packbits(bits).tobytes(), ">i8").tolist()
+
+
+def test_recall_just_above_the_bound(spark):
+    """Pairs whose five-word shingles have a similarity of 0.80 to 0.85, among texts that share a third of their words."""
+    rnd = random.Random(8)
+    common_part = [str(rnd.randrange(10**6)) for _ in range(60)]
+    rows, pairs, least = [], [], 1.0
+    while len(pairs) < 300:
+        words = [str(rnd.randrange(10**6)) for _ in range(rnd.choice([120, 200, 500]))] + common_part
+        rnd.shuffle(words)
+        own = list(words)
+        while True:
+            own[rnd.randrange(len(own))] = "edit" + str(rnd.randrange(10**6))
+            a, b = ({tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in (words, own))
+            j = len(a & b) / len(a | b)
+            if j < 0.85:
+                break
+        if j >= 0.8:
+            pairs.append((len(rows), len(rows) + 1))
+            rows += [" ".join(words), " ".join(own)]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(docs).collect()}
+    assert sum(got[a] == got[b] for a, b in pairs) >= 0.9 * len(pairs)
+    assert all(got[a] in (a, a - 1) for a in got)  # nothing else is joined
+
+
 def test_wide_choices_grow_slowly():
     few, many = simhash.wide_choices(1000), simhash.wide_choices(10**9)
     assert len(few[0]) == 24 and len(many[0]) == 34 and len(few) < len(many) < 1500
@@ -256,9 +284,9 @@ def test_pairs_at_the_bound_are_proposed(spark, others):
         b[rng.choice(512, simhash.WIDE_BITS, replace=False)] ^= 1
         rows += [a, b]
     rows += list(rng.integers(0, 2, (others, 512)))
-    classes = spark.createDataFrame([(i, np.packbits(x).tobytes()) for i, x in enumerate(rows)], "node long, wide binary")
-    got = {tuple(sorted(r)) for r in simhash.wide_links(classes).collect()}
-    assert got <= {(i, i + 1) for i in range(0, 1000, 2)} and len(got) >= 0.97 * 500
+    classes = common.materialize(spark.createDataFrame([(i, wide(x)) for i, x in enumerate(rows)], "node long, wide array<long>"), "classes")
+    got = {r.node: r.component for r in simhash.wide_components(classes).collect()}
+    assert all(c == n // 2 * 2 for n, c in got.items()) and max(got) < 1000 and len(got) >= 0.97 * 1000
 
 
 @pytest.mark.parametrize("bucket", [4096, 4])
@@ -271,9 +299,9 @@ def test_chains_in_hot_buckets(spark, bucket, monkeypatch):
         x = rng.integers(0, 2, 512)
         for k in range(9):
             x[24 + 60 * (k - 1) : 24 + 60 * k if k else 24] ^= 1
-            rows.append((len(rows), np.packbits(x).tobytes(), c))
+            rows.append((len(rows), wide(x), c))
     order = rng.permutation(len(rows)).tolist()
-    classes = spark.createDataFrame([(i, rows[j][1]) for i, j in enumerate(order)], "node long, wide binary")
-    found = {r.node: r.component for r in common.connected_components(simhash.wide_links(classes, bucket=bucket)).collect()}
+    classes = common.materialize(spark.createDataFrame([(i, rows[j][1]) for i, j in enumerate(order)], "node long, wide array<long>"), "classes")
+    found = {r.node: r.component for r in simhash.wide_components(classes, bucket=bucket).collect()}
     chain = {i: rows[j][2] for i, j in enumerate(order)}
     assert found == {i: min(x for x in chain if chain[x] == c) for i, c in chain.items()}

@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from .common import materialize, slices, tokenizer_file
 from .pretokens import byte_string, words_of
 
-#: Entries of the memo from word to ids that a Python worker keeps; it is emptied when full.
-MEMO_ENTRIES = 800_000
+#: Bytes of the memo from word to ids that a Python worker keeps, about; it is emptied when full.  What an entry takes besides its words.
+MEMO_BYTES, ENTRY_BYTES = 96 << 20, 250
 
 #: Pieces that a shard holds on average when ranks are counted.
 SHARD_ROWS = 100_000
@@ -57,6 +57,7 @@ class WordEncoder:
         self.model = self.tokenizer.model
         self.memo: dict[str, bytes] = {}
         self.bare: dict[str, bytes] = {}
+        self.held = 0  # bytes of both
         self.marks = {"": b""} | {m: np.array(self.tokenizer.encode(m, add_special_tokens=False).ids, "<u4").tobytes() for m in MARKS}
 
     def simple(self, word: str) -> str | None:
@@ -97,10 +98,13 @@ class WordEncoder:
         new: set[str] = set()
         for words in split:
             new.update(words)
-        if len(self.memo) + len(new) > MEMO_ENTRIES:
+        if self.held > MEMO_BYTES:
             self.memo.clear()
             self.bare.clear()
-        self.learn(new.difference(self.memo))
+            self.held = 0
+        new = new.difference(self.memo)
+        self.held += 3 * sum(map(len, new)) + ENTRY_BYTES * len(new)
+        self.learn(new)
         get = self.memo.__getitem__
         return [b"".join(map(get, words)) for words in split]
 

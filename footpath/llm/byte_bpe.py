@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices, tokenizer_file
-from .pretokens import CHUNK, pattern, plain, split_spaces
+from .pretokens import CHUNK, pattern, plain, pre_tokens, split_spaces
 
 #: Entries of the memo from chunk to ids that a Python worker keeps; it is emptied when full.
 MEMO_ENTRIES = 700_000
@@ -87,6 +87,19 @@ class Codec:
         self.pattern = pattern()
         self.memo: dict[str, bytes | None] = {}
         self.merged: dict[str, bytes] = {}
+        self.library = None
+        self.tables: dict[str, bool] = {}
+
+    def known(self, char: str) -> bool:
+        """Whether the library takes a character, which is a letter or number in newer tables, for one: tried, as its tables
+        can't be read.  After a letter or number ``'s`` is a pre-token of its own."""
+        if char not in self.tables:
+            if self.library is None:
+                import tiktoken
+
+                self.library = tiktoken.Encoding("probe", pat_str=self.pattern.pattern, mergeable_ranks=self.ranks, special_tokens={})
+            self.tables[char] = self.library.encode_ordinary(char + "'s")[-1] == self.ranks[b"'s"]
+        return self.tables[char]
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of a piece that is no entry: heap over linked bytes."""
@@ -125,7 +138,7 @@ class Codec:
         """Ids of a chunk: the pre-tokens' ids one after another."""
         if chunk.isascii() and chunk[1:].isalpha() and (chunk[0] == " " or chunk[0].isalpha()):
             return self.part(chunk)
-        return b"".join(map(self.part, self.pattern.findall(chunk)))
+        return b"".join(map(self.part, pre_tokens(chunk, self.pattern, self.known)))
 
     def learn(self, pieces: Iterable[str]) -> None:
         for piece in pieces:
@@ -196,7 +209,8 @@ def decode(encoded: DataFrame, ranks: str, id_col: str = "doc_id", ids_col: str
 def round_trip(docs: DataFrame, ranks: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode every whole text and decode its ids again; per row the id, ``n_tokens`` and the
     SHA-256 of the packed ids and of the decoded bytes.  ``encode`` and ``decode`` in one pass, so that the
-    ids needn't leave the Python worker; nulls as there."""
+    ids needn't leave the Python worker.  A null text has no ids; null ids and repeated rows stay rows of their own; an empty table
+    gives an empty result."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(ranks)
@@ -214,4 +228,5 @@ def round_trip(docs: DataFrame, ranks: str, id_col: str = "doc_id", text_col: st
 
 
 def op9_byte_bpe(spark, sf_dir: str) -> DataFrame:
+    """Digests of every document's ids and of what they decode to; see ``round_trip`` for special cases."""
     return round_trip(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer_file("byte_bpe_multi_50k.tiktoken"))

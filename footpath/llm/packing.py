@@ -353,5 +353,6 @@ def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 2048, keep_
 
 
 def op1_best_fit_packing(spark, sf_dir: str) -> DataFrame:
+    """Every document's pieces, packed into sequences of 2048 tokens; see ``token_pieces`` and ``pack`` for special cases."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return pack_documents(docs, tokenizer_file("word_bpe_49k.json"), keep_ids=False)

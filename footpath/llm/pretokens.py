@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 
 import regex
 
@@ -29,6 +30,19 @@ def unassigned(chunk: str) -> bool:
     return not chunk.isascii() and any(unicodedata.category(c) == "Cn" for c in chunk if c > "ɏ")
 
 
+#: A private character, which is neither letter nor number nor white space to anyone.
+OTHER = "\ue000"
+
+
+def pre_tokens(chunk: str, own: regex.Pattern, known: Callable[[str], bool]) -> list[str]:
+    """The pattern's matches.  Libraries' tables differ in age: of the characters that Python's tables don't have, those
+    that aren't ``known`` to the library are taken for neither letters nor numbers."""
+    if not unassigned(chunk):
+        return own.findall(chunk)
+    seen = "".join(OTHER if unicodedata.category(c) == "Cn" and not known(c) else c for c in chunk)
+    return [chunk[m.start() : m.end()] for m in own.finditer(seen)]
+
+
 def pattern() -> regex.Pattern:
     import public_tokenizers
 

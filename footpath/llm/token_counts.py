@@ -139,4 +139,5 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 1024, id_col: st
 
 
 def op7_token_counts(spark, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document; see ``count_tokens`` for special cases."""
     return count_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer_file("byte_bpe_50k.json"))

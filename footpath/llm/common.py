@@ -10,6 +10,8 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +45,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """Names that none of ``columns`` has, whatever its case."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def local_path(path: str) -> str | None:
     """The path for ``open()`` if it is in a file system that every node mounts, else None."""
     if path.startswith("file:"):
@@ -50,6 +64,56 @@ def local_path(path: str) -> str | None:
     return path if path.startswith("/") else None
 
 
+def write_file(path: str, parts: list[bytes]) -> None:
+    """Write parts one after another, each filled up to 8 bytes; a reader sees all or nothing."""
+    own = f"{path}.{uuid.uuid4().hex}"
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    with open(own, "wb") as f:
+        for p in parts:
+            f.write(p + b"\0" * (-len(p) % 8))
+    os.replace(own, path)
+
+
+class Files:
+    """Files that tasks write and others map, in a folder of the shared store.
+
+    Where the store can be mapped, they are written there.  Where it can't, Spark writes them as rows of a table, and
+    executors fetch that table from the store as they fetch other files of the job; the driver doesn't handle them."""
+
+    def __init__(self, spark: SparkSession, name: str, mapped: bool | None = None):
+        self.path = new_path(spark, name)
+        self.place = local_path(self.path) if mapped is not False else None
+
+    def put(self, name: str, parts: list[bytes]) -> bytes | None:
+        """Write a file; returns its bytes where they are to go into the table."""
+        if self.place:
+            write_file(f"{self.place}/{name}", parts)
+            return None
+        return b"".join(x + b"\0" * (-len(x) % 8) for x in parts)
+
+    def publish(self, rows: DataFrame) -> None:
+        """Run the tasks that give ``rows(name string, blob binary)``."""
+        if self.place:
+            rows.write.format("noop").mode("overwrite").save()
+        else:
+            rows.write.parquet(self.path)
+            rows.sparkSession.sparkContext.addFile(self.path, recursive=True)
+
+    def local(self, name: str) -> str:
+        """Path of a file in a task; there is none if no task wrote it."""
+        if self.place:
+            return f"{self.place}/{name}"
+        folder = SparkFiles.get(os.path.basename(self.path))
+        if not os.path.exists(f"{folder}/files/_done"):
+            for part in sorted(os.listdir(folder)):
+                if part.endswith(".parquet"):
+                    for batch in pq.ParquetFile(f"{folder}/{part}").iter_batches(1, columns=["name", "blob"]):
+                        for own, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                            write_file(f"{folder}/files/{own}", [blob])
+            write_file(f"{folder}/files/_done", [])
+        return f"{folder}/files/{name}"
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: int, max_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that a slice's ``column`` holds about ``max_bytes``; a longer single row stays whole."""
     for batch in batches:

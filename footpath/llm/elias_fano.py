@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import uuid
-
 import numpy as np
 
 #: The format's mark, and bytes of its header.
@@ -111,15 +108,5 @@ class Sequence:
         return out
 
 
-def write(path: str, parts: list[bytes]) -> None:
-    """Write parts one after another, each filled up to 8 bytes; a reader sees all or nothing."""
-    own = f"{path}.{uuid.uuid4().hex}"
-    os.makedirs(os.path.dirname(path), exist_ok=True)
-    with open(own, "wb") as f:
-        for p in parts:
-            f.write(p + b"\0" * (-len(p) % 8))
-    os.replace(own, path)
-
-
 def mapped(path: str) -> np.ndarray:
     return np.memmap(path, np.uint8, "r")

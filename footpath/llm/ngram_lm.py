@@ -32,15 +32,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.parquet as pq
 import xxhash
 import zstandard
-from pyspark import SparkFiles
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import elias_fano
-from .common import local_path, materialize, new_path, slices
+from .common import Files, materialize, slices
 
 #: Strength of the priors of pairs and of triples, in counts.
 MU2, MU3 = 200.0, 5.0
@@ -118,53 +116,13 @@ class Vocabulary:
         return count, log
 
 
-def vocabulary(files: "Files", stats: dict) -> Vocabulary:
+def vocabulary(files: Files, stats: dict) -> Vocabulary:
     if files.path not in _LEVELS:
         _LEVELS.clear()
         _LEVELS[files.path] = Vocabulary([files.local(f"words-{p}") for p in range(1 << stats["part_bits"])], stats)
     return _LEVELS[files.path]
 
 
-class Files:
-    """Files that tasks write and others map, in a folder of the shared store.
-
-    Where the store can be mapped, they are written there.  Where it can't, Spark writes them as rows of a table, and
-    executors fetch that table from the store as they fetch other files of the job; the driver doesn't handle them."""
-
-    def __init__(self, spark: SparkSession, name: str, mapped: bool | None = None):
-        self.path = new_path(spark, name)
-        self.place = local_path(self.path) if mapped is not False else None
-
-    def put(self, name: str, parts: list[bytes]) -> bytes | None:
-        """Write a file; returns its bytes where they are to go into the table."""
-        if self.place:
-            elias_fano.write(f"{self.place}/{name}", parts)
-            return None
-        return b"".join(x + b"\0" * (-len(x) % 8) for x in parts)
-
-    def publish(self, rows: DataFrame) -> None:
-        """Run the tasks that give ``rows(name string, blob binary)``."""
-        if self.place:
-            rows.write.format("noop").mode("overwrite").save()
-        else:
-            rows.write.parquet(self.path)
-            rows.sparkSession.sparkContext.addFile(self.path, recursive=True)
-
-    def local(self, name: str) -> str:
-        """Path of a file in a task; there is none if no task wrote it."""
-        if self.place:
-            return f"{self.place}/{name}"
-        folder = SparkFiles.get(os.path.basename(self.path))
-        if not os.path.exists(f"{folder}/files/_done"):
-            for part in sorted(os.listdir(folder)):
-                if part.endswith(".parquet"):
-                    for batch in pq.ParquetFile(f"{folder}/{part}").iter_batches(1, columns=["name", "blob"]):
-                        for own, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                            elias_fano.write(f"{folder}/files/{own}", [blob])
-            elias_fano.write(f"{folder}/files/_done", [])
-        return f"{folder}/files/{name}"
-
-
 def grouped(u: np.ndarray, v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of rows sorted by u, v, w: where first words, pairs and triples begin."""
     if not len(u):

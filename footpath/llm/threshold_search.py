@@ -10,15 +10,14 @@ id.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
-from .vectors import dealt, merged, usable
+from .vectors import by_shard, fitted, merged, usable
 
 #: Candidates of a shard and queries of a block.
-SHARD_ROWS, BLOCK_ROWS = 16_384, 4_096
+SHARD_ROWS, BLOCK_ROWS = 8_192, 4_096
 
 
 class SortedLists:
@@ -66,13 +65,6 @@ class SortedLists:
         return best[keep], score[keep]
 
 
-def matrix(vectors, width: int) -> np.ndarray:
-    out = np.zeros((len(vectors), width))
-    for i, v in enumerate(vectors):
-        out[i, : len(v)] = v
-    return out
-
-
 def exact(x: np.ndarray, q: np.ndarray) -> bool:
     """Whether sums of products are exact in double precision (integer vectors of moderate size)."""
     return not len(x) or not len(q) or float(np.abs(x).max()) * float(np.abs(q).max()) * x.shape[1] < 2**53
@@ -84,40 +76,41 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int =
     Both tables hold ``vec_id`` and ``v`` (array of whole numbers as double).  Returns ``query_id, rank,
     vec_id, score`` (long).  A candidate with the query's own id is left out.  Fewer candidates give
     fewer rows; shorter vectors count as filled up with zeros.  Rows with a null id take no part.  A
-    repeated id is a candidate for each of its rows.  Scores beyond 2**63 are outside the domain.
+    repeated id is a candidate for each of its rows.  Scores beyond 2**63 are outside the domain.  Empty tables give an
+    empty result.
     """
 
-    def run(c: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        out = {"query_id": [], "query_row": [], "vec_id": [], "score": []}
-        if len(c) and len(q):
-            width = max(c["v"].map(len).max(), q["v"].map(len).max())
-            x, y = matrix(c["v"], width), matrix(q["v"], width)
-            if not exact(x, y):
-                x, y = x.astype(np.int64), y.astype(np.int64)
-            lists = SortedLists(c["vec_id"].to_numpy(), x)
-            for one, row, vector in zip(q["vec_id"].tolist(), q["query_row"].tolist(), y):
-                a, b = np.searchsorted(lists.ids, [one, one + 1])
-                if b - a > 1:  # a repeated id: all its rows are left out
-                    keep = np.r_[0:a, b : len(lists.ids)]
-                    part = SortedLists(lists.ids[keep], lists.x[keep])
-                    rows, score = part.top(vector, k, None)
-                    ids = part.ids[rows]
-                else:
-                    rows, score = lists.top(vector, k, int(a) if b > a else None)
-                    ids = lists.ids[rows]
-                out["query_id"] += [one] * len(rows)
-                out["query_row"] += [row] * len(rows)
-                out["vec_id"] += ids.tolist()
-                out["score"] += [int(s) for s in score]
-        return pd.DataFrame(out).astype({n: "int64" for n in out})
+    def build(ids: np.ndarray, x: np.ndarray) -> dict:
+        return {"ids": ids, "x": x, float: SortedLists(ids, x)}
+
+    def ask(index: dict, ids: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        y = fitted(y, index["x"].shape[1])
+        kind = float if exact(index["x"], y) else int
+        if kind not in index:
+            index[kind] = SortedLists(index["ids"], index["x"].astype(np.int64))
+        lists, which, found, scores = index[kind], [], [], []
+        for i, (one, vector) in enumerate(zip(ids.tolist(), y.astype(lists.x.dtype))):
+            a, b = np.searchsorted(lists.ids, [one, one + 1])
+            if b - a > 1:  # a repeated id: all its rows are left out
+                keep = np.r_[0:a, b : len(lists.ids)]
+                part = SortedLists(lists.ids[keep], lists.x[keep])
+                rows, score = part.top(vector, k, None)
+                own = part.ids[rows]
+            else:
+                rows, score = lists.top(vector, k, int(a) if b > a else None)
+                own = lists.ids[rows]
+            which.append(np.full(len(rows), i))
+            found.append(own)
+            scores.append(score.astype(np.int64))
+        return np.concatenate(which), np.concatenate(found), np.concatenate(scores)
 
     rows = vectors.where("vec_id is not null").select("vec_id", "v")
     asks = queries.where("vec_id is not null").select("vec_id", "v", F.monotonically_increasing_id().alias("query_row"))
-    c, q = dealt(rows, asks, "vec_id", shard_rows, block_rows)
-    return merged(c.cogroup(q).applyInPandas(run, "query_id long, query_row long, vec_id long, score long"), k, "vec_id")
+    return merged(by_shard(rows, asks, shard_rows, block_rows, build, ask, "long"), k, "vec_id")
 
 
 def op2_threshold_search(spark, sf_dir: str) -> DataFrame:
+    """The five best of every 50th vector; vectors that are null or have null or non-finite components take no part."""
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where(usable(F.col("embedding")))
     rows = materialize(rows.select("vec_id", F.transform("embedding", lambda x: F.floor(x.cast("double") * 256).cast("double")).alias("v")), "vectors")
     return search(rows, rows.where("vec_id % 50 = 0"), 5)

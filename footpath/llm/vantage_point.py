@@ -12,15 +12,13 @@ from the vantage point; a leaf's bound is the greatest on its way.  A leaf is sk
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
-from .threshold_search import matrix
-from .vectors import dealt, merged, usable
+from .vectors import by_shard, fitted, merged, usable
 
-SHARD_ROWS, BLOCK_ROWS, LEAF_ROWS = 16_384, 4_096, 128
+SHARD_ROWS, BLOCK_ROWS, LEAF_ROWS = 8_192, 4_096, 128
 
 #: Pruning factor of the query; recall against brute force is in the README.
 FACTOR = 2.0
@@ -31,6 +29,7 @@ class VantagePointTree:
 
     def __init__(self, x: np.ndarray, leaf_rows: int = LEAF_ROWS):
         self.x, self.leaf_rows = x, leaf_rows
+        self.visited = 0  # rows compared with queries
         self.points: list[int] = []  # row of each inner node's vantage point
         self.leaves: list[np.ndarray] = []
         self.ways: list[list[tuple[int, float, float]]] = []  # of each leaf: (node, lo, hi)
@@ -84,10 +83,10 @@ def nearest(tree: VantagePointTree, x: np.ndarray, ids: np.ndarray, q: np.ndarra
     score = np.full((len(q), k), -np.inf)
     found = np.full((len(q), k), np.iinfo(np.int64).max)
     base = (q * q).sum(axis=1) + greatest**2
-    done = np.zeros(bound.shape, bool)
 
     def visit(which: np.ndarray, leaf: int) -> None:
         rows = tree.leaves[leaf]
+        tree.visited += len(which) * len(rows)
         s = products(q[which], x[rows])
         s[ids[rows][None, :] == own[which][:, None]] = -np.inf
         all_s = np.hstack([score[which], s])
@@ -100,18 +99,20 @@ def nearest(tree: VantagePointTree, x: np.ndarray, ids: np.ndarray, q: np.ndarra
         score[which] = np.take_along_axis(all_s, order, axis=1)
         found[which] = np.take_along_axis(all_i, order, axis=1)
 
-    first = np.argsort(bound, axis=1, kind="stable")[:, :2]
-    for leaf in range(len(tree.leaves)):
-        which = np.flatnonzero((first == leaf).any(axis=1))
-        if len(which):
-            visit(which, leaf)
-            done[which, leaf] = True
-    for leaf in np.argsort(bound.mean(axis=0), kind="stable").tolist():
-        last = score[:, -1]
-        far = np.sqrt(np.maximum(base - 2 * np.where(np.isfinite(last), last, 0), 0))
-        which = np.flatnonzero(~done[:, leaf] & (~np.isfinite(last) | (bound[:, leaf] * factor <= far * (1 + 1e-12))))
-        if len(which):
-            visit(which, leaf)
+    # each query visits its leaves by its own bounds, which rise: once one is too far, all others are
+    way = np.argsort(bound, axis=1, kind="stable")
+    live = np.arange(len(q))
+    for turn in range(len(tree.leaves)):
+        leaf = way[live, turn]
+        last = score[live, -1]
+        far = np.sqrt(np.maximum(base[live] - 2 * np.where(np.isfinite(last), last, 0), 0))
+        near = ~np.isfinite(last) | (bound[live, leaf] * factor <= far * (1 + 1e-12))
+        live, leaf = live[near], leaf[near]
+        if not len(live):
+            break
+        by = np.argsort(leaf, kind="stable")
+        for part in np.split(by, np.flatnonzero(np.diff(leaf[by])) + 1):
+            visit(live[part], int(leaf[part[0]]))
     return score, found
 
 
@@ -121,32 +122,30 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, factor: float =
     Both tables hold ``vec_id`` and ``v`` (array of double).  Returns ``query_id, rank, vec_id, score``, ties to
     the smaller ``vec_id``.  A candidate with the query's own id is left out.  Every row is in a
     shard's tree; ``factor`` 1 gives exact results.  Shorter vectors count as filled up with zeros, null
-    ids take no part, a repeated id is a candidate for each of its rows.
+    ids take no part, a repeated id is a candidate for each of its rows; empty tables give an empty result.
     """
     norm = vectors.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).first()[0]
     greatest = float(np.sqrt(norm or 0.0)) * (1 + 1e-12)
 
-    def run(c: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        if not len(c) or not len(q):
-            return pd.DataFrame({"query_id": [], "query_row": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "query_row": "int64", "vec_id": "int64", "score": "float64"})
-        c = c.sort_values("vec_id")
-        width = max(c["v"].map(len).max(), q["v"].map(len).max())
-        x, y = matrix(c["v"], width), matrix(q["v"], width)
-        ids = c["vec_id"].to_numpy()
+    def build(ids: np.ndarray, x: np.ndarray) -> tuple:
+        by = np.argsort(ids, kind="stable")
+        ids, x = ids[by], x[by]
         extra = np.sqrt(np.maximum(greatest**2 - (x * x).sum(axis=1), 0))
-        tree = VantagePointTree(np.hstack([x, extra[:, None]]))
-        score, found = nearest(tree, x, ids, y, q["vec_id"].to_numpy(), k, factor, greatest)
+        return ids, x, VantagePointTree(np.hstack([x, extra[:, None]]))
+
+    def ask(index: tuple, own: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        ids, x, tree = index
+        score, found = nearest(tree, x, ids, fitted(y, x.shape[1]), own, k, factor, greatest)
         ok = np.isfinite(score)
-        which = np.repeat(np.arange(len(q)), k).reshape(-1, k)[ok]
-        return pd.DataFrame({"query_id": q["vec_id"].to_numpy()[which], "query_row": q["query_row"].to_numpy()[which], "vec_id": found[ok], "score": score[ok]})
+        return np.repeat(np.arange(len(own)), k).reshape(-1, k)[ok], found[ok], score[ok]
 
     rows = vectors.where("vec_id is not null").select("vec_id", "v")
     asks = queries.where("vec_id is not null").select("vec_id", "v", F.monotonically_increasing_id().alias("query_row"))
-    c, q = dealt(rows, asks, "vec_id", shard_rows, block_rows)
-    return merged(c.cogroup(q).applyInPandas(run, "query_id long, query_row long, vec_id long, score double"), k, "vec_id")
+    return merged(by_shard(rows, asks, shard_rows, block_rows, build, ask, "double"), k, "vec_id")
 
 
 def op5_vantage_point(spark, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every 20th vector; vectors that are null, zero or have null or non-finite components take no part."""
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where(usable(F.col("embedding"), zero=False))
     rows = materialize(rows.select("vec_id", F.col("embedding").cast("array<double>").alias("v")), "vectors")
     return search(rows, rows.where("vec_id % 20 = 0"), 20)

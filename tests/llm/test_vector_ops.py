@@ -84,3 +84,34 @@ def test_special_rows(spark):
     assert [(r.vec_id, r.score) for r in got] == [(1, 2.0), (8, 2.0)]
     for search in (threshold_search.search, vantage_point.search):
         assert search(v.limit(0), v, 3).count() == 0 and search(v, v.limit(0), 3).count() == 0
+
+
+def test_unequal_widths_and_a_store_that_cannot_be_mapped(spark):
+    from footpath.llm import vectors
+
+    rng = np.random.default_rng(4)
+    short, long = rng.integers(-9, 9, (40, 3)).astype(float), rng.integers(-9, 9, (40, 5)).astype(float)
+    c = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(short)], "vec_id long, v array<double>")
+    q = spark.createDataFrame([(100 + i, v.tolist()) for i, v in enumerate(long)], "vec_id long, v array<double>")
+    for a, b, x, y in ((c, q, short, long[:, :3]), (q, c, long[:, :3], short)):
+        for search in (threshold_search.search, vantage_point.search):
+            best = {r.query_id: r.score for r in search(a, b, 1, shard_rows=16, block_rows=16).collect()}
+            assert sorted(best) == sorted(r.vec_id for r in b.collect()) and sorted(best.values()) == sorted((y @ x.T).max(axis=1).tolist())
+    rows = q.withColumn("query_row", F.col("vec_id"))
+    count = lambda index, ids, y: (np.arange(len(y)), np.full(len(y), index), y.sum(axis=1))
+    got = vectors.by_shard(c, rows, 10, 7, lambda ids, x: len(ids), count, "double", mapped=False)
+    assert got.groupBy("query_id").agg(F.sum("vec_id").alias("n")).where("n <> 40").count() == 0 and got.select("query_id").distinct().count() == 40
+
+
+def test_queries_visit_fewer_leaves():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(40, 8))[rng.integers(0, 40, 4000)] + 0.1 * rng.normal(size=(4000, 8))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    seen = []
+    for factor in (1.0, vantage_point.FACTOR):
+        tree = vantage_point.VantagePointTree(np.hstack([x, np.zeros((4000, 1))]), 64)
+        score, found = vantage_point.nearest(tree, x, np.arange(4000), x[:100], np.arange(100), 20, factor, 1.0)
+        seen.append(tree.visited)
+        hits = sum(len(set(found[i]) & set(np.argsort(-(x @ x[i]), kind="stable")[:21].tolist())) for i in range(100))
+        assert hits >= (2000 if factor == 1 else 1900)
+    assert seen[1] < seen[0] < 0.5 * 100 * 4000

@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices
+from .common import fresh, materialize, slices
 
 #: Words of a seed.
 SEED_WORDS = 6
@@ -90,15 +90,21 @@ def again(*keys: np.ndarray) -> np.ndarray:
     return out
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``doc_id, copy, text``: whole texts as bytes; a row is told by its id and the hash of its text."""
+    text = F.coalesce("text", F.lit("")).cast("binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("copy"), text.alias("text"))
+
+
 def _rows(docs: DataFrame) -> DataFrame:
-    """Ids and whole texts as compressed bytes, small enough to be shuffled."""
+    """Keys and whole texts as compressed bytes, small enough to be shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=3)
-        for part in slices(batches, 1):
-            yield pa.record_batch([part.column(0), pa.array([packer.compress(t) for t in part.column(1).to_pylist()], pa.binary())], names=["doc_id", "packed"])
+        for part in slices(batches, 2):
+            yield pa.record_batch([part.column(0), part.column(1), pa.array([packer.compress(t) for t in part.column(2).to_pylist()], pa.binary())], names=["doc_id", "copy", "packed"])
 
-    return docs.mapInArrow(run, "doc_id long, packed binary")
+    return docs.mapInArrow(run, "doc_id long, copy long, packed binary")
 
 
 def _unpack(packed: bytes) -> bytes:
@@ -106,48 +112,49 @@ def _unpack(packed: bytes) -> bytes:
 
 
 def repeated_windows(docs: DataFrame, window: int = 20, seed: int = SEED_WORDS) -> DataFrame:
-    """Runs of repeated windows: ``doc_id, start, windows`` (first words start .. start + windows - 1).
+    """Runs of repeated windows: ``doc_id, copy, start, windows`` (first words start .. start + windows - 1).
 
-    ``docs`` has ``doc_id`` (long, not null) and ``text`` (binary)."""
+    ``docs`` is of ``_keyed``, without null ids."""
     seed = min(seed, window)
 
     def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, 1, 4 << 20):
-            h = [anchors(Words(t), window, seed)[0] for t in part.column(1).to_pylist()]
+        for part in slices(batches, 2, 4 << 20):
+            h = [anchors(Words(t), window, seed)[0] for t in part.column(2).to_pylist()]
             yield pa.record_batch([pa.array(np.concatenate(h or [np.zeros(0, np.int64)]))], names=["h"])
 
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, 1, 4 << 20):
-            doc, columns = [], [[], [], [], [], [], []]
-            for one, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+        for part in slices(batches, 2, 4 << 20):
+            rows, columns = [], [[], [], [], [], [], []]
+            for text in part.column(2).to_pylist():
                 h, block, first, number, lead = anchors(Words(text), window, seed)
-                doc.append(np.full(len(h), one, np.int64))
+                rows.append(len(h))
                 for out, x in zip(columns, (h, block, first, number, lead, again(h, block))):
                     out.append(x)
             h, block, first, number, lead, dup = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in columns)
+            of = pa.array(np.repeat(np.arange(len(rows)), rows))
             yield pa.record_batch(
-                [pa.array(h), pa.array(block), pa.array(np.concatenate(doc) if doc else np.zeros(0, np.int64)), pa.array(first.astype(np.int32)), pa.array(number.astype(np.int32)), pa.array(lead.astype(np.int32)), pa.array(dup.astype(bool))],
-                names=["h", "block", "doc_id", "start", "windows", "lead", "again"],
+                [pa.array(h), pa.array(block), part.column(0).take(of), part.column(1).take(of), pa.array(first.astype(np.int32)), pa.array(number.astype(np.int32)), pa.array(lead.astype(np.int32)), pa.array(dup.astype(bool))],
+                names=["h", "block", "doc_id", "copy", "start", "windows", "lead", "again"],
             )
 
-    texts = docs.select("doc_id", "text")
+    texts = docs.select("doc_id", "copy", "text")
     often = texts.mapInArrow(seeds, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     often = materialize(often, "repeated-anchors")  # so that both sides of the join are dealt out for it and hot anchors can be split
-    rows = texts.mapInArrow(occurrences, "h long, block long, doc_id long, start int, windows int, lead int, again boolean")
+    rows = texts.mapInArrow(occurrences, "h long, block long, doc_id long, copy long, start int, windows int, lead int, again boolean")
     shared = materialize(rows.join(often, "h"), "anchors")
     first = materialize(shared.groupBy("h", "block").agg(F.min("doc_id").alias("first")), "blocks")
     several = materialize(first.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "several")
     known = shared.join(first, ["h", "block"])
-    whole = known.where("again or doc_id > first").select("doc_id", "start", "windows")
+    whole = known.where("again or doc_id > first").select("doc_id", "copy", "start", "windows")
     # windows of different blocks of an anchor, each block at its earliest place
-    open_ = known.where("not again and doc_id = first").join(several, "h", "left_semi").select("doc_id", F.struct("h", "start", "windows", "lead").alias("x"))
-    open_ = materialize(open_.groupBy("doc_id").agg(F.collect_list("x").alias("xs")), "open")
+    open_ = known.where("not again and doc_id = first").join(several, "h", "left_semi").select("doc_id", "copy", F.struct("h", "start", "windows", "lead").alias("x")).distinct()
+    open_ = materialize(open_.groupBy("doc_id", "copy").agg(F.collect_list("x").alias("xs")), "open")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part in slices(iter([b]), 1, 1 << 20):
-                out = [[], [], [], [], [], []]
-                for one, packed, xs in zip(*(part.column(i).to_pylist() for i in range(3))):
+            for part in slices(iter([b]), 2, 1 << 20):
+                rows, out = [], [[], [], [], [], []]
+                for packed, xs in zip(part.column(2).to_pylist(), part.column(3).to_pylist()):
                     words = Words(_unpack(packed))
                     xs.sort(key=lambda x: x["start"])
                     number = np.array([x["windows"] for x in xs])
@@ -156,15 +163,20 @@ def repeated_windows(docs: DataFrame, window: int = 20, seed: int = SEED_WORDS)
                     lead = np.repeat(np.array([x["lead"] for x in xs]), number) - inside
                     h = np.repeat(np.array([x["h"] for x in xs], np.int64), number)
                     hashes = words.run(start, start + window).view(np.int64)
-                    for o, x in zip(out, (h, lead, hashes, np.full(len(h), one, np.int64), start, again(h, lead, hashes))):
+                    rows.append(len(h))
+                    for o, x in zip(out, (h, lead, hashes, start, again(h, lead, hashes))):
                         o.append(x)
-                h, lead, hashes, doc, start, dup = (np.concatenate(o) if o else np.zeros(0, np.int64) for o in out)
-                yield pa.record_batch([pa.array(h), pa.array(lead.astype(np.int32)), pa.array(hashes), pa.array(doc), pa.array(start.astype(np.int32)), pa.array(dup.astype(bool))], names=["h", "lead", "w", "doc_id", "start", "again"])
-
-    singles = _rows(texts).join(open_, "doc_id").mapInArrow(each, "h long, lead int, w long, doc_id long, start int, again boolean")
+                h, lead, hashes, start, dup = (np.concatenate(o) if o else np.zeros(0, np.int64) for o in out)
+                of = pa.array(np.repeat(np.arange(len(rows)), rows))
+                yield pa.record_batch(
+                    [pa.array(h), pa.array(lead.astype(np.int32)), pa.array(hashes), part.column(0).take(of), part.column(1).take(of), pa.array(start.astype(np.int32)), pa.array(dup.astype(bool))],
+                    names=["h", "lead", "w", "doc_id", "copy", "start", "again"],
+                )
+
+    singles = _rows(texts).join(open_, ["doc_id", "copy"]).mapInArrow(each, "h long, lead int, w long, doc_id long, copy long, start int, again boolean")
     singles = materialize(singles, "windows")
     least = materialize(singles.groupBy("h", "lead", "w").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "first-windows")
-    some = singles.join(least, ["h", "lead", "w"]).where("again or doc_id > first").select("doc_id", "start", F.lit(1).alias("windows"))
+    some = singles.join(least, ["h", "lead", "w"]).where("again or doc_id > first").select("doc_id", "copy", "start", F.lit(1).alias("windows"))
     return whole.unionByName(some)
 
 
@@ -178,12 +190,16 @@ def covered(n: int, spans: list, window: int) -> np.ndarray:
     return np.cumsum(step[:-1]) > 0
 
 
+def _spans(rows: DataFrame, window: int, seed: int) -> DataFrame:
+    """``doc_id, copy, spans`` of the rows of ``_keyed`` that have repeated windows; written."""
+    found = repeated_windows(rows.where("doc_id is not null"), window, seed).distinct()
+    return materialize(found.groupBy("doc_id", "copy").agg(F.collect_list(F.struct("start", "windows")).alias("spans")), "spans")
+
+
 def _with_spans(docs: DataFrame, window: int, seed: int) -> DataFrame:
     """doc_id, packed text and its runs of repeated windows (null if there are none)."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    spans = repeated_windows(rows.where("doc_id is not null"), window, seed)
-    spans = spans.distinct().groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows")).alias("spans"))
-    return _rows(rows).join(materialize(spans, "spans"), "doc_id", "left").select("doc_id", "packed", "spans")
+    rows = _keyed(docs)
+    return _rows(rows).join(_spans(rows, window, seed), ["doc_id", "copy"], "left").select("doc_id", "packed", "spans")
 
 
 def repeats(docs: DataFrame, window: int = 20, seed: int = SEED_WORDS) -> DataFrame:
@@ -212,7 +228,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, seed: int = SEED_WORDS, di
     A window is repeated if its words also start earlier: in a smaller ``doc_id``, or before in the
     same document.  Windows are judged on the input.  A text that loses nothing stays as it is, else
     the kept words are joined by one space.  Null texts count as empty; rows with a null id lose
-    nothing and are no source of repeats; rows that share an id are judged alike, as one place; texts under
+    nothing and are no source of repeats; rows that share an id are documents of their own, of which none is earlier; texts under
     ``window`` words lose nothing; an empty table gives an empty result.
     """
     last = "kept_sha256" if digest else "text"
@@ -236,14 +252,11 @@ def remove_repeats(docs: DataFrame, window: int = 20, seed: int = SEED_WORDS, di
 def without_repeats(docs: DataFrame, window: int = 20, seed: int = SEED_WORDS) -> DataFrame:
     """``docs`` with the texts that ``remove_repeats`` leaves; other columns go along.
 
-    Null texts stay null.  Texts are replaced by id; of rows that share an id, which are judged as one place, each
-    keeps its own words.
+    Null texts stay null; other special rows as there.
     """
-
-    names, at = docs.columns, docs.columns.index("text")
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    spans = repeated_windows(rows.where("doc_id is not null"), window, seed).distinct()
-    spans = materialize(spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows")).alias("_spans")).withColumnRenamed("doc_id", "_span_doc"), "spans")
+    names = docs.columns
+    one, copy, other, spans = fresh(names, "span_doc", "copy", "other_copy", "spans")
+    found = _spans(_keyed(docs), window, seed).select(F.col("doc_id").alias(one), F.col("copy").alias(other), F.col("spans").alias(spans))
 
     @F.arrow_udf("string")
     def kept(text: pa.Array, found: pa.Array) -> pa.Array:
@@ -255,10 +268,12 @@ def without_repeats(docs: DataFrame, window: int = 20, seed: int = SEED_WORDS) -
                 out[i] = b" ".join([w for w, g in zip(words, gone) if not g]).decode()
         return pa.array(out, pa.string())
 
-    joined = docs.join(spans, F.col("doc_id") == F.col("_span_doc"), "left")
-    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(kept("text", "_spans"))
-    return joined.select(*(text.alias("text") if i == at else F.col(n) for i, n in enumerate(names)))
+    rows = docs.withColumn(copy, F.xxhash64(F.coalesce("text", F.lit("")).cast("binary")))
+    joined = rows.join(found, (F.col("doc_id").cast("long") == F.col(one)) & (F.col(copy) == F.col(other)), "left")
+    text = F.when(F.col(spans).isNull(), F.col("text")).otherwise(kept("text", spans))
+    return joined.select(*(text.alias("text") if n == "text" else F.col(n) for n in names))
 
 
 def op8_substring_dedup(spark, sf_dir: str) -> DataFrame:
+    """Words of every document, those removed and a digest of the rest; see ``remove_repeats`` for special cases."""
     return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), window=20, digest=True)

@@ -114,8 +114,8 @@ def test_lines(spark, broadcast):
     for i, text in rows:
         keep = []
         for line in text.split("\n"):
-            if len(line.strip(" ")) >= 16:
-                gone = any(one_edit(line, s) for s in seen)
+            if line.strip():
+                gone = line in seen or len(line.strip(" ")) >= 16 and any(one_edit(line, s) for s in seen if len(s.strip(" ")) >= 16)
                 seen.append(line)
                 removed += gone
                 if gone:
@@ -125,6 +125,31 @@ def test_lines(spark, broadcast):
     assert removed > 100
 
 
+def levenshtein(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+@pytest.mark.parametrize("bound, edit_chars", [(0, 16), (1, 0), (2, 16), (2, 6), (3, 8)])
+def test_edit_bounds(spark, bound, edit_chars):
+    rnd = random.Random(bound)
+    line = lambda: "".join(rnd.choice("ab?") for _ in range(rnd.choice([1, 5, 9, 12] if bound == 3 else [1, 5, 9, 14, 18])))
+    rows = [(i, line() + "\n" + line()) for i in range(60)]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), bound, edit_chars).collect()}
+    seen = []
+    for i, text in rows:
+        keep = []
+        for x in text.split("\n"):
+            if not (x in seen or len(x) >= edit_chars and any(len(s) >= edit_chars and levenshtein(x, s) <= bound for s in seen)):
+                keep.append(x)
+            seen.append(x)
+        assert got[i] == "\n".join(keep)
+
+
 def test_one_edit_at_every_place(spark):
     """Lines of 60 to 140 characters, each without one of its characters or with one replaced, at every place."""
     rnd = random.Random(3)
@@ -142,7 +167,7 @@ def test_one_edit_at_every_place(spark):
 def test_short_repeats(spark):
     line = "a line that is long enough"
     docs = spark.createDataFrame([(1, f"menu\n\n{line}\n\r\nmenu"), (2, f"menu\n\n{line}s\n\r\nmenus"), (3, " menu")], "doc_id long, text string")
-    got = {r.doc_id: (r.text, r.n_removed) for r in line_dedup.dedup_lines(docs, short_repeats=True).collect()}
+    got = {r.doc_id: (r.text, r.n_removed) for r in line_dedup.dedup_lines(docs).collect()}
     assert got == {1: (f"menu\n\n{line}\n\r", 1), 2: ("\n\r\nmenus", 2), 3: (" menu", 0)}
     stage = {r.doc_id: r.text for r in corpus_pipeline.lines(spark, docs.withColumn("lang", F.lit("")).withColumn("source", F.lit("")), "").collect()}
     assert stage == {i: text for i, (text, _) in got.items()}
@@ -152,12 +177,12 @@ def test_lines_special_rows(spark):
     line = "a line that is long enough"
     rows = [(None, line), (1, None), (2, ""), (3, f"{line}\n{line}\nshort\nshort\n"), (4, line + "!"), (4, line + "!"), (5, "z" * 5000), (6, "z" * 5001)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("kept", F.lit(1)).withColumn("n_lines", F.lit("clash"))
+    docs = docs.withColumns({c: F.lit(c) for c in ("lines", "Gone", "kept_doc", "_lines", "_kept")})
+    assert line_dedup.dedup_lines(docs).columns == [c for c in docs.columns if c != "n_lines"] + ["n_lines", "n_removed"]
     got = {(r.doc_id, r.text, r.n_lines, r.n_removed) for r in line_dedup.dedup_lines(docs).collect()}
-    assert got == {(None, line, 1, 0), (1, None, 0, 0), (2, "", 1, 0), (3, f"{line}\nshort\nshort\n", 5, 1), (4, "", 1, 1), (5, "z" * 5000, 1, 0), (6, "", 1, 1)}
+    assert got == {(None, line, 1, 0), (1, None, 0, 0), (2, "", 1, 0), (3, f"{line}\nshort\n", 5, 2), (4, "", 1, 1), (5, "z" * 5000, 1, 0), (6, "", 1, 1)}
     assert {r.text for r in line_dedup.dedup_lines(docs, max_edits=0).where("doc_id = 4").collect()} == {line + "!"}
     assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
-    with pytest.raises(ValueError):
-        line_dedup.dedup_lines(docs, max_edits=2)
 
 
 def brute_repeats(rows, window):
@@ -206,11 +231,20 @@ def test_substrings_special_rows(spark):
     passage = " ".join(f"w{i}" for i in range(25))
     rows = [(None, passage), (1, None), (2, ""), (3, passage), (4, f"x {passage} y"), (5, passage + " " + passage), (6, "q " * 100)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("start", F.lit(1)).withColumn("spans", F.lit("clash"))
+    docs = docs.withColumns({c: F.lit(c) for c in ("copy", "Span_doc", "_spans", "other_copy")})
     got = {r.doc_id: (r.n_words, r.n_removed, r.text) for r in substring_dedup.remove_repeats(docs).collect()}
     assert got[None] == (25, 0, passage) and got[1] == (0, 0, "") and got[2] == (0, 0, "") and got[3] == (25, 0, passage)
     assert got[4] == (27, 25, "x y") and got[5] == (50, 50, "") and got[6] == (100, 99, "q")
     kept = substring_dedup.without_repeats(docs)
     assert kept.columns == docs.columns and {r.text for r in kept.where("doc_id = 1").collect()} == {None}
+    # rows that share an id are documents of their own
+    other = " ".join(f"v{i}" for i in range(30))
+    twice = spark.createDataFrame([(3, passage), (7, f"{other} end"), (7, f"{passage} end"), (7, f"{other} end"), (9, other)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text) for r in substring_dedup.remove_repeats(twice).collect()) == [(3, passage), (7, "end"), (7, f"{other} end"), (7, f"{other} end"), (9, "")]
+    assert sorted((r.doc_id, r.text) for r in substring_dedup.without_repeats(twice).collect()) == [(3, passage), (7, "end"), (7, f"{other} end"), (7, f"{other} end"), (9, "")]
+    long = " ".join(str(i) for i in range(200_000))
+    got = substring_dedup.remove_repeats(spark.createDataFrame([(1, long), (2, "x " + long)], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_removed) for r in got) == [(1, 200_000, 0), (2, 200_001, 200_000)]
     assert substring_dedup.remove_repeats(docs.limit(0)).count() == 0 and substring_dedup.without_repeats(docs.limit(0)).count() == 0
 
 

@@ -63,3 +63,31 @@ CLI_KMH, REPORT_MPS = 5.0, 1.4
 
 # Thresholds of the report.
 SNAP_WARN_M, SNAP_LIMIT_M, SHORTEST_LIMIT_S, NOVELTY_LIMIT_S, SAME_ROUTE_M = 100.0, 200.0, 30.0, 60.0, 1.0
+
+# The twenty pairs of the report, by name, start and end in degrees, and roughly how many kilometres.
+REPORT_ROUTES = (
+    ("Ferry Building to Embarcadero Center", 37.7955, -122.3937, 37.7946, -122.4010, 1.0),
+    ("Castro to Dolores Park", 37.7609, -122.4350, 37.7596, -122.4269, 1.0),
+    ("North Beach to Chinatown", 37.8005, -122.4102, 37.7941, -122.4068, 1.0),
+    ("Union Square to Civic Center", 37.7879, -122.4074, 37.7793, -122.4193, 2.0),
+    ("Marina to Fisherman's Wharf", 37.8010, -122.4370, 37.8080, -122.4177, 2.0),
+    ("Mission to Potrero Hill", 37.7599, -122.4148, 37.7614, -122.3929, 2.0),
+    ("UCSF to Twin Peaks", 37.7631, -122.4586, 37.7544, -122.4477, 3.0),
+    ("Haight to SoMa", 37.7692, -122.4481, 37.7785, -122.4055, 3.0),
+    ("Noe Valley to Mission Bay", 37.7502, -122.4337, 37.7706, -122.3930, 3.5),
+    ("Golden Gate Park East to Ferry Building", 37.7694, -122.4530, 37.7955, -122.3937, 5.0),
+    ("Sunset District to Haight-Ashbury", 37.7535, -122.4900, 37.7692, -122.4481, 4.0),
+    ("Presidio to Marina", 37.7989, -122.4662, 37.8010, -122.4370, 4.0),
+    ("Richmond to North Beach", 37.7800, -122.4650, 37.8005, -122.4102, 5.5),
+    ("Bayview to Mission", 37.7340, -122.3920, 37.7599, -122.4148, 5.0),
+    ("Glen Park to Castro", 37.7340, -122.4330, 37.7609, -122.4350, 5.0),
+    ("Ocean Beach to Embarcadero", 37.7604, -122.5097, 37.7946, -122.4010, 8.0),
+    ("Presidio to Mission Dolores", 37.7989, -122.4662, 37.7596, -122.4269, 7.0),
+    ("Golden Gate Bridge to Dogpatch", 37.8078, -122.4750, 37.7578, -122.3870, 10.0),
+    ("Lands End to AT&T Park", 37.7867, -122.5054, 37.7786, -122.3893, 10.0),
+    ("Outer Sunset to Embarcadero", 37.7535, -122.5050, 37.7946, -122.4010, 10.0),
+)
+
+# The pair of the sweep (start and end in degrees), its minutes on top, and the novelty that it asks for.
+SWEEP_PAIR = (37.7425, -122.4555, 37.7440, -122.4625)
+SWEEP_MINUTES, SWEEP_NOVELTY = (5, 10, 15, 20, 30), 0.15

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import heapq
 import math
+import time
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -18,8 +19,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from ..functions.geo import haversine
 from ..functions.scratch import written
-from .ways import adjacency
+from .ways import adjacency, dense_index
 
 #: Directed edges that are broadcast at most (about 16 bytes each).
 BROADCAST_EDGES = 20_000_000
@@ -127,9 +129,40 @@ class Index:
 
         return line
 
+    #: Degrees of the rows into which nodes are sorted for ``nearest``.
+    ROW = 0.002
+
     def nearest(self, lat: float, lon: float) -> int:
-        """Number of the nearest node, ties to the smaller id."""
-        return int(np.argmin(self.metres(np.arange(len(self.ids)), lat, lon)))
+        """Number of the nearest node, ties to the smaller id.
+
+        Nodes are sorted by row and longitude once; rows are searched outwards until the next one is farther than what
+        is found, and in a row only the longitudes within that distance."""
+        if "_rows" not in self.__dict__:
+            row = np.floor(self.lat / self.ROW).astype(np.int64)
+            by = np.lexsort((self.lon, row))
+            kinds, start = np.unique(row[by], return_index=True)
+            self._rows = by, self.lon[by], kinds, np.append(start, len(by))
+        by, lons, kinds, start = self._rows
+        own, best, metres = lat / self.ROW, -1, math.inf
+        # least distance of rows by latitude alone
+        gap = np.maximum(np.maximum(kinds - own, own - kinds - 1), 0) * math.radians(self.ROW) * fixed.EARTH_RADIUS_M * (1 - 1e-9)
+        for r in np.argsort(gap, kind="stable").tolist():
+            if gap[r] > metres:
+                break
+            a, b = int(start[r]), int(start[r + 1])
+            if best >= 0:
+                wide = min(89.9, max(abs(kinds[r]), abs(kinds[r] + 1)) * self.ROW)
+                reach = math.degrees(metres / fixed.EARTH_RADIUS_M) / math.cos(math.radians(max(wide, abs(lat)))) * 1.01 + 1e-9
+                if reach < 90:
+                    a, b = a + np.searchsorted(lons[a:b], [lon - reach, lon + reach], "left") + [0, 1]
+                    b = min(int(b), int(start[r + 1]))
+            some = by[a:b]
+            if len(some):
+                d = self.metres(some, lat, lon)
+                at = some[d == d.min()].min()
+                if (float(d.min()), int(at)) < (metres, best if best >= 0 else len(self.ids)):
+                    best, metres = int(at), float(d.min())
+        return best
 
     def around(self, target: int, source: int, slack: float = 1.25) -> tuple[dict[int, float], float] | None:
         """Unpenalised distances to ``target`` of all nodes up to ``slack`` times the source's, and that distance.
@@ -223,18 +256,20 @@ class Index:
         return new / (len(path) - 1)
 
 
-def solve(graph: Graph, requests: DataFrame, walked: DataFrame | None = None, solver: str = "auto") -> DataFrame:
+def solve(graph: Graph, requests: DataFrame, walked: DataFrame | None = None, solver: str = "auto", timed: bool = False) -> DataFrame:
     """A path for each row of ``requests(qid, source, target[, penalty])``.
 
     Returns ``qid, source, target, penalty, found, distance`` (unpenalised), ``cost`` (penalised) and
     ``path``.  Equal ends give the path of that one node.  No path: ``found`` is false, the rest null.  An
-    unknown id raises an error.  ``solver``: ``broadcast``, ``relational``, or ``auto`` by the graph's size.
+    unknown id raises an error.  ``solver``: ``broadcast``, ``relational``, or ``auto`` by the graph's size.  ``timed`` adds
+    ``seconds``, each search's time (null where all are searched together).
     """
     if "penalty" not in requests.columns:
         requests = requests.withColumn("penalty", F.lit(1.0))
     requests = requests.select("qid", "source", "target", F.coalesce("penalty", F.lit(1.0)).alias("penalty"))
     if solver == "relational" or (solver == "auto" and not graph.fits()):
-        return solve_by_joins(graph, requests, walked)
+        found = solve_by_joins(graph, requests, walked)
+        return found.withColumn("seconds", F.lit(None).cast("double")) if timed else found
     shared = graph.index(walked)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -242,23 +277,26 @@ def solve(graph: Graph, requests: DataFrame, walked: DataFrame | None = None, so
         for part in parts:
             rows = []
             for qid, source, target, penalty in part.itertuples(index=False):
-                got = ([own.number(source)], 0.0) if source == target and source in own.ids else own.search(own.number(source), own.number(target), penalty)
+                began = time.perf_counter()
+                got = ([own.number(source)], 0.0) if source == target else own.search(own.number(source), own.number(target), penalty)
                 if got is None:
-                    rows.append((qid, source, target, penalty, False, None, None, None))
+                    rows.append((qid, source, target, penalty, False, None, None, None, time.perf_counter() - began))
                 else:
-                    rows.append((qid, source, target, penalty, True, own.length(got[0]), got[1], own.ids[got[0]].tolist()))
-            yield pd.DataFrame(rows, columns=["qid", "source", "target", "penalty", "found", "distance", "cost", "path"])
+                    rows.append((qid, source, target, penalty, True, own.length(got[0]), got[1], own.ids[got[0]].tolist(), time.perf_counter() - began))
+            yield pd.DataFrame(rows, columns=["qid", "source", "target", "penalty", "found", "distance", "cost", "path", "seconds"])
 
     spread = max(1, requests.sparkSession.sparkContext.defaultParallelism)
-    return requests.repartition(spread, "qid", "penalty").mapInPandas(run, PATH_SCHEMA)
+    found = requests.repartition(spread, "qid", "penalty").mapInPandas(run, f"{PATH_SCHEMA}, seconds double")
+    return found if timed else found.drop("seconds")
 
 
-def relax(graph: Graph, seeds: DataFrame, walked: DataFrame | None = None, max_steps: int = 100_000) -> DataFrame:
+def relax(graph: Graph, seeds: DataFrame, walked: DataFrame | None = None, goals: DataFrame | None = None, max_steps: int = 100_000) -> DataFrame:
     """Least costs by joins: ``key, node, cost, parent`` for ``seeds(key, node, penalty)``.
 
     Each step joins only the rows that got cheaper with the adjacency and keeps the least cost of each
     node, combined before the shuffle.  State is written after each step.  Stops when nothing
-    got cheaper."""
+    got cheaper.  With ``goals(key, target)``, one for each key, a row isn't followed if its cost and the straight line to
+    the goal exceed the best cost of the goal so far: no shorter path leads over it, as weights are distances."""
     adj = graph.adj.select("src", "dst", "weight")
     if walked is not None:
         w = walked.select(F.least("edge_start", "edge_end").alias("a"), F.greatest("edge_start", "edge_end").alias("b")).distinct().withColumn("old", F.lit(True))
@@ -266,16 +304,26 @@ def relax(graph: Graph, seeds: DataFrame, walked: DataFrame | None = None, max_s
     else:
         adj = adj.withColumn("old", F.lit(False))
     adj = written(adj, "adjacency")
+    if goals is not None:
+        here = graph.nodes.select(F.col("osm_id").alias("src"), F.col("lat").alias("src_lat"), F.col("lon").alias("src_lon"))
+        there = graph.nodes.select(F.col("osm_id").alias("target"), F.col("lat").alias("goal_lat"), F.col("lon").alias("goal_lon"))
+        adj, goals = written(adj.join(here, "src"), "adjacency"), written(goals.join(there, "target"), "goals")
     state = written(seeds.select("key", "node", "penalty", F.lit(0.0).alias("cost"), F.lit(None).cast("long").alias("parent"), F.lit(True).alias("new")), "costs")
     for _ in range(max_steps):
         front = state.where("new")
         if front.isEmpty():
             break
-        step = front.join(adj, front.node == adj.src).select("key", F.col("dst").alias("node"), "penalty", (F.col("cost") + F.when(F.col("old"), F.col("weight") * F.col("penalty")).otherwise(F.col("weight"))).alias("cost"), F.col("src").alias("parent"), F.lit(True).alias("new"))
+        if goals is not None:
+            best = state.join(goals, (state.key == goals.key) & (state.node == goals.target), "right").select(goals.key, "goal_lat", "goal_lon", F.coalesce("cost", F.lit(math.inf)).alias("goal_cost"))
+            front = front.join(best, "key")
+        step = front.join(adj, front.node == adj.src)
+        if goals is not None:
+            step = step.where(F.col("cost") + haversine("src_lat", "src_lon", "goal_lat", "goal_lon") * (1 - 1e-9) <= F.col("goal_cost"))
+        step = step.select("key", F.col("dst").alias("node"), "penalty", (F.col("cost") + F.when(F.col("old"), F.col("weight") * F.col("penalty")).otherwise(F.col("weight"))).alias("cost"), F.col("src").alias("parent"), F.lit(True).alias("new"))
         kept = state.select("key", "node", "penalty", "cost", "parent", F.lit(False).alias("new"))
         # of equal costs what was known stays, then the smaller parent
-        best = F.min(F.struct("cost", "new", "parent")).alias("best")
-        state = written(kept.unionByName(step).groupBy("key", "node", "penalty").agg(best).select("key", "node", "penalty", "best.cost", "best.parent", "best.new"), "costs")
+        least = F.min(F.struct("cost", "new", "parent")).alias("best")
+        state = written(kept.unionByName(step).groupBy("key", "node", "penalty").agg(least).select("key", "node", "penalty", "best.cost", "best.parent", "best.new"), "costs")
     return state.select("key", "node", "penalty", "cost", "parent")
 
 
@@ -286,9 +334,12 @@ def solve_by_joins(graph: Graph, requests: DataFrame, walked: DataFrame | None =
     unknown = ends.join(known, "node", "left_anti").first()
     if unknown:
         raise KeyError(f"node {unknown.node} is not in the graph")
-    seeds = requests.select(F.struct("source", "penalty").alias("key"), F.col("source").alias("node"), "penalty").distinct()
-    costs = written(relax(graph, seeds, walked), "least-costs")
-    asked = requests.withColumn("key", F.struct("source", "penalty"))
+    requests = written(requests, "requests")
+    asked = requests.withColumn("key", F.struct("source", "target", "penalty"))
+    seeds = asked.select("key", F.col("source").alias("node"), "penalty").distinct()
+    # a penalty under one breaks the bound
+    goals = asked.select("key", "target").distinct() if requests.where("penalty < 1").isEmpty() else None
+    costs = written(relax(graph, seeds, walked, goals), "least-costs")
     goal = costs.select("key", F.col("node").alias("target"), "cost", F.col("parent"))
     rows = asked.join(goal, ["key", "target"], "left")
     walk = written(rows.where("cost is not null").select("qid", "penalty", "key", F.col("target").alias("node"), "parent", F.lit(0).alias("back")), "walk")
@@ -330,6 +381,13 @@ def single_source(graph: Graph, sources: DataFrame, walked: DataFrame | None = N
     return sources.select("source").mapInPandas(run, "source long, node long, cost double")
 
 
+def node_numbers(nodes: DataFrame, wanted: DataFrame, column: str) -> DataFrame:
+    """``wanted`` with ``node_idx``, the dense number of the node that ``column`` names; an unknown node raises an error."""
+    numbers = dense_index(nodes.select("osm_id"), "osm_id").withColumnRenamed("osm_id", column)
+    unknown = F.raise_error(F.concat(F.lit("not in the graph: node "), F.col(column).cast("string"))).cast("long")
+    return wanted.join(numbers, column, "left").withColumn("node_idx", F.coalesce("node_idx", unknown))
+
+
 def path_edges(paths: DataFrame, path: str = "path") -> DataFrame:
     """``qid, pos, u, v`` in the direction of travel, and the edge's key ``edge_start, edge_end``."""
     n = F.size(path)

@@ -8,11 +8,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..engine import Engine
 from ..functions import fixed, geo
 from ..functions.scratch import written
 from ..operators import directions, history, novelty, paths, report, snap, ways
 from ..operators.paths import Graph
-from ..sources import route_json
+from ..sources import csrg, graph_store, osm_pbf, osm_xml, route_json
 from . import fixtures as fx
 
 # --- inputs ---------------------------------------------------------------------------------------
@@ -361,23 +362,46 @@ def _(spark, d):
     return rows.select("qid", (F.round(novelty.overhead(F.col("distance"), F.col("base")), 6) + 0.0).alias("overhead"))
 
 
+def _on_path(p: float, i: int) -> str:
+    """Edges of the least-cost paths at a penalty, from costs of both ends, and their figures."""
+    return f""", {penalised(p, name=f"r{i}")}, {penalised(p, "target", name=f"t{i}")},
+ b{i} as (select od.qid, dist as d from od join r{i} r on r.qid = od.qid and r.id = od.target),
+ n{i} as (select r.qid, r.dist, r.id as u, lead(r.id) over (partition by r.qid order by r.dist) as v from r{i} r join t{i} t on t.qid = r.qid and t.id = r.id join b{i} on b{i}.qid = r.qid where abs(r.dist + t.dist - d) < 1e-6),
+ c{i} as (select n.qid, {i} as position, {p}::double as penalty, coalesce(sum(a.w), 0) as distance, coalesce(avg(case when a.walked then 0.0 else 1.0 end) filter (a.u is not null), 1.0) as novelty from n{i} n left join adj_w a on a.u = n.u and a.v = n.v group by n.qid)"""
+
+
+CANDIDATE_SQL = (
+    f"with recursive {PENALTY_SQL}, {least_costs('source', name='s')}, base as (select od.qid, dist as base from od join s r on r.qid = od.qid and r.id = od.target)"
+    + "".join(_on_path(p, i) for i, p in enumerate(fixed.FALLBACK_PENALTIES))
+    + ", found as (select c.*, case when base > 0 then (distance - base) / base else 0 end as overhead from ("
+    + " union all ".join(f"select * from c{i}" for i in range(len(fixed.FALLBACK_PENALTIES)))
+    + ") c join base using (qid))"
+)
+FIGURES_SQL = "qid, penalty, round(distance, 3) as distance, round(novelty, 9) as novelty, round(overhead, 6) + 0.0::double as overhead"
+
+
 def _candidates(spark, d):
-    return written(novelty.candidates(lattice(spark, d), fx.od_pairs(spark, d), walked(spark, d)), "candidates")
+    return written(novelty.candidates(lattice(spark, d), fx.od_pairs(spark, d), written(walked(spark, d), "walked")), "candidates")
 
 
-@query("penalty_sweep_candidates")
+def _figures(found):
+    # sums in another order may differ in the last bits; adding zero makes a negative zero positive
+    return found.select("qid", "penalty", metres(), metres("novelty", 9), (F.round("overhead", 6) + 0.0).alias("overhead"))
+
+
+@query("penalty_sweep_candidates", f"{CANDIDATE_SQL} select {FIGURES_SQL} from found")
 def _(spark, d):
-    return _candidates(spark, d).select("qid", "penalty", metres(), metres("novelty", 9), metres("overhead", 6))
+    return _figures(_candidates(spark, d))
 
 
-@query("best_candidate_novelty")
+@query("best_candidate_novelty", f"{CANDIDATE_SQL} select {FIGURES_SQL} from found where overhead <= 0.25 qualify row_number() over (partition by qid order by round(novelty, 9) desc, position) = 1")
 def _(spark, d):
-    return novelty.best_candidates(_candidates(spark, d)).select("qid", "penalty", metres(), metres("novelty", 9), metres("overhead", 6))
+    return _figures(novelty.best_candidates(_candidates(spark, d)))
 
 
-@query("best_candidate_length")
+@query("best_candidate_length", f"{CANDIDATE_SQL} select {FIGURES_SQL} from found where overhead <= 0.25 qualify row_number() over (partition by qid order by novelty >= 0.3 desc, round(overhead, 9) desc, position) = 1")
 def _(spark, d):
-    return novelty.best_candidates(_candidates(spark, d), profile="length").select("qid", "penalty", metres(), metres("novelty", 9), metres("overhead", 6))
+    return _figures(novelty.best_candidates(_candidates(spark, d), profile="length"))
 
 
 def _routes(spark, d, **how):
@@ -406,18 +430,8 @@ def _detours(spark, d):
     n = fx.lattice_nodes(spark, d)
     a = n.select(F.col("osm_id").alias("source"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"))
     b = n.select(F.col("osm_id").alias("target"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
-    rows = fx.od_pairs(spark, d).join(a, "source").join(b, "target").where("source <> target")
-    narrow = F.cos(F.radians((F.col("lat1") + F.col("lat2")) / 2))
-    rows = rows.withColumn("narrow", narrow).withColumn("east", (F.col("lon2") - F.col("lon1")) * F.col("narrow")).withColumn("north", F.col("lat2") - F.col("lat1"))
-    rows = rows.withColumn("line", F.sqrt(F.col("east") * F.col("east") + F.col("north") * F.col("north")))
-    base = geo.haversine("lat1", "lon1", "lat2", "lon2")
-    height = F.sqrt(base * 1.25 * (base * 1.25) - base * base) / 2
-    grid = [(i, s, x) for i, x in enumerate(fixed.DETOUR_SCALES) for s in (1.0, -1.0)]
-    shifts = F.array(*(F.struct(F.lit(2 * i + (s < 0)).alias("position"), F.lit(s).alias("side"), F.lit(x).alias("scale")) for i, s, x in grid))
-    rows = rows.withColumn("height", height).select("*", F.inline(shifts)).withColumn("degrees", F.col("height") * F.col("scale") / fixed.METRES_PER_DEGREE * F.col("side"))
-    lat = (F.col("lat1") + F.col("lat2")) / 2 + F.col("east") / F.col("line") * F.col("degrees")
-    lon = (F.col("lon1") + F.col("lon2")) / 2 - F.col("north") / F.col("line") * F.col("degrees") / F.col("narrow")
-    return rows.select("qid", "position", lat.alias("lat"), lon.alias("lon"))
+    lines = fx.od_pairs(spark, d).join(a, "source").join(b, "target").where("source <> target")
+    return novelty.detours(lines.withColumn("base", geo.haversine("lat1", "lon1", "lat2", "lon2")).withColumn("max_overhead", F.lit(0.25)))
 
 
 DETOUR_SQL = f"""with {LATTICE_SQL}, line as (select qid, a.lat as lat1, a.lon as lon1, b.lat as lat2, b.lon as lon2, cos(radians((a.lat + b.lat) / 2)) as narrow, (b.lon - a.lon) * narrow as east, b.lat - a.lat as north, sqrt(east * east + north * north) as len,
@@ -439,6 +453,14 @@ def _(spark, d):
     return found.select(F.floor(F.col("pid") / 100).alias("qid"), (F.col("pid") % 100).cast("int").alias("position"), "osm_id", metres("metres"))
 
 
+@query("via_waypoint_legs", f"""with recursive {DETOUR_SQL.removeprefix("with ")}, near as (select qid, position, osm_id, {hav('p.lat', 'p.lon', 'n.lat', 'n.lon')} as metres from points p cross join nodes n qualify row_number() over (partition by qid, position order by metres, osm_id) = 1),
+ {least_costs('source')}, {least_costs('target', name='t')}
+ select near.qid, position, osm_id as via, round(r.dist + t.dist, 3) as distance from near join od using (qid) join r on r.qid = near.qid and r.id = osm_id join t on t.qid = near.qid and t.id = osm_id where osm_id <> source and osm_id <> target""")
+def _(spark, d):
+    found = novelty.via_routes(lattice(spark, d), fx.od_pairs(spark, d), _detours(spark, d))
+    return found.select("qid", "position", "via", metres())
+
+
 R_SQL = f"{P_SQL}, {DESCRIBED_SQL}"
 
 
@@ -550,13 +572,8 @@ def _(spark, d):
 
 @query("extra_minutes_routes")
 def _(spark, d):
-    g = lattice(spark, d)
-    base = paths.shortest_paths(g, fx.od_pairs(spark, d)).where("found and distance > 0")
-    rows = base.select("qid", "source", "target", "distance", F.explode(F.array(*map(F.lit, (5, 10, 15, 20, 30)))).alias("minutes"))
-    rows = rows.select((F.col("qid") * 100 + F.col("minutes")).alias("qid"), "source", "target", geo.overhead_for_extra_minutes(F.col("minutes"), F.col("distance")).alias("max_overhead"))
-    nothing = spark.createDataFrame([], "edge_start long, edge_end long")
-    found = novelty.novelty_routes(g, written(rows, "sweep"), nothing, min_novelty=0.15, profile="length")
-    return found.select(F.floor(F.col("qid") / 100).alias("qid"), (F.col("qid") % 100).alias("minutes"), metres(), metres("overhead", 6))
+    found = report.sweep(lattice(spark, d), fx.od_pairs(spark, d))
+    return found.select("qid", "minutes", metres(), metres("overhead", 6))
 
 
 @query("parse_latlon", "select o_orderkey, round(lat, 4) as lat, round(lon, 4) as lon from (select o_orderkey, 37 + (o_orderkey % 1000) * 0.001::double as lat, -122 - (o_custkey % 1000) * 0.001::double as lon from orders)")
@@ -587,6 +604,246 @@ def _(spark, d):
     return report.summary(written(_phases(spark, d), "phases")).select("phase", "pairs", "found", "changed", "met_both", metres("avg_distance"), metres("max_distance"), metres("max_snap_m"), "snaps_over_100m")
 
 
+# --- the report's parts, on figures taken from the order lines --------------------------------------
+
+PHASES_SQL = """with phases as (select (l_orderkey * 8 + l_linenumber)::bigint // 4 as qid, phase, l_quantity > 2 as found, l_extendedprice::double as distance,
+  (l_quantity / 50)::double as novelty, (l_discount * 5)::double as overhead, case when l_quantity / 50 >= 0.3 and l_discount * 5 <= 0.25 then 'BOTH' when l_quantity / 50 >= 0.3 then 'NOV' when l_discount * 5 <= 0.25 then 'OVH' else 'NONE' end as label,
+  (l_tax * 1000)::double as seconds, case when phase = 1 then (l_suppkey % 250)::double end as snap_max_m
+  from (select *, ((l_orderkey * 8 + l_linenumber) % 4 + 1)::integer as phase from lineitem qualify row_number() over (partition by l_orderkey, l_linenumber order by l_partkey, l_suppkey, l_extendedprice, l_quantity) = 1)),
+ before as (select *, case when phase = 4 then coalesce(lag(distance) over w, first_value(distance) over w) else first_value(distance) over w end as earlier from phases window w as (partition by qid order by phase)),
+ compared as (select * exclude (earlier), phase > 1 and abs(distance - earlier) > 1.0 as changed from before)"""
+
+
+def _synthetic_phases(spark, d):
+    """Phases of four order lines a pair; every operator of the report takes a table like this."""
+    line = fx.table(spark, d, "lineitem")
+    key = F.struct("l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax")
+    line = line.groupBy("l_orderkey", "l_linenumber").agg(F.min(key).alias("x")).select("l_orderkey", "l_linenumber", "x.*")
+    at = (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("long")
+    n, o = (F.col("l_quantity") / 50).cast("double"), (F.col("l_discount") * 5).cast("double")
+    phase = (at % 4 + 1).cast("int")
+    rows = line.select(F.floor(at / 4).alias("qid"), phase.alias("phase"), (F.col("l_quantity") > 2).alias("found"), F.col("l_extendedprice").cast("double").alias("distance"), n.alias("novelty"), o.alias("overhead"), report.constraint_label(n, o).alias("label"), (F.col("l_tax") * 1000).cast("double").alias("seconds"), F.when(phase == 1, report.snap_max((F.col("l_suppkey") % 250).cast("double"), F.lit(0.0))).alias("snap_max_m"))
+    return report.compared(rows)
+
+
+@query("phase_changes", f"{PHASES_SQL} select qid, phase, changed from compared")
+def _(spark, d):
+    return _synthetic_phases(spark, d).select("qid", "phase", "changed")
+
+
+SUMMED = ("avg_distance", "avg_novelty", "avg_overhead", "avg_seconds", "avg_snap_m", "met_both_pct")
+
+
+@query("report_summary", f"""{PHASES_SQL} select phase, count(*) as pairs, count(*) filter (found) as found, count(*) filter (changed) as changed, count(*) filter (label = 'BOTH') as met_both, count(*) filter (label in ('BOTH', 'NOV')) as met_novelty, count(*) filter (label in ('BOTH', 'OVH')) as met_overhead,
+ round(count(*) filter (label = 'BOTH') * 100.0::double / count(*) filter (found), 4) as met_both_pct, round(avg(distance), 4) as avg_distance, min(distance) as min_distance, max(distance) as max_distance, round(avg(novelty), 4) as avg_novelty, min(novelty) as min_novelty, max(novelty) as max_novelty,
+ round(avg(overhead), 4) as avg_overhead, min(overhead) as min_overhead, max(overhead) as max_overhead, round(avg(seconds), 4) as avg_seconds, max(seconds) as max_seconds, round(avg(snap_max_m), 4) as avg_snap_m, max(snap_max_m) as max_snap_m, count(*) filter (snap_max_m > 100) as snaps_over_100m from compared group by phase""")
+def _(spark, d):
+    rows = report.summary(_synthetic_phases(spark, d))
+    return rows.select(*(F.round(c, 4).alias(c) if c in SUMMED else F.col(c) for c in rows.columns))
+
+
+@query("report_issues", f"""{PHASES_SQL}, a as (select count(*) filter (phase = 1 and not found) as lost, count(*) filter (phase = 2 and changed) as differ, count(*) filter (phase = 3 and found and label <> 'BOTH') as missed, count(*) filter (phase = 3 and found and not changed) as same,
+  count(*) filter (phase = 1 and seconds > 30) as slow, count(*) filter (phase = 3 and seconds > 60) as slow_routes, count(*) filter (snap_max_m > 200) as far from compared)
+ select unnest(list_filter([case when lost > 0 then lost || ' pairs have no route' end, case when differ > 0 then differ || ' routes without history differ from the shortest' end, case when missed > 0 then missed || ' routes miss a limit' end, case when same > 0 then same || ' routes didn''t change after a walk' end,
+  case when slow > 0 then slow || ' shortest paths took more than 30 s' end, case when slow_routes > 0 then slow_routes || ' novelty routes took more than 60 s' end, case when far > 0 then far || ' snaps exceed 200 m' end], lambda x: x is not null)) as issue from a""")
+def _(spark, d):
+    return report.issues(_synthetic_phases(spark, d))
+
+
+ROUGH_SQL = ", rough as (select qid, any_value(qid % 7) * 10.0::double as approx_km from phases group by qid), ratios as (select qid, case when approx_km > 0 then distance / (approx_km * 1000) else 0 end as ratio from compared join rough using (qid) where phase = 1 and found)"
+
+
+def _ratios(spark, d):
+    phases = _synthetic_phases(spark, d)
+    return report.distance_ratios(phases, phases.select("qid").distinct().withColumn("approx_km", (F.col("qid") % 7) * 10.0))
+
+
+@query("distance_ratios", f"{PHASES_SQL}{ROUGH_SQL} select qid, round(ratio, 9) as ratio from ratios")
+def _(spark, d):
+    return _ratios(spark, d).select("qid", metres("ratio", 9))
+
+
+@query("distance_ratio_summary", f"{PHASES_SQL}{ROUGH_SQL} select round(avg(ratio), 6) as mean_ratio, round(min(ratio), 9) as min_ratio, round(max(ratio), 9) as max_ratio from ratios where ratio <> 0")
+def _(spark, d):
+    return report.ratio_summary(_ratios(spark, d)).select(metres("mean_ratio", 6), metres("min_ratio", 9), metres("max_ratio", 9))
+
+
+@query("first_found_sample", f"{PHASES_SQL} select qid from compared where phase = 1 and found order by qid limit 3")
+def _(spark, d):
+    return report.first_found(_synthetic_phases(spark, d))
+
+
+@query("report_json_roundtrip", f"""{PHASES_SQL} select qid, bool_or(found) filter (phase = 1) as shortest_path_found, round(max(distance) filter (phase = 1), 1) as shortest_dist_m, round(max(novelty * 100) filter (phase = 3), 1) as novelty_walked_novelty, bool_or(changed) filter (phase = 3) as novelty_walked_changed, bool_or(label = 'BOTH') filter (phase = 4) as novelty_2nd_meets_both from compared where qid % 50 = 0 group by qid""")
+def _(spark, d):
+    """A report is of few pairs, as one file holds it."""
+    import uuid
+
+    from ..functions.scratch import shared_dir
+
+    phases = written(_synthetic_phases(spark, d).where("qid % 50 = 0").withColumn("n_edges", F.lit(1)), "phases")
+    pairs = phases.select("qid").distinct().select("qid", F.concat(F.lit("pair "), "qid").alias("name"), F.lit(1.0).alias("approx_km"))
+    path = f"{shared_dir(spark)}/report-{uuid.uuid4().hex}"
+    report.write_metrics(report.metrics(phases, pairs), path)
+    schema = "qid long, shortest_path_found boolean, shortest_dist_m double, novelty_walked_novelty double, novelty_walked_changed boolean, novelty_2nd_meets_both boolean"
+    return spark.read.schema(schema).json(path)
+
+
+@query("report_pairs", "select * from (values " + ", ".join("({}, '{}', {}::double, {}::double, {}::double, {}::double, {}::double)".format(i, r[0].replace("'", "''"), *r[1:]) for i, r in enumerate(fixed.REPORT_ROUTES)) + ") as t(qid, name, slat, slon, elat, elon, approx_km)")
+def _(spark, d):
+    return report.report_routes(spark).withColumn("qid", F.col("qid").cast("int"))
+
+
+@query("snap_max", f"with {LATTICE_SQL}, ends as (select qid, 0 as e, lat + 0.0002::double as lat, lon - 0.0003::double as lon from od join nodes on osm_id = source union all select qid, 1, lat - 0.0004::double, lon + 0.0001::double from od join nodes on osm_id = target), near as (select qid, e, min({hav('p.lat', 'p.lon', 'n.lat', 'n.lon')}) as m from ends p cross join nodes n group by qid, e) select qid, round(max(m), 3) as snap_max_m from near group by qid")
+def _(spark, d):
+    n = fx.lattice_nodes(spark, d)
+    a = n.select(F.col("osm_id").alias("source"), (F.col("lat") + 0.0002).alias("slat"), (F.col("lon") - 0.0003).alias("slon"))
+    b = n.select(F.col("osm_id").alias("target"), (F.col("lat") - 0.0004).alias("elat"), (F.col("lon") + 0.0001).alias("elon"))
+    ends = fx.od_pairs(spark, d).join(a, "source").join(b, "target")
+    found = Engine(spark, lattice(spark, d)).snap_pairs(written(ends.select("qid", "slat", "slon", "elat", "elon"), "ends"))
+    return found.select("qid", F.round(report.snap_max(F.col("source_m"), F.col("target_m")), 3).alias("snap_max_m"))
+
+
+# --- sources ------------------------------------------------------------------------------------------
+
+
+def _place(spark, name: str) -> str:
+    import uuid
+
+    from ..functions.scratch import shared_dir
+
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _local(spark, name: str) -> str:
+    """A file that both ends open: formats of single files need a folder that every node mounts."""
+    import os
+
+    from ..functions.scratch import local_path
+
+    path = local_path(_place(spark, name))
+    if path is None:
+        raise ValueError("spark.checkpoint.dir must be mounted for files of this format")
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    return path
+
+
+#: Weights are stored in 32 bits.
+FILE_SQL = f"with {LATTICE_SQL} select u, v, round(w, 1) as weight, name, highway from e"
+
+
+def _rows(graph):
+    return graph.edges.select("u", "v", F.round(F.col("weight").cast("double"), 1).alias("weight"), "name", "highway")
+
+
+@query("csrg_roundtrip", FILE_SQL)
+def _(spark, d):
+    path = _local(spark, "graph.bin")
+    csrg.write(lattice(spark, d), path)
+    return _rows(csrg.read(spark, path))
+
+
+@query("csrg_nodes", f"with {LATTICE_SQL} select osm_id, round(lat, 3) as lat, round(lon, 3) as lon from nodes")
+def _(spark, d):
+    path = _local(spark, "graph.bin")
+    csrg.write(lattice(spark, d), path)
+    return csrg.read(spark, path).nodes.select("osm_id", F.round(F.col("lat").cast("double"), 3).alias("lat"), F.round(F.col("lon").cast("double"), 3).alias("lon"))
+
+
+@query("npz_roundtrip", FILE_SQL)
+def _(spark, d):
+    path = _local(spark, "graph") + ".npz"
+    csrg.write_npz(lattice(spark, d), path)
+    return _rows(csrg.read_npz(spark, path))
+
+
+STORE_SQL = f"with {LOCATED_SQL} select u, v, round(best.weight, 3) as weight, best.name as name, best.highway as highway from edges"
+
+
+@query("graph_store_read_through", STORE_SQL)
+def _(spark, d):
+    """Built and saved by the first call; the second gets no map and reads the store."""
+    w, n = street(spark, d)
+    place = _place(spark, "store")
+    graph_store.read_through(spark, w, n, place, d)
+    g = graph_store.read_through(spark, w.limit(0), n.limit(0), place, d)
+    return g.edges.select("u", "v", metres("weight"), "name", "highway")
+
+
+@query("graph_store_index", f"{POINTS_SQL} select pid, osm_id, round(metres, 3) as metres from ranked where rank = 1")
+def _(spark, d):
+    """Nearest nodes from a stored index, which is taken as it is one of this graph."""
+    g, place = lattice(spark, d), _place(spark, "index")
+    graph_store.save_index(g, place)
+    return snap.nearest_indexed(request_points(spark, d), graph_store.load_index(spark, place, g)).select("pid", "osm_id", metres("metres"))
+
+
+MAP_SQL = f"with {WAYS_SQL}"
+
+
+def _map(spark, d, reader):
+    w, n = street(spark, d)
+    path = _local(spark, "map") + (".osm.pbf" if reader is osm_pbf else ".osm")
+    reader.write(n, w, path)
+    return path
+
+
+@query("pbf_ways", f"{MAP_SQL} select way_seq, len(node_refs)::integer as n_refs, node_refs[1] as first_ref, node_refs[-1] as last_ref, highway, access, foot, name from ways")
+def _(spark, d):
+    rows = osm_pbf.read_ways(spark, _map(spark, d, osm_pbf))
+    return rows.select("way_seq", F.size("node_refs").alias("n_refs"), F.get("node_refs", F.lit(0)).alias("first_ref"), F.element_at("node_refs", -1).alias("last_ref"), *(ways.tag(t).alias(t) for t in ("highway", "access", "foot", "name")))
+
+
+@query("pbf_nodes", f"{MAP_SQL} select osm_id, round(lat, 6) as lat, round(lon, 6) as lon from raw_nodes")
+def _(spark, d):
+    return osm_pbf.read_nodes(spark, _map(spark, d, osm_pbf)).select("osm_id", metres("lat", 6), metres("lon", 6))
+
+
+@query("pbf_graph", STORE_SQL.replace("round(best.weight, 3)", "round(best.weight, 1)"))
+def _(spark, d):
+    path = _map(spark, d, osm_pbf)
+    g = graph_store.built(osm_pbf.read_ways(spark, path), osm_pbf.read_nodes(spark, path))
+    return g.edges.select("u", "v", metres("weight", 1), "name", "highway")
+
+
+@query("xml_graph", STORE_SQL)
+def _(spark, d):
+    path = _map(spark, d, osm_xml)
+    g = graph_store.built(osm_xml.read_ways(spark, path), osm_xml.read_nodes(spark, path))
+    return g.edges.select("u", "v", metres("weight"), "name", "highway")
+
+
+TAGS_SQL = "with l as (select l_orderkey, l_linenumber, l_partkey, l_linenumber % 3 as k, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) as pos from lineitem)"
+
+
+@query("tags_last_wins", f"{TAGS_SQL} select l_orderkey, 'k' || k as key, 'v' || arg_max(l_partkey, pos) as value from l group by l_orderkey, k")
+def _(spark, d):
+    line = fx.table(spark, d, "lineitem")
+    key = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    tags = F.transform(F.array_sort(F.collect_list(key)), lambda x: F.struct(F.concat(F.lit("k"), x["l_linenumber"] % 3).alias("k"), F.concat(F.lit("v"), x["l_partkey"]).alias("v")))
+    return line.groupBy("l_orderkey").agg(tags.alias("tags")).select("l_orderkey", F.explode(ways.tag_map(F.col("tags"))))
+
+
+@query("node_numbers", f"with {LATTICE_SQL}, numbers as (select osm_id, row_number() over (order by osm_id) - 1 as node_idx from nodes) select qid, source, node_idx from od join numbers on osm_id = source")
+def _(spark, d):
+    return paths.node_numbers(fx.lattice_nodes(spark, d), fx.od_pairs(spark, d).select("qid", "source"), "source").select("qid", "source", "node_idx")
+
+
+@query("names_flag", "select 'with' as edges, true as has_names union all select 'without', false")
+def _(spark, d):
+    g = lattice(spark, d)
+    return spark.createDataFrame([("with", g.has_names), ("without", Graph(g.nodes, g.edges.drop("name", "highway")).has_names)], "edges string, has_names boolean")
+
+
+@query("history_log", f"{H_SQL} select edge_start, edge_end, walk_count from history")
+def _(spark, d):
+    """Traversals appended to a new log in two walks; the table is that of the log when it is opened again."""
+    log = history.WalkHistory(spark, _place(spark, "log"))
+    events = fx.walk_events(spark, d)
+    for odd in (0, 1):
+        log.record(events.where(F.col("walk_id").cast("long") % 2 == odd).select(F.col("edge_start").alias("u"), F.col("edge_end").alias("v")), f"walk {odd}")
+    return history.WalkHistory(spark, log.path).table().select("edge_start", "edge_end", "walk_count")
+
+
 def queries() -> dict:
     return dict(QUERIES)
 

@@ -53,6 +53,16 @@ def write(graph: Graph, path: str) -> None:
                 f.write(_table(t))
 
 
+class Words:
+    """Strings by number; a slice is decoded when it is asked for."""
+
+    def __init__(self, number: np.ndarray, table: list[str]):
+        self.number, self.table = number, np.array(table, object)
+
+    def __getitem__(self, which) -> np.ndarray:
+        return self.table[self.number[which]]
+
+
 class Arrays:
     """A mapped file's arrays; every size is checked against the file's."""
 
@@ -69,14 +79,14 @@ class Arrays:
         self.names = self.highways = None
         if self.version == 2:
             name, highway = self._take("<u2", self.m), self._take("u1", self.m)
-            self.names = np.array(self._strings(), object)[name]
-            self.highways = np.array(self._strings(), object)[highway]
+            self.names, self.highways = Words(name, self._strings()), Words(highway, self._strings())
 
     def _take(self, kind: str, n: int) -> np.ndarray:
         size = np.dtype(kind).itemsize * n
         if self._at + size > len(self._data):
             raise ValueError("the graph file is too short")
-        out = np.frombuffer(self._data[self._at : self._at + size].tobytes(), kind)
+        # from any byte on, as the format doesn't align its arrays; nothing is read before it is used
+        out = np.ndarray((n,), kind, self._data, self._at)
         self._at += size
         return out
 
@@ -163,10 +173,8 @@ def write_npz(graph: Graph, path: str) -> None:
     arrays = {"node_ids": x.ids, "node_lats": x.lat, "node_lons": x.lon, "adj_offsets": x.offsets, "adj_targets": x.targets, "adj_weights": x.weights}
     if x.version == 2:
         for values, index, table, kind in ((x.names, "edge_name_indices", "name_table", "u2"), (x.highways, "edge_highway_indices", "highway_table", "u1")):
-            words = ["", *sorted(set(values) - {""})]
-            number = {v: i for i, v in enumerate(words)}
-            arrays[index] = np.array([number[v] for v in values], kind)
-            arrays[table] = np.frombuffer("\n".join(words).encode(), np.uint8)
+            arrays[index] = np.asarray(values.number, kind)
+            arrays[table] = np.frombuffer("\n".join(values.table).encode(), np.uint8)
     np.savez_compressed(path, **arrays)
     import os
 

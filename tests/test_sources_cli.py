@@ -3,6 +3,7 @@ import pytest
 from footpath import cli
 from footpath.engine import Engine
 from footpath.operators.history import WalkHistory
+from footpath.operators import snap
 from footpath.operators.paths import Graph, shortest_paths
 from footpath.sources import csrg, graph_store, osm_xml, route_json
 
@@ -96,5 +97,16 @@ def test_command_line(spark, graph, tmp_path, capsys):
     assert cli.main(["stats", "--history", log], spark) == 0
     assert "Unique edges: 2" in capsys.readouterr().out
     assert cli.main([*ends, "here"], spark) == 2
-    with pytest.raises(FileNotFoundError):
-        cli.main(["route", "--graph", str(tmp_path / "no"), "--history", log, "--from", "1,1", "--to", "1,1"], spark)
+    assert cli.main(["route", "--graph", str(tmp_path / "no"), "--history", log, "--from", "1,1", "--to", "1,1"], spark) == 1
+    assert "neither the graph" in capsys.readouterr().err
+
+
+def test_index_is_taken_only_for_its_graph(spark, graph, tmp_path):
+    path = str(tmp_path / "index")
+    assert graph_store.load_index(spark, path, graph) is None
+    graph_store.save_index(graph, path)
+    index = graph_store.load_index(spark, path, graph)
+    points = spark.createDataFrame([(1, 37.75, -122.4501), (2, 10.0, 10.0), (3, None, 1.0)], "pid long, lat double, lon double")
+    got = {(r.pid, r["rank"], r.osm_id) for r in snap.nearest_indexed(points, index, 2).collect()}
+    assert got == {(r.pid, r["rank"], r.osm_id) for r in snap.nearest(points, graph.nodes, 2).collect()} and len(got) == 4
+    assert graph_store.load_index(spark, path, Graph(graph.nodes, graph.edges.limit(2))) is None

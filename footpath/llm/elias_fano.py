@@ -7,6 +7,9 @@ import numpy as np
 #: The format's mark, and bytes of its header.
 MAGIC, HEADER = b"EFSEQ001", 64
 
+#: Values of equal high bits that a search looks at one after another before it goes on by halves.
+STEPS = 3
+
 
 def encode(values: np.ndarray, universe: int) -> bytes:
     """A non-decreasing sequence of integers below ``universe``.
@@ -81,7 +84,7 @@ class Sequence:
         return ((place - i).astype(np.uint64) << np.uint64(self.low)) | self.lows(i)
 
     def find(self, x: np.ndarray) -> np.ndarray:
-        """Index of the first value that isn't less than each x, as far as its high bits agree; -1 if x isn't there."""
+        """Index of each x among distinct values; -1 if x isn't there."""
         out = np.full(len(x), -1, np.int64)
         x = x.astype(np.uint64)
         which = np.flatnonzero(x < np.uint64(max(self.universe, 0))) if self.n else np.zeros(0, np.int64)
@@ -92,11 +95,9 @@ class Sequence:
         # values with smaller high bits stand before the zero number high - 1
         i = np.zeros(len(x), np.int64)
         some = high > 0
-        k = high[some] - 1
-        w = np.searchsorted(self.zeros, k, "right") - 1
-        i[some] = w * 64 + self._in_word(~self.words[w], k - self.zeros[w]) - k
+        i[some] = self._before(high[some] - 1)
         live = np.arange(len(x))
-        while len(live):
+        for _ in range(STEPS):  # mostly few values share their high bits
             at = i[live] + high[live]
             inside = (self.words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
             live = live[inside]
@@ -105,8 +106,26 @@ class Sequence:
             out[which[live[hit]]] = i[live[hit]]
             live = live[own < low[live]]
             i[live] += 1
+            if not len(live):
+                return out
+        # the first of the rest whose low bits aren't less, by halves
+        start, end = i[live], self._before(high[live])
+        last = end.copy()
+        while (open_ := start < end).any():
+            middle = (start + end) >> 1
+            less = np.zeros(len(live), bool)
+            less[open_] = self.lows(middle[open_]) < low[live][open_]
+            start, end = np.where(open_ & less, middle + 1, start), np.where(open_ & ~less, middle, end)
+        there = np.flatnonzero(start < last)
+        there = there[self.lows(start[there]) == low[live[there]]]
+        out[which[live[there]]] = start[there]
         return out
 
+    def _before(self, k: np.ndarray) -> np.ndarray:
+        """Number of values before the zero number ``k`` of the unary part."""
+        w = np.searchsorted(self.zeros, k, "right") - 1
+        return w * 64 + self._in_word(~self.words[w], k - self.zeros[w]) - k
+
 
 def mapped(path: str) -> np.ndarray:
     return np.memmap(path, np.uint8, "r")

@@ -149,29 +149,72 @@ def test_elias_fano(n, universe):
     assert ((s.find(x) >= 0) == np.isin(x, v)).all()
 
 
-def test_language_model(spark, docs):
+@pytest.mark.parametrize("mapped", [None, False])
+@pytest.mark.parametrize("hot", [False, True])
+def test_language_model(spark, docs, mapped, hot, monkeypatch):
+    """Against sums over all tokens; also where the store can't be mapped, and with a word and a pair in most places of most texts."""
     texts = ["the cat sat on the mat", "The dog sat", "a cat", "unknown words here", None, "", "the the the the", "cat cat\tdog"] * 3
+    if hot:
+        texts += [f"in fact w{i} in fact x{i % 5}" for i in range(60)]
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) == 2
-    got = {r.doc_id: r for r in ngram_lm.score(rows, held).collect()}
+    got = {r.doc_id: r for r in ngram_lm.score(rows, held, mapped=mapped).collect()}
     tok = {i: [*(t or "").lower().split(), None] for i, t in enumerate(texts)}
     out = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in tok}
     assert any(out.values())
-    c = collections.Counter(w for i in tok if not out[i] for w in tok[i])
-    pair = collections.Counter(p for i in tok if not out[i] for p in zip([0, *tok[i][:-1]], tok[i]))
-    n, v, start = sum(c.values()), len(c), sum(not x for x in out.values())
+    train = [i for i in tok if not out[i]]
+    c = collections.Counter(w for i in train for w in tok[i])
+    grams = {i: list(zip([0, 0, *t[:-1]], [0, *t[:-1]], t)) for i, t in tok.items()}
+    pair = collections.Counter(g[1:] for i in train for g in grams[i])
+    triple = collections.Counter(g for i in train for g in grams[i])
+    n, v, start = sum(c.values()), len(c), len(train)
     unknown = (sum(x == 1 for x in c.values()) + 0.5) / (n + 1)
-    p = lambda w: (1 - unknown) * c[w] / n if c[w] else unknown
+    one = lambda w: (1 - unknown) * c[w] / n if c[w] else unknown
+    two = lambda b, w: (pair[b, w] + ngram_lm.MU2 * one(w)) / ((start if b == 0 else c[b]) + ngram_lm.MU2)
+    three = lambda a, b, w: (triple[a, b, w] + ngram_lm.MU3 * two(b, w)) / ((start if b == 0 else pair[a, b]) + ngram_lm.MU3)
+    if hot:
+        shards = ngram_lm.Shards(n)
+        assert min(c["in"], c["fact"]) > shards.hot  # so that its triples are spread
     for i, t in tok.items():
         r = got[i]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (out[i], len(t), sum(c[w] > 0 for w in t), n)
         assert r.base_score == pytest.approx(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in t))
-        score = sum(math.log10((pair[a, b] + ngram_lm.MU * p(b)) / ((start if a == 0 else c[a]) + ngram_lm.MU)) for a, b in zip([0, *t[:-1]], t))
-        assert r.score == pytest.approx(score, abs=0.03 * len(t))
-    assert sum(10 ** math.log10(p(w)) for w in c) + unknown == pytest.approx(1)
-    assert ngram_lm.score(docs, F.lit(False)).count() == docs.count()
-    assert ngram_lm.score(docs, F.lit(True)).agg(F.max("n_known")).first()[0] == 0
-    assert ngram_lm.score(docs.limit(0), F.lit(False)).count() == 0
+        assert r.score == pytest.approx(sum(math.log10(three(*g)) for g in grams[i]), abs=0.03 * len(t))
+    assert sum(one(w) for w in c) + unknown == pytest.approx(1)
+    assert sum(three("the", "cat", w) for w in c) + unknown * ngram_lm.MU2 / (c["cat"] + ngram_lm.MU2) * ngram_lm.MU3 / (pair["the", "cat"] + ngram_lm.MU3) == pytest.approx(1)
+    if not hot:
+        assert ngram_lm.score(docs, F.lit(False), mapped=mapped).count() == docs.count()
+        assert ngram_lm.score(docs, F.lit(True), mapped=mapped).agg(F.max("n_known")).first()[0] == 0
+        assert ngram_lm.score(docs.limit(0), F.lit(False), mapped=mapped).count() == 0
+
+
+def test_elias_fano_in_clusters():
+    """Many values that share their high bits beside few that don't."""
+    rng = np.random.default_rng(3)
+    v = np.unique(np.concatenate((rng.integers(0, 3000, 2000), 10**6 + rng.integers(0, 2**40, 50), 2**41 + rng.integers(0, 5000, 3000)))).astype(np.uint64)
+    s = elias_fano.Sequence(np.frombuffer(elias_fano.encode(v, 2**42), np.uint8))
+    assert (s.find(v) == np.arange(len(v))).all()
+    x = np.concatenate((rng.integers(0, 3100, 4000), 2**41 + rng.integers(0, 5100, 4000), rng.integers(0, 2**42, 2000))).astype(np.uint64)
+    assert (s.find(x) == np.where(np.isin(x, v), np.searchsorted(v, x), -1)).all()
+
+
+def test_language_model_in_parts():
+    """Many shards, vocabulary parts and steps give the same logs as few."""
+    rng = np.random.default_rng(7)
+    word = np.minimum(rng.zipf(1.3, 3000), 400).astype(np.int64)
+    begin = np.array([0, 700, 701, 2500])
+    steps = list(ngram_lm._steps(word, begin, 1000))
+    assert (steps[0][1][[0, 700, 701, 2500]] == 1000).all() and (steps[0][0][[0, 1, 700, 701, 702]] == 1000).all()
+    u, v, w = (x[np.lexsort((steps[0][2], steps[0][1], steps[0][0]))] for x in steps[0])
+    one, two, three = ngram_lm.grouped(u, v, w)
+    u, v, w = u[three], v[three], w[three]
+    data = np.frombuffer(b"".join(x + b"\0" * (-len(x) % 8) for x in ngram_lm.Level.encode(u, v, w, 1001)), np.uint8)
+    level = ngram_lm.Level(data, 0, 1001)
+    at = level.triples(level.pairs(u, v), w)
+    assert (at == np.arange(len(u))).all()
+    known = set(zip(u.tolist(), v.tolist(), w.tolist()))
+    a, b, c = (rng.integers(0, 401, 2000) for _ in range(3))
+    assert ((level.triples(level.pairs(a, b), c) >= 0) == [x in known for x in zip(a.tolist(), b.tolist(), c.tolist())]).all()
 
 
 def test_classifier(spark):

@@ -179,6 +179,9 @@ ALIKE, MISSED = 0.849, 0.02
 #: rows more of them share a key by chance, which costs time but no pair.
 KEY_ROWS = 2**20 - 1
 
+#: Bits of a key's sketch, and how many of them may differ where two nodes alone share a key.
+SKETCH, SKETCH_BITS = 29, 12
+
 
 def wide_fingerprint(text: bytes, words: int = 5) -> bytes:
     """A fingerprint of ``WIDE`` times 64 bits over the same shingles; zeros for a text without words."""
@@ -208,10 +211,19 @@ def _distance(a: str, b: str) -> Column:
 
 
 def shared_keys(classes: DataFrame, max_bits: int = WIDE_BITS) -> DataFrame:
-    """``key, node`` of the nodes of ``classes(node, wide)`` whose key another node has as well, and ``leader``, the key's least node.
+    """Rows ``key, node, leader, many`` of the nodes of ``classes(node, wide)`` whose key another node has as well: ``leader`` is the key's
+    least node, ``many`` tells keys of three nodes or more.
 
-    Written; of a key's rows none is held, as they come sorted."""
+    A key's 64 bits hold the chosen bits, the number of the choice, and ``SKETCH`` other bits of the fingerprint, which take no part in
+    grouping: where only two nodes meet and their sketches differ in more than ``SKETCH_BITS``, they met by chance.  That may lose
+    a pair at the bound with a probability of less than 0.001.  Written; of a key's rows at most two are held, as they come sorted."""
     choices = wide_choices(KEY_ROWS, 1 - max_bits / (64 * WIDE))
+    rng = np.random.default_rng(SEED)
+    sketches = [rng.choice(np.setdiff1d(np.arange(64 * WIDE), c), SKETCH, replace=False) for c in choices]
+    low = np.uint64(SKETCH)
+
+    def number(bits: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+        return (bits[:, chosen] * np.left_shift(np.uint64(1), np.arange(len(chosen), dtype=np.uint64))).sum(axis=1)
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -219,34 +231,45 @@ def shared_keys(classes: DataFrame, max_bits: int = WIDE_BITS) -> DataFrame:
                 part = b.slice(at, 500)
                 node = part.column(0).to_numpy()
                 bits = np.unpackbits(_words(part.column(1)).astype(">u8").view(np.uint8).reshape(len(node), -1), axis=1)
-                found = []
-                for t, c in enumerate(choices):
-                    weight = np.left_shift(np.uint64(1), np.arange(len(c), dtype=np.uint64))
-                    found.append((bits[:, c] * weight).sum(axis=1) * np.uint64(2048) + np.uint64(t))
+                found = [((number(bits, c) * np.uint64(2048) + np.uint64(t)) << low) + number(bits, s) for t, (c, s) in enumerate(zip(choices, sketches))]
                 yield pa.record_batch([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.tile(node, len(choices)))], names=["key", "node"])
 
+    def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.bitwise_count((a ^ b) & np.uint64((1 << SKETCH) - 1)) <= SKETCH_BITS
+
+    def batch(*columns: np.ndarray) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(c) for c in columns], names=["key", "node", "leader", "many"])
+
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # the last row (its leader, whether another has its key), which may stand alone
+        wait = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # a key of one or two rows that may go on
+        going = (None, 0, 0)  # a key of more: its leader and rows so far
         for b in batches:
-            if not b.num_rows:
+            full = np.concatenate((wait[0], b.column(0).to_numpy().view(np.uint64)))
+            node = np.concatenate((wait[1], b.column(1).to_numpy()))
+            if not len(node):
                 continue
-            key, node = b.column(0).to_numpy(), b.column(1).to_numpy()
-            if held is not None:
-                key, node = np.append(held[0], key), np.append(held[1], node)
-            new = np.concatenate(([True], key[1:] != key[:-1]))
-            start = np.flatnonzero(new)
-            leader = node[start[np.cumsum(new) - 1]]
-            met = ~new
-            if held is not None:
-                leader[key == held[0]], met[0] = held[2], held[3]
-            keep = met[:-1] | ~new[1:]
-            yield pa.record_batch([pa.array(x[:-1][keep]) for x in (key, node, leader)], names=["key", "node", "leader"])
-            held = (key[-1], node[-1], leader[-1], bool(met[-1]))
-        if held is not None and held[3]:
-            yield pa.record_batch([pa.array([x], pa.int64()) for x in held[:3]], names=["key", "node", "leader"])
-
-    rows = classes.select("node", "wide").mapInArrow(keys, "key long, node long")
-    return materialize(rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(shared, "key long, node long, leader long"), "wide-keys")
+            key = full >> low
+            start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            size = np.diff(np.append(start, len(key)))
+            leader, total = node[start], size.copy()
+            if key[0] == going[0]:
+                leader[0], total[0] = going[1], size[0] + going[2]
+            keep = total > 2
+            two = np.flatnonzero(total == 2)
+            keep[two] = alike(full[start[two]], full[start[two] + 1])
+            cut = len(key)
+            wait = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+            going = (int(key[-1]), int(leader[-1]), int(total[-1]))
+            if total[-1] <= 2:
+                cut = int(start[-1])
+                wait, going = (full[cut:], node[cut:]), (None, 0, 0)
+            take = np.repeat(keep, size)[:cut]
+            yield batch(*(x[:cut][take] for x in (key.view(np.int64), node, np.repeat(leader, size), np.repeat(total > 2, size))))
+        if len(wait[1]) == 2 and alike(wait[0][:1], wait[0][1:])[0]:
+            yield batch((wait[0] >> low).view(np.int64), wait[1], np.repeat(wait[1][:1], 2), np.zeros(2, bool))
+
+    rows, group = classes.select("node", "wide").mapInArrow(keys, "key long, node long"), F.shiftrightunsigned("key", SKETCH)
+    return materialize(rows.repartition(group).sortWithinPartitions(group, "node").mapInArrow(shared, "key long, node long, leader long, many boolean"), "wide-keys")
 
 
 def _words(column: pa.Array) -> np.ndarray:
@@ -254,30 +277,34 @@ def _words(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, WIDE)
 
 
-def leader_links(classes: DataFrame, keys: DataFrame, max_bits: int = WIDE_BITS) -> DataFrame:
-    """Links ``a, b`` of nodes to the leaders of their keys, verified.  One row for each node and leader, never pairs of a key's rows."""
+def judged_leaders(classes: DataFrame, keys: DataFrame, max_bits: int = WIDE_BITS) -> DataFrame:
+    """``node, leader, near``: nodes and the leaders of their keys, and whether they are within the bound; written.  One row for each node
+    and leader, never pairs of a key's rows."""
     asked = materialize(keys.where("node <> leader").select("node", "leader").distinct(), "leaders")
     # sides that are written have exchanges of their own in the join, so that rows of a frequent leader can be split
     leaders = classes.select(F.col("node").alias("leader"), F.col("wide").alias("other"))
     met = asked.join(classes.select("node", "wide"), "node").join(leaders, "leader")
-    return met.where(_distance("wide", "other") <= max_bits).select(F.col("node").alias("a"), F.col("leader").alias("b"))
+    return materialize(met.select("node", "leader", (_distance("wide", "other") <= max_bits).alias("near")), "judged")
 
 
-def cross_links(classes: DataFrame, keys: DataFrame, found: DataFrame, max_bits: int = WIDE_BITS, bucket: int = BUCKET) -> DataFrame:
+def cross_links(classes: DataFrame, keys: DataFrame, judged: DataFrame, found: DataFrame, max_bits: int = WIDE_BITS, bucket: int = BUCKET) -> DataFrame:
     """Links ``a, b`` between components of ``found(node, component)`` that share a key: what the leaders alone don't link.
 
-    Distances aren't transitive, so no row can stand for another.  But rows of one component needn't be compared, so in a key
-    only the rows outside its largest component are, with all rows of the key.  Both are dealt out by hash in parts of about
+    Distances aren't transitive, so no row can stand for another.  But rows of one component needn't be compared; so only keys of
+    three nodes or more are looked at in which some node isn't in its leader's component, and there the rows outside the key's largest
+    component are compared with all rows of the key.  Both are dealt out by hash in parts of about
     ``bucket`` rows, and every part of the former meets every part of the latter in a task's group.  A group gives links that
     join components, at most one a row.
     """
-    rows = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 2").join(keys, "key")  # two rows are a row and its leader
-    rows = rows.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
-    rows = materialize(rows, "key-components")
+    far = judged.where("not near").select("node", "leader")
+    own, other = found.select("node", F.col("component").alias("c")), found.select(F.col("node").alias("leader"), F.col("component").alias("lc"))
+    far = far.join(own, "node", "left").join(other, "leader", "left").where(F.coalesce("c", "node") != F.coalesce("lc", "leader")).select("node", "leader")
+    mixed = materialize(keys.where("many").join(materialize(far, "far"), ["node", "leader"]).select("key").distinct(), "mixed-keys")
+    rows = materialize(keys.join(mixed, "key").join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c")), "key-components")
     sizes = rows.groupBy("key", "c").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("key").agg(F.max_by("c", F.struct("n", "c")).alias("largest"), F.sum("n").alias("n"), F.max("n").alias("most"), F.count("*").alias("k"))
-    mixed = materialize(mixed.where("k > 1").select("key", "largest", F.ceil(F.col("n") / bucket).cast("int").alias("parts"), F.ceil((F.col("n") - F.col("most")) / bucket).cast("int").alias("rest_parts")), "mixed-keys")
-    rows = rows.join(mixed, "key")
+    plan = sizes.groupBy("key").agg(F.max_by("c", F.struct("n", "c")).alias("largest"), F.sum("n").alias("n"), F.max("n").alias("most"))
+    plan = materialize(plan.select("key", "largest", F.ceil(F.col("n") / bucket).cast("int").alias("parts"), F.ceil((F.col("n") - F.col("most")) / bucket).cast("int").alias("rest_parts")), "key-parts")
+    rows = rows.join(plan, "key")
     part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     rest = F.pmod(F.xxhash64("node", F.lit(1)), F.col("rest_parts")).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -340,9 +367,10 @@ def wide_components(classes: DataFrame, copies: DataFrame | None = None, max_bit
 
     Nodes are linked to the leaders of their keys first; then components that share a key are compared."""
     keys = shared_keys(classes, max_bits)
-    links = leader_links(classes, keys, max_bits)
+    judged = judged_leaders(classes, keys, max_bits)
+    links = judged.where("near").select(F.col("node").alias("a"), F.col("leader").alias("b"))
     found = materialize(connected_components(links.unionByName(copies) if copies is not None else links, "similar"), "similar")
-    across = materialize(cross_links(classes, keys, found, max_bits, bucket), "cross-links")
+    across = materialize(cross_links(classes, keys, judged, found, max_bits, bucket), "cross-links")
     if across.isEmpty():
         return found
     first = lambda n: found.select(F.col("node").alias(n), F.col("component").alias(f"{n}_c"))

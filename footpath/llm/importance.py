@@ -88,8 +88,9 @@ def bucket_counts(docs: DataFrame, target_ids: frozenset[int]) -> tuple[np.ndarr
 #: document costs more than keeping a bad one.
 REJECT_ODDS = 100.0
 
-#: Counts that both models have beforehand in every bucket.
-PRIOR_COUNT = 5.0
+#: Counts that both models have beforehand in every bucket.  A text's n-grams depend on each other, so a bucket says less than its count;
+#: with fewer, on small corpora the misfits of thousands of n-grams add up against long good documents.
+PRIOR_COUNT = 1000.0
 
 
 class Model:

@@ -122,7 +122,7 @@ def gumbel(one):
     return -math.log(-math.log(((h >> 11) + 0.5) / 2**53))
 
 
-def importance(docs, labels, prior=5.0, odds=100.0, buckets=10_000):
+def importance(docs, labels, prior=1000.0, odds=100.0, buckets=10_000):
     """``id: (log weight, key, keep)`` of {id: text} and {id: (quality, toxic)}; fewer labels than the sample's bound."""
     counts = {i: bucket_counts(t, buckets) for i, t in docs.items()}
     good = {i for i, (q, x) in labels.items() if q == 1 and not x}

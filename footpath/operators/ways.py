@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.geo import haversine
+from ..functions.scratch import written
 
 
 def tag_map(tags: Column) -> Column:
@@ -82,9 +83,11 @@ def edges(segs: DataFrame) -> DataFrame:
 
 
 def build_graph(ways: DataFrame, nodes: DataFrame, bbox: dict | None = fixed.BBOX) -> tuple[DataFrame, DataFrame]:
-    """``(nodes, edges)`` of the walkable graph; nodes without an edge are left out."""
-    chosen = walkable_ways(ways)
-    coords = graph_nodes(nodes, chosen, bbox)
+    """``(nodes, edges)`` of the walkable graph; nodes without an edge are left out.
+
+    Walkable ways and their nodes' coordinates are written, as both are read more than once."""
+    chosen = written(walkable_ways(ways), "walkable")
+    coords = written(graph_nodes(nodes, chosen, bbox), "coordinates")
     found = edges(located(segments(chosen), coords))
     ends = found.select(F.col("u").alias("osm_id")).union(found.select("v")).distinct()
     return coords.join(ends, "osm_id", "left_semi"), found
@@ -93,7 +96,8 @@ def build_graph(ways: DataFrame, nodes: DataFrame, bbox: dict | None = fixed.BBO
 def adjacency(found: DataFrame) -> DataFrame:
     """Both directions of every edge; a loop gives two rows."""
     rest = [c for c in found.columns if c not in ("u", "v")]
-    return found.select(F.col("u").alias("src"), F.col("v").alias("dst"), *rest).unionByName(found.select(F.col("v").alias("src"), F.col("u").alias("dst"), *rest))
+    ways = ((F.col("u"), F.col("v")), (F.col("v"), F.col("u")))
+    return found.select(F.inline(F.array(*(F.struct(a.alias("src"), b.alias("dst")) for a, b in ways))), *rest)
 
 
 def degrees(adj: DataFrame) -> DataFrame:

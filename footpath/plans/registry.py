@@ -23,6 +23,11 @@ def lattice(spark: SparkSession, d: str) -> Graph:
     return Graph(fx.lattice_nodes(spark, d), fx.lattice_edges(spark, d))
 
 
+def town(spark: SparkSession, d: str) -> Graph:
+    """The lattice, written: searches read it more than once."""
+    return Graph(written(fx.lattice_nodes(spark, d), "nodes"), written(fx.lattice_edges(spark, d), "edges"))
+
+
 def street(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return fx.raw_ways(spark, d), fx.raw_nodes(spark, d)
 
@@ -276,7 +281,7 @@ def _(spark, d):
 @query("sssp_lattice", f"with recursive {LATTICE_SQL.replace('select s_suppkey::bigint as qid', 'select 0::bigint as qid').replace('from supplier', 'from supplier limit 1')}, {least_costs('0::bigint')} select id as node, round(dist, 3) as distance from r")
 def _(spark, d):
     one = spark.createDataFrame([(0,)], "source long")
-    return paths.single_source(lattice(spark, d), one).select("node", F.round("cost", 3).alias("distance"))
+    return paths.single_source(town(spark, d), one).select("node", F.round("cost", 3).alias("distance"))
 
 
 OD_SQL = f"with recursive {LATTICE_SQL}, {least_costs('source')}"
@@ -284,14 +289,14 @@ OD_SQL = f"with recursive {LATTICE_SQL}, {least_costs('source')}"
 
 @query("shortest_path_od", f"{OD_SQL} select od.qid, source, target, round(dist, 3) as distance from od join r on r.qid = od.qid and r.id = od.target")
 def _(spark, d):
-    return paths.shortest_paths(lattice(spark, d), fx.od_pairs(spark, d)).select("qid", "source", "target", metres())
+    return paths.shortest_paths(town(spark, d), fx.od_pairs(spark, d)).select("qid", "source", "target", metres())
 
 
 @query("path_nodes_on_shortest", f"""{OD_SQL}, {least_costs('target', name='t')},
  best as (select od.qid, dist as d from od join r on r.qid = od.qid and r.id = od.target)
  select r.qid, (row_number() over (partition by r.qid order by r.dist) - 1)::integer as pos, r.id as node from r join t on t.qid = r.qid and t.id = r.id join best on best.qid = r.qid where abs(r.dist + t.dist - d) < 1e-6""")
 def _(spark, d):
-    return paths.on_path_nodes(paths.shortest_paths(lattice(spark, d), fx.od_pairs(spark, d)))
+    return paths.on_path_nodes(paths.shortest_paths(town(spark, d), fx.od_pairs(spark, d)))
 
 
 WALKED_WEIGHT = "(a.w * case when a.walked then {p} else 1.0 end)"
@@ -305,14 +310,14 @@ def penalised(p: float, seeds: str = "source", name: str = "r") -> str:
 @query("penalized_sssp_fixed", f"with recursive {PENALTY_SQL}, {penalised(3.0)} select od.qid, round(dist, 3) as cost from od join r on r.qid = od.qid and r.id = od.target")
 def _(spark, d):
     pairs = fx.od_pairs(spark, d).withColumn("penalty", F.lit(3.0))
-    return paths.solve(lattice(spark, d), pairs, walked(spark, d)).select("qid", metres("cost"))
+    return paths.solve(town(spark, d), pairs, walked(spark, d)).select("qid", metres("cost"))
 
 
 @query("penalty_sweep_costs", "with recursive " + PENALTY_SQL + "".join(f", {penalised(p, name=f'r{i}')}" for i, p in enumerate(fixed.FALLBACK_PENALTIES)) + " " + " union all ".join(f"select od.qid, {p}::double as penalty, round(dist, 3) as cost from od join r{i} r on r.qid = od.qid and r.id = od.target" for i, p in enumerate(fixed.FALLBACK_PENALTIES)))
 def _(spark, d):
     grid = F.explode(F.array(*(F.lit(p) for p in fixed.FALLBACK_PENALTIES))).alias("penalty")
     pairs = fx.od_pairs(spark, d).select("qid", "source", "target", grid)
-    return paths.solve(lattice(spark, d), pairs, walked(spark, d)).select("qid", "penalty", metres("cost"))
+    return paths.solve(town(spark, d), pairs, walked(spark, d)).select("qid", "penalty", metres("cost"))
 
 
 P_SQL = f"with {LATTICE_SQL}, {PATH_SQL}"
@@ -381,7 +386,7 @@ FIGURES_SQL = "qid, penalty, round(distance, 3) as distance, round(novelty, 9) a
 
 
 def _candidates(spark, d):
-    return written(novelty.candidates(lattice(spark, d), fx.od_pairs(spark, d), written(walked(spark, d), "walked")), "candidates")
+    return written(novelty.candidates(town(spark, d), fx.od_pairs(spark, d), written(walked(spark, d), "walked")), "candidates")
 
 
 def _figures(found):
@@ -405,7 +410,7 @@ def _(spark, d):
 
 
 def _routes(spark, d, **how):
-    g, pairs = lattice(spark, d), fx.od_pairs(spark, d)
+    g, pairs = town(spark, d), fx.od_pairs(spark, d)
     found = novelty.novelty_routes(g, pairs, written(walked(spark, d), "walked"), **how)
     return found.select("qid", "found", metres(), metres("shortest_distance"), metres("novelty", 9), metres("overhead", 6), F.size("path").alias("n_nodes"))
 
@@ -457,7 +462,7 @@ def _(spark, d):
  {least_costs('source')}, {least_costs('target', name='t')}
  select near.qid, position, osm_id as via, round(r.dist + t.dist, 3) as distance from near join od using (qid) join r on r.qid = near.qid and r.id = osm_id join t on t.qid = near.qid and t.id = osm_id where osm_id <> source and osm_id <> target""")
 def _(spark, d):
-    found = novelty.via_routes(lattice(spark, d), fx.od_pairs(spark, d), _detours(spark, d))
+    found = novelty.via_routes(town(spark, d), fx.od_pairs(spark, d), _detours(spark, d))
     return found.select("qid", "position", "via", metres())
 
 
@@ -565,14 +570,14 @@ def _(spark, d):
 
 @query("extra_minutes_sweep", f"""{OD_SQL} select od.qid, m as minutes, round(case when dist > 0 then m * 60 * 1.4::double / dist else 0 end, 6) as max_overhead from od join r on r.qid = od.qid and r.id = od.target cross join (select unnest([5, 10, 15, 20, 30]) as m)""")
 def _(spark, d):
-    base = paths.shortest_paths(lattice(spark, d), fx.od_pairs(spark, d))
+    base = paths.shortest_paths(town(spark, d), fx.od_pairs(spark, d))
     rows = base.select("qid", "distance", F.explode(F.array(*map(F.lit, (5, 10, 15, 20, 30)))).alias("minutes"))
     return rows.select("qid", "minutes", F.round(geo.overhead_for_extra_minutes(F.col("minutes"), F.col("distance")), 6).alias("max_overhead"))
 
 
 @query("extra_minutes_routes")
 def _(spark, d):
-    found = report.sweep(lattice(spark, d), fx.od_pairs(spark, d))
+    found = report.sweep(town(spark, d), fx.od_pairs(spark, d))
     return found.select("qid", "minutes", metres(), metres("overhead", 6))
 
 
@@ -586,12 +591,12 @@ def _(spark, d):
 
 @query("walk_minutes", f"{OD_SQL} select od.qid, round(dist / 1000 / 5 * 60, 4) as minutes, round(dist / 1.4::double / 60, 4) as report_minutes from od join r on r.qid = od.qid and r.id = od.target")
 def _(spark, d):
-    base = paths.shortest_paths(lattice(spark, d), fx.od_pairs(spark, d))
+    base = paths.shortest_paths(town(spark, d), fx.od_pairs(spark, d))
     return base.select("qid", F.round(geo.walk_minutes(F.col("distance")), 4).alias("minutes"), F.round(geo.walk_minutes(F.col("distance"), fixed.REPORT_MPS), 4).alias("report_minutes"))
 
 
 def _phases(spark, d):
-    g = lattice(spark, d)
+    g = town(spark, d)
     n = fx.lattice_nodes(spark, d)
     a = n.select(F.col("osm_id").alias("source"), (F.col("lat") + 0.0002).alias("slat"), (F.col("lon") - 0.0003).alias("slon"))
     b = n.select(F.col("osm_id").alias("target"), (F.col("lat") + 0.0002).alias("elat"), (F.col("lon") - 0.0003).alias("elon"))

@@ -110,3 +110,28 @@ def test_index_is_taken_only_for_its_graph(spark, graph, tmp_path):
     got = {(r.pid, r["rank"], r.osm_id) for r in snap.nearest_indexed(points, index, 2).collect()}
     assert got == {(r.pid, r["rank"], r.osm_id) for r in snap.nearest(points, graph.nodes, 2).collect()} and len(got) == 4
     assert graph_store.load_index(spark, path, Graph(graph.nodes, graph.edges.limit(2))) is None
+
+
+def test_files_keep_weights_and_places_whole(spark, tmp_path, monkeypatch):
+    from footpath.operators import packed
+
+    monkeypatch.setattr(packed, "RANGE", 7)  # several ranges
+    nodes = spark.range(60).selectExpr("id * 3 as osm_id", "37.75D + id * 0.0009D as lat", "-122.45D + id / 7.0D as lon")
+    edges = spark.range(59).selectExpr("id * 3 as u", "id * 3 + 3 as v", "id * 0.1D + 0.05D as weight", "if(id % 4 = 0, null, concat('S', id % 5)) as name", "'path' as highway")
+    g = Graph(nodes, edges)
+    csrg.write(g, str(tmp_path / "g.bin"))
+    csrg.write_npz(g, str(tmp_path / "g.npz"))
+    expected = sorted((r.u, r.v, r.weight, r.name or "", r.highway) for r in edges.collect())
+    for back in (csrg.read(spark, str(tmp_path / "g.bin")), csrg.read_npz(spark, str(tmp_path / "g.npz"))):
+        assert sorted((r.u, r.v, r.weight, r.name, r.highway) for r in back.edges.collect()) == expected
+        assert sorted(map(tuple, back.nodes.collect())) == sorted(map(tuple, nodes.collect()))
+    # what the format itself has is as before
+    x = csrg.Arrays(str(tmp_path / "g.bin"))
+    assert x._plain["weights"].dtype == "<f4" and x.offsets[-1] == 118 and x.targets[:3].tolist() == [1, 0, 2]
+
+
+def test_writing_a_file_collects_no_rows(spark, graph, tmp_path, monkeypatch):
+    from pyspark.sql import DataFrame
+
+    monkeypatch.setattr(type(graph.nodes), "toPandas", lambda self: pytest.fail("collected"))
+    csrg.write(graph, str(tmp_path / "g.bin"))

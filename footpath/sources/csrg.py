@@ -1,12 +1,13 @@
 """The flat binary graph format (versions 1 and 2), read and written.
 
 A file holds one graph of at most ``LIMIT`` nodes and edges (32-bit offsets).  Tasks pack its arrays in ranges of
-nodes, and the driver writes one range at a time.
+nodes and write them in the shared folder, from which the file is moved; where that isn't mounted, the driver writes one range at a time.
 """
 
 from __future__ import annotations
 
 import os
+import shutil
 import struct
 import uuid
 import zipfile
@@ -63,12 +64,21 @@ def write(graph: Graph, path: str) -> None:
     words = b"".join(_table(list(tables[c])) for c in more)
     exact = end + len(words)
     places += [("weight", "<f8", exact), ("lat", "<f8", exact + 8 * m), ("lon", "<f8", exact + 8 * (m + n))]
-    with open(path, "wb") as f:
+    spark = graph.nodes.sparkSession
+    shared = local_path(f"{shared_dir(spark)}/written-{uuid.uuid4().hex}")
+    own = shared or path
+    os.makedirs(os.path.dirname(own) or ".", exist_ok=True)
+    with open(own, "wb") as f:
+        f.truncate(exact + 8 * (m + 2 * n))
         f.write(MAGIC + struct.pack("<III", 2 if graph.has_names else 1, n, m) + EXACT + struct.pack("<Q", exact))
         f.write(bytes(4 * (n + 1)) if n == 0 else b"")
-        packed.assemble(chunks, f, places, starts, (n, m), more)
         f.seek(end)
         f.write(words)
+        if shared is None:
+            packed.assemble(chunks, f, places, starts, (n, m), more)
+    if shared is not None:
+        packed.assemble_shared(chunks, own, places, starts, more)
+        shutil.move(own, path)
 
 
 class Words:

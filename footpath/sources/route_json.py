@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.paths import path_coordinates, path_edges
+from ..operators.paths import path_coordinates
 
 SCHEMA = (
     "distance_m double, shortest_distance_m double, overhead_pct double, novelty_pct double, num_edges bigint, "
@@ -14,10 +14,12 @@ SCHEMA = (
 
 
 def documents(routes: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``qid`` and the fields of a route's document; edges in the direction of travel."""
-    pairs = path_edges(routes).groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "u", "v"))), lambda x: F.array(x["u"], x["v"])).alias("edges"))
-    rows = routes.join(path_coordinates(routes, nodes), "qid", "left").join(pairs, "qid", "left")
-    edges = F.coalesce("edges", F.array().cast("array<array<bigint>>"))
+    """``qid`` and the fields of a route's document; edges in the direction of travel.
+
+    ``coordinates`` that routes have (``paths.located``) are taken as they are."""
+    rows = routes if "coordinates" in routes.columns else routes.join(path_coordinates(routes, nodes), "qid", "left")
+    steps = F.zip_with(F.slice("path", 1, F.greatest(F.size("path") - 1, F.lit(0))), F.slice("path", 2, F.greatest(F.size("path") - 1, F.lit(0))), lambda u, v: F.array(u, v))
+    edges = F.coalesce(steps, F.array()).cast("array<array<bigint>>")
     return rows.select(
         "qid",
         F.round("distance", 1).alias("distance_m"),

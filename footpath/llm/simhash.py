@@ -10,17 +10,18 @@ which is exact as well and grows with the bucket's size.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize, slices
+from .common import Files, connected_components, materialize, slices
 
 #: Distinct fingerprints of a bucket that one task compares with each other.
 BUCKET = 4096
@@ -205,11 +206,6 @@ def wide_choices(n: int, alike: float = ALIKE) -> list[np.ndarray]:
     return [rng.choice(bits, size, replace=False) for _ in range(number)]
 
 
-def _distance(a: str, b: str) -> Column:
-    """Differing bits of two wide fingerprints, given as arrays of longs."""
-    return reduce(lambda x, y: x + y, (F.bit_count(F.get(a, F.lit(j)).bitwiseXOR(F.get(b, F.lit(j)))) for j in range(WIDE)))
-
-
 def shared_keys(classes: DataFrame, max_bits: int = WIDE_BITS) -> DataFrame:
     """Rows ``key, node, leader, many`` of the nodes of ``classes(node, wide)`` whose key another node has as well: ``leader`` is the key's
     least node, ``many`` tells keys of three nodes or more.
@@ -277,17 +273,91 @@ def _words(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, WIDE)
 
 
-def judged_leaders(classes: DataFrame, keys: DataFrame, max_bits: int = WIDE_BITS) -> DataFrame:
-    """``node, leader, near``: nodes and the leaders of their keys, and whether they are within the bound; written.  One row for each node
-    and leader, never pairs of a key's rows."""
-    asked = materialize(keys.where("node <> leader").select("node", "leader").distinct(), "leaders")
-    # sides that are written have exchanges of their own in the join, so that rows of a frequent leader can be split
-    leaders = classes.select(F.col("node").alias("leader"), F.col("wide").alias("other"))
-    met = asked.join(classes.select("node", "wide"), "node").join(leaders, "leader")
-    return materialize(met.select("node", "leader", (_distance("wide", "other") <= max_bits).alias("near")), "judged")
+#: Files of a ``Lookup``; a prime, so that ids that are multiples of some number are spread as well.
+LOOKUP_PARTS = 61
+
+
+@lru_cache(2 * LOOKUP_PARTS)
+def _part(path: str, width: int) -> tuple[np.ndarray, np.ndarray]:
+    numbers = np.memmap(path, "<i8", "r")
+    n = len(numbers) // (1 + width)
+    return numbers[:n], numbers[n:].reshape(n, width)
+
+
+class Lookup:
+    """``width`` longs of each node of ``rows(node, longs)``, in files that tasks map: who asks for many pairs of nodes needs no row of each pair."""
+
+    def __init__(self, rows: DataFrame, name: str, width: int):
+        self.files, self.width = Files(rows.sparkSession, name), width
+        files = self.files
 
+        def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = [(b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).flatten().to_numpy().reshape(-1, width)) for b in batches]
+            part, node, longs = (np.concatenate(x) for x in zip(*held)) if held else (np.zeros(0, np.int64),) * 3
+            for p in np.unique(part).tolist():
+                own = np.flatnonzero(part == p)
+                own = own[np.argsort(node[own])]
+                blob = files.put(str(p), [node[own].astype("<i8").tobytes(), longs[own].astype("<i8").tobytes()])
+                yield pa.record_batch([pa.array([str(p)]), pa.array([blob], pa.binary())], names=["name", "blob"])
 
-def cross_links(classes: DataFrame, keys: DataFrame, judged: DataFrame, found: DataFrame, max_bits: int = WIDE_BITS, bucket: int = BUCKET) -> DataFrame:
+        part = F.pmod("node", F.lit(LOOKUP_PARTS)).cast("long").alias("part")
+        files.publish(rows.select(part, "node", "longs").repartition(LOOKUP_PARTS, "part").mapInArrow(build, "name string, blob binary"))
+
+    def of(self, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each node is known, and its longs (0 if it isn't)."""
+        known, out = np.zeros(len(node), bool), np.zeros((len(node), self.width), np.int64)
+        part = node % LOOKUP_PARTS
+        for p in np.unique(part).tolist():
+            path, some = self.files.local(str(p)), np.flatnonzero(part == p)
+            if os.path.exists(path):
+                nodes, longs = _part(path, self.width)
+                at = np.minimum(np.searchsorted(nodes, node[some]), len(nodes) - 1)
+                hit = nodes[at] == node[some]
+                known[some[hit]], out[some[hit]] = True, longs[at[hit]]
+        return known, out
+
+
+def leader_links(classes: DataFrame, keys: DataFrame, max_bits: int = WIDE_BITS) -> DataFrame:
+    """Links ``a, b`` between nodes and the leaders of their keys that are within the bound; written.
+
+    A node of a large group has nearly as many leaders as keys, so fingerprints are looked up where the pairs are,
+    and a task gives only links that join what its links so far don't."""
+    wide = Lookup(classes.select("node", F.col("wide").alias("longs")), "wide-nodes", WIDE)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root: dict[int, int] = {}
+        for b in batches:
+            node, leader = (b.column(i).to_numpy() for i in range(2))
+            near = np.bitwise_count((wide.of(node)[1] ^ wide.of(leader)[1]).view(np.uint64)).sum(axis=1) <= max_bits
+            links = []
+            for x, y in zip(node[near].tolist(), leader[near].tolist()):
+                p, q = _top(root, x), _top(root, y)
+                if p != q:
+                    root[max(p, q)] = min(p, q)
+                    links.append((x, y))
+            yield _signed_batch(links)
+
+    asked = keys.where("node <> leader").select("node", "leader").distinct()
+    return materialize(asked.mapInArrow(run, "a long, b long"), "leader-links")
+
+
+def mixed_keys(keys: DataFrame, found: DataFrame) -> DataFrame:
+    """Keys of three nodes or more of which some aren't in the component of ``found(node, component)`` that the leader is in."""
+    components = Lookup(found.select("node", F.array("component").alias("longs")), "node-components", 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sides = []
+            for i in (1, 2):
+                own = b.column(i).to_numpy()
+                known, c = components.of(own)
+                sides.append(np.where(known, c[:, 0], own))
+            yield pa.record_batch([pa.array(np.unique(b.column(0).to_numpy()[sides[0] != sides[1]]))], names=["key"])
+
+    return keys.where("many and node <> leader").select("key", "node", "leader").mapInArrow(run, "key long").distinct()
+
+
+def cross_links(classes: DataFrame, keys: DataFrame, found: DataFrame, max_bits: int = WIDE_BITS, bucket: int = BUCKET) -> DataFrame:
     """Links ``a, b`` between components of ``found(node, component)`` that share a key: what the leaders alone don't link.
 
     Distances aren't transitive, so no row can stand for another.  But rows of one component needn't be compared; so only keys of
@@ -296,10 +366,7 @@ def cross_links(classes: DataFrame, keys: DataFrame, judged: DataFrame, found: D
     ``bucket`` rows, and every part of the former meets every part of the latter in a task's group.  A group gives links that
     join components, at most one a row.
     """
-    far = judged.where("not near").select("node", "leader")
-    own, other = found.select("node", F.col("component").alias("c")), found.select(F.col("node").alias("leader"), F.col("component").alias("lc"))
-    far = far.join(own, "node", "left").join(other, "leader", "left").where(F.coalesce("c", "node") != F.coalesce("lc", "leader")).select("node", "leader")
-    mixed = materialize(keys.where("many").join(materialize(far, "far"), ["node", "leader"]).select("key").distinct(), "mixed-keys")
+    mixed = materialize(mixed_keys(keys, found), "mixed-keys")
     rows = materialize(keys.join(mixed, "key").join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c")), "key-components")
     sizes = rows.groupBy("key", "c").agg(F.count("*").alias("n"))
     plan = sizes.groupBy("key").agg(F.max_by("c", F.struct("n", "c")).alias("largest"), F.sum("n").alias("n"), F.max("n").alias("most"))
@@ -340,21 +407,21 @@ def cross_links(classes: DataFrame, keys: DataFrame, judged: DataFrame, found: D
     return dealt.repartition("g").sortWithinPartitions("g", "rest", "node").mapInArrow(links, "a long, b long")
 
 
+def _top(root: dict[int, int], x: int) -> int:
+    while (up := root.get(x, x)) != x:
+        root[x] = x = root.get(up, up)
+    return x
+
+
 def _joins(node: np.ndarray, c: np.ndarray, rest: np.ndarray, wide: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
     """Links between rows marked ``rest`` and others, by which components ``c`` become one; none between components that already are."""
     root: dict[int, int] = {}
-
-    def top(x: int) -> int:
-        while root.get(x, x) != x:
-            x = root[x]
-        return x
-
     out, every = [], np.flatnonzero(~rest)
     for i in np.flatnonzero(rest).tolist():
         near = every[np.bitwise_count(wide[every] ^ wide[i]).sum(axis=1) <= max_bits]
         _, one = np.unique(c[near], return_index=True)
         for j in near[one].tolist():
-            x, y = top(int(c[i])), top(int(c[j]))
+            x, y = _top(root, int(c[i])), _top(root, int(c[j]))
             if x != y:
                 root[max(x, y)] = min(x, y)
                 out.append((int(node[i]), int(node[j])))
@@ -367,10 +434,9 @@ def wide_components(classes: DataFrame, copies: DataFrame | None = None, max_bit
 
     Nodes are linked to the leaders of their keys first; then components that share a key are compared."""
     keys = shared_keys(classes, max_bits)
-    judged = judged_leaders(classes, keys, max_bits)
-    links = judged.where("near").select(F.col("node").alias("a"), F.col("leader").alias("b"))
+    links = leader_links(classes, keys, max_bits)
     found = materialize(connected_components(links.unionByName(copies) if copies is not None else links, "similar"), "similar")
-    across = materialize(cross_links(classes, keys, judged, found, max_bits, bucket), "cross-links")
+    across = materialize(cross_links(classes, keys, found, max_bits, bucket), "cross-links")
     if across.isEmpty():
         return found
     first = lambda n: found.select(F.col("node").alias(n), F.col("component").alias(f"{n}_c"))

@@ -339,3 +339,35 @@ def test_chains_in_hot_buckets(spark, bucket, monkeypatch):
     found = {r.node: r.component for r in simhash.wide_components(classes, bucket=bucket).collect()}
     chain = {i: rows[j][2] for i, j in enumerate(order)}
     assert found == {i: min(x for x in chain if chain[x] == c) for i, c in chain.items()}
+
+
+def test_rows_of_a_large_group_grow_with_its_nodes(spark, monkeypatch):
+    """Each node of the group has another leader at nearly each of its keys; no table but the keys' own has a row for each of them."""
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 2, 512)
+    rows = []
+    for i in range(500):
+        own = base.copy()
+        own[rng.choice(512, 44, replace=False)] ^= 1
+        rows.append((i, wide(own)))
+    classes = common.materialize(spark.createDataFrame(rows, "node long, wide array<long>"), "classes")
+    written, write = {}, simhash.materialize
+
+    def counted(df, name):
+        out = write(df, name)
+        written[name] = max(written.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "materialize", counted)
+    found = {r.node: r.component for r in simhash.wide_components(classes).collect()}
+    assert found == dict.fromkeys(range(500), 0)
+    keys = written.pop("wide-keys")
+    assert keys > 20 * 500 and max(written.values()) <= 5 * 500, (keys, written)
+
+
+def test_looked_up_longs(spark):
+    rows = spark.createDataFrame([(i, [i - 3, -i]) for i in (-61, -5, 0, 7, 61, 122, 2**62)], "node long, longs array<long>")
+    table = simhash.Lookup(rows, "longs", 2)
+    known, got = table.of(np.array([7, 8, 122, -61, 7, -5, 2**62, 0]))
+    assert known.tolist() == [True, False, True, True, True, True, True, True]
+    assert got.tolist() == [[i - 3, -i] if k else [0, 0] for i, k in zip([7, 8, 122, -61, 7, -5, 2**62, 0], known)]

@@ -7,6 +7,12 @@ import numpy as np
 #: The format's mark, and bytes of its header.
 MAGIC, HEADER = b"EFSEQ001", 64
 
+#: For all bytes of a word at once: every second bit, pair of bits, half byte; the lowest and the highest bit of each byte.
+PAIRS, FOURS, BYTES, EACH, HIGHEST = (np.uint64(0x0101010101010101 * x) for x in (0x55, 0x33, 0x0F, 0x01, 0x80))
+
+#: By a byte and a rank from 0: the place of that one in the byte.
+PLACE = np.array([([k for k in range(8) if b >> k & 1] + [0] * 8)[:8] for b in range(256)], np.int64).ravel()
+
 #: Values of equal high bits that a search looks at one after another before it goes on by halves.
 STEPS = 3
 
@@ -15,7 +21,7 @@ def encode(values: np.ndarray, universe: int) -> bytes:
     """A non-decreasing sequence of integers below ``universe``.
 
     The low bits of each value stand side by side; the high bits in unary: bit (value >> low) + i is set for
-    value i.  A directory holds the ones before every 64-bit word.
+    value i.  A directory holds the zeros before every 64-bit word.
     """
     v = np.ascontiguousarray(values, dtype=np.uint64)
     n = len(v)
@@ -25,8 +31,8 @@ def encode(values: np.ndarray, universe: int) -> bytes:
     marks = np.zeros(((bits + 63) // 64 + 1) * 64, np.uint8)
     marks[high + np.arange(n)] = 1
     words = np.packbits(marks, bitorder="little").view("<u8")
-    ones = np.zeros(len(words) + 1, np.uint64)
-    np.cumsum(np.bitwise_count(words), out=ones[1:])
+    zeros = np.zeros(len(words) + 1, np.int64)
+    np.cumsum(64 - np.bitwise_count(words).astype(np.int64), out=zeros[1:])
     # 64 values take ``low`` words; each place among the 64 is written for all groups at once
     groups = (n + 63) // 64
     part = np.zeros(groups * 64, np.uint64)
@@ -40,7 +46,7 @@ def encode(values: np.ndarray, universe: int) -> bytes:
             packed[:, word + 1] |= part[:, k] >> np.uint64(64 - shift)
     packed = np.concatenate((packed[:, :low].astype("<u8").ravel(), np.zeros(1, "<u8"))).view(np.uint8)
     head = np.array([n, low, universe, len(words), len(packed)], "<u8").tobytes()
-    return (MAGIC + head).ljust(HEADER, b"\0") + words.astype("<u8").tobytes() + ones.astype("<u8").tobytes() + packed.tobytes()
+    return (MAGIC + head).ljust(HEADER, b"\0") + words.astype("<u8").tobytes() + zeros.astype("<i8").tobytes() + packed.tobytes()
 
 
 class Sequence:
@@ -52,13 +58,12 @@ class Sequence:
         at += HEADER
         self.words = data[at : at + 8 * words].view("<u8")
         at += 8 * words
-        self.ones = data[at : at + 8 * words + 8].view("<u8")
+        self.zeros = data[at : at + 8 * words + 8].view("<i8")
         at += 8 * words + 8
         # 8 bytes from any byte on
         self.window = np.ndarray((max(packed - 7, 0),), "<u8", data[at : at + packed], strides=(1,))
         self.end = at + packed
         self.mask = np.uint64((1 << self.low) - 1)
-        self.zeros = np.arange(words + 1, dtype=np.int64) * 64 - self.ones.astype(np.int64)
 
     def lows(self, i: np.ndarray) -> np.ndarray:
         at = i * self.low
@@ -66,21 +71,20 @@ class Sequence:
 
     @staticmethod
     def _in_word(word: np.ndarray, rank: np.ndarray) -> np.ndarray:
-        """Place of the one number ``rank`` (from 0) in each word."""
-        out = np.zeros(len(word), np.int64)
-        rest, word = rank.astype(np.int64), word.copy()
-        for width in (32, 16, 8, 4, 2, 1):
-            below = np.bitwise_count(word & np.uint64((1 << width) - 1)).astype(np.int64)
-            up = rest >= below
-            rest = np.where(up, rest - below, rest)
-            out += np.where(up, width, 0)
-            word = np.where(up, word >> np.uint64(width), word)
-        return out
+        """Place of the one number ``rank`` (from 0) in each word: first its byte, by sums over the bytes up to each, all in one word."""
+        s = word - ((word >> np.uint64(1)) & PAIRS)
+        s = (s & FOURS) + ((s >> np.uint64(2)) & FOURS)
+        s = ((s + (s >> np.uint64(4))) & BYTES) * EACH
+        rank = rank.astype(np.uint64)
+        at = np.bitwise_count(((rank * EACH | HIGHEST) - s) & HIGHEST).astype(np.uint64) << np.uint64(3)
+        rank -= (s << np.uint64(8)) >> at & np.uint64(255)
+        return at.astype(np.int64) + PLACE[(word >> at & np.uint64(255)) << np.uint64(3) | rank]
 
     def access(self, i: np.ndarray) -> np.ndarray:
         """Values number ``i``."""
-        w = np.searchsorted(self.ones, i.astype(np.uint64), "right") - 1
-        place = w * 64 + self._in_word(self.words[w], i - self.ones[w].astype(np.int64))
+        ones = np.arange(len(self.zeros)) * 64 - self.zeros
+        w = np.searchsorted(ones, i, "right") - 1
+        place = w * 64 + self._in_word(self.words[w], i - ones[w])
         return ((place - i).astype(np.uint64) << np.uint64(self.low)) | self.lows(i)
 
     def find(self, x: np.ndarray) -> np.ndarray:
@@ -96,20 +100,22 @@ class Sequence:
         i = np.zeros(len(x), np.int64)
         some = high > 0
         i[some] = self._before(high[some] - 1)
-        live = np.arange(len(x))
-        for _ in range(STEPS):  # mostly few values share their high bits
-            at = i[live] + high[live]
-            inside = (self.words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
-            live = live[inside]
-            own = self.lows(i[live])
-            hit = own == low[live]
-            out[which[live[hit]]] = i[live[hit]]
-            live = live[own < low[live]]
-            i[live] += 1
-            if not len(live):
-                return out
+        # the ones from there on are the values with the same high bits; as far as the next 64 bits show
+        at = i + high
+        word, shift = at >> 6, (at & 63).astype(np.uint64)
+        bits = self.words[word] >> shift | (self.words[np.minimum(word + 1, len(self.words) - 1)] << (np.uint64(63) - shift)) << np.uint64(1)
+        run = np.bitwise_count(bits & ~(bits + np.uint64(1))).astype(np.int64)
+        live, step = np.flatnonzero(run), 0
+        while len(live) and step < STEPS:  # mostly few values share their high bits
+            own, wanted = self.lows(i[live] + step), low[live]
+            hit = live[own == wanted]
+            out[which[hit]] = i[hit] + step
+            step += 1
+            live = live[(own < wanted) & (run[live] > step)]
+        if not len(live):
+            return out
         # the first of the rest whose low bits aren't less, by halves
-        start, end = i[live], self._before(high[live])
+        start, end = i[live] + step, np.where(run[live] < 63, i[live] + run[live], self._before(high[live]))
         last = end.copy()
         while (open_ := start < end).any():
             middle = (start + end) >> 1
@@ -128,4 +134,4 @@ class Sequence:
 
 
 def mapped(path: str) -> np.ndarray:
-    return np.memmap(path, np.uint8, "r")
+    return np.memmap(path, np.uint8, "r").view(np.ndarray)

@@ -10,9 +10,9 @@ the rest by their counts.  A text's tokens are its words and one end; before the
 
 Level one is the vocabulary: sorted word hashes (Elias-Fano), exact counts and quantised log
 probabilities; a word's id is its rank.  Levels two and three are cut into shards by first word, frequent
-first words also by second word.  A shard has its first words, monotone pointers to their successors, the successors as one
-monotone sequence (rank of the first word times the vocabulary plus word, so successors are searched relative to their
-context), and the same again from pairs to third words.  A pair has one byte for its quantised log P(w | v) and one for the
+first words also by second word.  A shard has its first words, their successors as one monotone sequence (rank of the first word times
+the vocabulary plus word, so a successor is searched relative to its context, without pointers), and the same again from pairs to third
+words.  A pair has one byte for its quantised log P(w | v) and one for the
 quantised weight MU3 / (n + MU3) of the level below, a triple one for its quantised log n / MU3: their product with the weight is what the
 triple adds to the weighed level below.  So no shard needs another's statistics.  Triples of pairs that
 may be frequent (both words are) are spread over all shards by the third word too, so no pair makes a shard hot.
@@ -24,6 +24,7 @@ and looks up a batch's distinct n-grams shard by shard, in order.  A text is sco
 
 from __future__ import annotations
 
+import itertools
 import mmap
 import os
 import struct
@@ -46,6 +47,9 @@ MU2, MU3 = 200.0, 5.0
 #: Training tokens of a shard on average, tokens that are counted or scored at once, and words of a vocabulary part.
 SHARD_TOKENS, STEP_TOKENS, PART_WORDS = 3_000_000, 1_000_000, 1_000_000
 
+#: Vocabularies from here on: two word ids don't fit into one number.
+WIDE = 1 << 31
+
 #: The end's spelling; no word has white space.
 END = b" end"
 
@@ -96,19 +100,19 @@ class Vocabulary:
     def ids(self, hashes: np.ndarray) -> np.ndarray:
         """Ids of words by hash; -1 for unknown ones."""
         out = np.full(len(hashes), -1, np.int64)
-        part = hashes >> np.uint64(64 - self.bits)
+        order, at = dealt((hashes >> np.uint64(64 - self.bits)).astype(np.int64), 1 << self.bits)
         for p, words, *_ in self.parts:
-            which = np.flatnonzero(part == p)
-            x = hashes[which] & np.uint64((1 << (64 - self.bits)) - 1)
-            found = words.find(x)
+            which = order[at[p] : at[p + 1]]
+            found = words.find(hashes[which] & np.uint64((1 << (64 - self.bits)) - 1))
             out[which] = np.where(found >= 0, found + self.base[p], -1)
         return out
 
     def look(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Counts and log10 probabilities by id; 0 and the unknown word's for -1; the start (id ``size``) counts the texts."""
         count, log = np.zeros(len(ids), np.int64), np.full(len(ids), self.unknown)
+        order, at = dealt(np.searchsorted(self.base, ids, "right"), len(self.base) + 1)
         for p, _, counts, codes, book in self.parts:
-            which = np.flatnonzero((ids >= self.base[p]) & (ids < self.base[p + 1]))
+            which = order[at[p + 1] : at[p + 2]]
             own = ids[which] - self.base[p]
             count[which] = counts[own]
             log[which] = book[codes[own]]
@@ -123,13 +127,49 @@ def vocabulary(files: Files, stats: dict) -> Vocabulary:
     return _LEVELS[files.path]
 
 
+def changes(a: np.ndarray) -> np.ndarray:
+    """Whether each value differs from the one before it; the first does."""
+    out = np.ones(len(a), bool)
+    np.not_equal(a[1:], a[:-1], out=out[1:])
+    return out
+
+
+def numbered(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values in order, and each value's number among them."""
+    order = np.argsort(a)
+    a = a[order]
+    new = changes(a)
+    back = np.empty(len(a), np.int64)
+    back[order] = np.cumsum(new) - 1
+    return a[new], back
+
+
+def ordered(u: np.ndarray, v: np.ndarray, w: np.ndarray, width: int) -> np.ndarray:
+    """Order of rows by u, v, w, all from 0 on and less than ``width``.  Single numbers sort several times as fast as rows."""
+    if width >= WIDE:
+        return np.lexsort((w, v, u))
+    pair = u.astype(np.int64) * width + v.astype(np.int64)
+    if width < 1 << 21:
+        return np.argsort(pair * width + w.astype(np.int64))
+    pair = numbered(pair)[1]
+    pair *= width
+    pair += w.astype(np.int64)
+    return np.argsort(pair)
+
+
+def dealt(part: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows by their part (from 0, less than ``n``), and where each part begins; the number of rows follows."""
+    order = np.argsort(part.astype(np.min_scalar_type(n)), kind="stable")  # small numbers are sorted digit by digit
+    return order, np.concatenate(([0], np.cumsum(np.bincount(part, minlength=n))))
+
+
 def grouped(u: np.ndarray, v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of rows sorted by u, v, w: where first words, pairs and triples begin."""
     if not len(u):
         return (np.zeros(0, np.int64),) * 3
-    one = np.concatenate(([True], u[1:] != u[:-1]))
-    two = one | np.concatenate(([True], v[1:] != v[:-1]))
-    three = two | np.concatenate(([True], w[1:] != w[:-1]))
+    one = changes(u)
+    two = one | changes(v)
+    three = two | changes(w)
     return np.flatnonzero(one), np.flatnonzero(two), np.flatnonzero(three)
 
 
@@ -145,44 +185,34 @@ class Level:
         rank1 = np.searchsorted(one, two, "right") - 1  # of the pairs
         rank2 = np.repeat(np.arange(len(two)), np.diff(np.append(two, len(u))))
         real = w < width
-        before = np.concatenate(([0], np.cumsum(real)))
         return [
             elias_fano.encode(u[one], width),
-            elias_fano.encode(np.append(np.searchsorted(two, one), len(two)), len(two) + 1),
             elias_fano.encode(rank1 * width + v[two], max(1, len(one)) * width),
-            elias_fano.encode(before[np.append(two, len(u))], int(before[-1]) + 1),
             elias_fano.encode(rank2[real] * width + w[real], max(1, len(two)) * width),
         ]
 
     def __init__(self, data: np.ndarray, at: int, width: int):
         self.width = width
         self.first = elias_fano.Sequence(data, at)
-        self.pointers = elias_fano.Sequence(data, self.first.end)
-        self.second = elias_fano.Sequence(data, self.pointers.end)
-        self.next_pointers = elias_fano.Sequence(data, self.second.end)
-        self.third = elias_fano.Sequence(data, self.next_pointers.end)
+        self.second = elias_fano.Sequence(data, self.first.end)
+        self.third = elias_fano.Sequence(data, self.second.end)
         self.end = self.third.end
 
-    def _successors(self, pointers: elias_fano.Sequence, words: elias_fano.Sequence, parent: np.ndarray, word: np.ndarray) -> np.ndarray:
+    def _successors(self, words: elias_fano.Sequence, parent: np.ndarray, word: np.ndarray) -> np.ndarray:
         """Places of words among the successors of their parents; -1 if a word isn't one or the parent is -1."""
         out = np.full(len(word), -1, np.int64)
         some = np.flatnonzero(parent >= 0)
-        if not len(some) or not words.n:
-            return out
-        own, back = np.unique(parent[some], return_inverse=True)
-        first, last = pointers.access(own).astype(np.int64)[back], pointers.access(own + 1).astype(np.int64)[back]
-        at = words.find(parent[some] * self.width + word[some])
-        out[some] = np.where((at >= first) & (at < last), at, -1)
+        out[some] = words.find(parent[some] * self.width + word[some])
         return out
 
     def pairs(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
         """Places of pairs in level two, or -1."""
-        own, back = np.unique(u, return_inverse=True)
-        return self._successors(self.pointers, self.second, self.first.find(own)[back], v)
+        new = changes(u)  # mostly in order
+        return self._successors(self.second, self.first.find(u[new])[np.cumsum(new) - 1], v)
 
     def triples(self, pair: np.ndarray, w: np.ndarray) -> np.ndarray:
         """Places in level three of the words after pairs (given by place), or -1."""
-        return self._successors(self.next_pointers, self.third, pair, w)
+        return self._successors(self.third, pair, w)
 
 
 class Trie:
@@ -243,7 +273,7 @@ class Trie:
 
     def close(self) -> None:
         """The process lets go of the pages it has read; they stay in the system's cache."""
-        self.data._mmap.madvise(mmap.MADV_DONTNEED)
+        self.data.base._mmap.madvise(mmap.MADV_DONTNEED)
 
 
 class Shards:
@@ -358,7 +388,7 @@ def _counted(u: np.ndarray, v: np.ndarray, w: np.ndarray, vocab: Vocabulary, sha
     """Packed n-gram counts of some words and their contexts, by shard."""
     last = np.flatnonzero(w == end)  # the pair that ends a text has no third word
     u, v, w = np.concatenate((u, v[last])), np.concatenate((v, w[last])), np.concatenate((w, np.full(len(last), vocab.none)))
-    order = np.lexsort((w, v, u))
+    order = ordered(u, v, w, vocab.none + 1)
     u, v, w = u[order], v[order], w[order]
     _, _, at = grouped(u, v, w)
     n = np.diff(np.append(at, len(u)))
@@ -375,25 +405,24 @@ def _counted(u: np.ndarray, v: np.ndarray, w: np.ndarray, vocab: Vocabulary, sha
         shard = np.concatenate((shard, shards.pair(a[at], b[at], n_u[spread][at])))
         u, v = np.concatenate((u, a[at])), np.concatenate((v, b[at]))
         w, n = np.concatenate((w, np.full(len(at), vocab.none))), np.concatenate((n, np.add.reduceat(n[spread], at)))
-    order = np.argsort(shard, kind="stable")
-    ends = np.cumsum(np.bincount(shard, minlength=shards.n))
+    order, ends = dealt(shard, shards.n)
     packer = zstandard.ZstdCompressor(level=1)
-    for s, (i, j) in enumerate(zip(np.concatenate(([0], ends[:-1])).tolist(), ends.tolist())):
+    for s, (i, j) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())):
         if i < j:
             own = order[i:j]
             yield s, struct.pack("<I", j - i) + packer.compress(b"".join(_planes(x[own].astype(kind)) for x in (u, v, w)) + _planes(n[own].astype("<u4")))
 
 
-def _merged(blobs: list[bytes], kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct n-grams of a shard, sorted, and their counts."""
-    unpack, width, columns = zstandard.ZstdDecompressor(), np.dtype(kind).itemsize, []
+def _merged(blobs: list[bytes], kind: str, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct n-grams of a shard, sorted, and their counts; ``width`` is greater than every word id."""
+    unpack, size, columns = zstandard.ZstdDecompressor(), np.dtype(kind).itemsize, []
     for x in blobs:
         (n,), raw = struct.unpack_from("<I", x), unpack.decompress(x[4:])
-        cut = [raw[i * width * n : (i + 1) * width * n] for i in range(3)]
-        columns.append([_from_planes(c, n, kind) for c in cut] + [_from_planes(raw[3 * width * n :], n, "<u4")])
+        cut = [raw[i * size * n : (i + 1) * size * n] for i in range(3)]
+        columns.append([_from_planes(c, n, kind) for c in cut] + [_from_planes(raw[3 * size * n :], n, "<u4")])
     u, v, w, n = (np.concatenate(c) for c in zip(*columns))
     del columns
-    order = np.lexsort((w, v, u))
+    order = ordered(u, v, w, width)
     u, v, w, n = u[order], v[order], w[order], n[order]
     _, _, at = grouped(u, v, w)
     return u[at].astype(np.int64), v[at].astype(np.int64), w[at].astype(np.int64), np.add.reduceat(n.astype(np.int64), at)
@@ -401,27 +430,32 @@ def _merged(blobs: list[bytes], kind: str) -> tuple[np.ndarray, np.ndarray, np.n
 
 def _logs(first: np.ndarray, before: np.ndarray, word: np.ndarray, vocab: Vocabulary, shards: Shards, files: Files) -> np.ndarray:
     """log10 P of each word after the two before it, in multiples of 2**-20."""
-    order = np.lexsort((word, before, first))
-    u, v, w = first[order], before[order], word[order]
-    _, two, three = grouped(u, v, w)
-    number = np.diff(np.append(three, len(u)))
-    contexts = np.diff(np.append(np.searchsorted(three, two), len(three)))
-    # distinct pairs: the first two words of triples, and their last two
-    a, b = np.concatenate((u[two], v[three])), np.concatenate((v[two], w[three]))
-    u, v, w = u[three], v[three], w[three]
-    by = np.lexsort((b, a))
-    _, at, _ = grouped(a[by], b[by], b[by])
-    back = np.empty(len(a), np.int64)
-    back[by] = np.searchsorted(at, np.arange(len(a)), "right") - 1
-    a, b = a[by][at], b[by][at]
-    context, below = np.repeat(back[: len(two)], contexts), back[len(two) :]
+    # pairs, numbered in order: each word with the one before it, and before a text's first word or where a step begins, the two before
+    width, number = vocab.none + 1, None
+    if width >= WIDE:  # the step's words are numbered first
+        number, back = numbered(np.concatenate((first, before, word)))
+        first, before, word = np.split(back, 3)
+        width = len(number) + 1
+    key, last = (before + 1) * width + word + 1, (first + 1) * width + before + 1
+    own = np.flatnonzero(np.concatenate(([True], last[1:] != key[:-1]))) if len(word) else np.zeros(0, np.int64)
+    key, back = numbered(np.concatenate((key, last[own])))
+    below = back[: len(word)]
+    context = np.concatenate(([0], below[:-1])) if len(word) else below
+    context[own] = back[len(word) :]
+    a, b = key // width - 1, key % width - 1
+    if number is not None:
+        a, b = number[a], number[b]
+    # triples: a pair and the one that goes on from it
+    triple, back = numbered(context * len(key) + below)
+    context, below = triple // max(1, len(key)), triple % max(1, len(key))
+    u, v, w = a[context], a[below], b[below]
     place, log2, weight, log3 = np.full(len(a), -1, np.int64), np.full(len(a), np.nan), np.zeros(len(a)), np.full(len(u), -np.inf)
-    n_a, n_u, n_v = vocab.look(a)[0], vocab.look(u)[0], vocab.look(v)[0]
+    n_a = vocab.look(a)[0]
+    n_u, n_v = n_a[context], n_a[below]
     pair_shard, (triple_shard, spread) = shards.pair(a, b, n_a), shards.triple(u, v, w, n_u, n_v)
     pair_shard[(a < 0) | (b < 0)] = shards.n
     triple_shard[(u < 0) | (v < 0) | (w < 0)] = shards.n
-    pair_by, triple_by = np.argsort(pair_shard, kind="stable"), np.argsort(triple_shard, kind="stable")
-    pair_end, triple_end = (np.concatenate(([0], np.cumsum(np.bincount(x, minlength=shards.n + 1)))) for x in (pair_shard, triple_shard))
+    (pair_by, pair_end), (triple_by, triple_end) = dealt(pair_shard, shards.n + 1), dealt(triple_shard, shards.n + 1)
     for s in range(shards.n):
         pairs, triples = pair_by[pair_end[s] : pair_end[s + 1]], triple_by[triple_end[s] : triple_end[s + 1]]
         path = files.local(f"grams-{s}")
@@ -436,9 +470,7 @@ def _logs(first: np.ndarray, before: np.ndarray, word: np.ndarray, vocab: Vocabu
         trie.close()
     missing = np.flatnonzero(np.isnan(log2))
     log2[missing] = vocab.look(b[missing])[1] + np.log10(MU2 / (n_a[missing] + MU2))
-    out = np.empty(len(word))
-    out[order] = np.repeat(weight[context] + np.log10(10**log3 + 10 ** log2[below]), number)
-    return np.round(out * 2**20) / 2**20
+    return np.round((weight[context] + np.log10(10**log3 + 10 ** log2[below])) * 2**20)[back] / 2**20
 
 
 def score(docs: DataFrame, held_out, name: str = "ngram-lm", mapped: bool | None = None) -> DataFrame:
@@ -462,14 +494,19 @@ def score(docs: DataFrame, held_out, name: str = "ngram-lm", mapped: bool | None
         vocab = vocabulary(words, stats)
         for part in slices(batches, 1, 4 << 20):
             split = [tokens(t) for t in part.column(1).to_pylist()]
-            local: dict[bytes, int] = {END: 0}
-            flat = np.array([local.setdefault(w, len(local)) for own in split for w in (*own, END)], np.int64)
+            for own in split:
+                own.append(END)
+            size = np.fromiter(map(len, split), np.int64, len(split))
+            local: dict[bytes, int] = {}  # a word's first place
+            flat = np.fromiter(map(local.setdefault, itertools.chain.from_iterable(split), itertools.count()), np.int64, int(size.sum()))
+            place = np.fromiter(local.values(), np.int64, len(local))
             ids = vocab.ids(np.fromiter(map(xxhash.xxh64_intdigest, local), np.uint64, len(local)))
             n, _ = vocab.look(ids)
-            size = np.array([len(w) + 1 for w in split], np.int64)
-            of, n = np.repeat(np.arange(len(split)), size), n[flat]
-            base = np.bincount(of, weights=np.log10((n + 1) / (total + 1 * (types + 1))), minlength=len(split))
-            known = np.bincount(of, weights=n > 0, minlength=len(split)).astype(np.int64)
+            at = np.empty(len(flat), np.int64)
+            at[place] = np.arange(len(place))
+            flat, of = at[flat], np.repeat(np.arange(len(split)), size)
+            base = np.bincount(of, weights=np.log10((n + 1) / (total + 1 * (types + 1)))[flat], minlength=len(split))
+            known = np.bincount(of, weights=(n > 0).astype(np.float64)[flat], minlength=len(split)).astype(np.int64)
             raw = np.where(ids < 0, np.iinfo(kind).max, ids).astype(kind)[flat].tobytes()
             end = (np.cumsum(size) * width).tolist()
             blobs = [raw[a:b] for a, b in zip([0, *end[:-1]], end)]
@@ -505,7 +542,7 @@ def score(docs: DataFrame, held_out, name: str = "ngram-lm", mapped: bool | None
             for s, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 found.setdefault(s, []).append(x)
         for s in sorted(found):
-            blob = grams.put(f"grams-{s}", Trie.build(*_merged(found.pop(s), kind), vocab, shards.hot))
+            blob = grams.put(f"grams-{s}", Trie.build(*_merged(found.pop(s), kind, vocab.none + 1), vocab, shards.hot))
             yield pa.record_batch([pa.array([f"grams-{s}"]), pa.array([blob], pa.binary())], names=["name", "blob"])
 
     counted = coded.where("not held_out").select("ids").mapInArrow(count, "shard int, blob binary")

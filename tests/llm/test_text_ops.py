@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from footpath.llm import byte_bpe, elias_fano, importance, ngram_lm, packing, token_counts
-from footpath.llm.common import tokenizer_file
+from footpath.llm.common import tokenizer_file, write_file
 
 ODD = ["", " ", "\n", "a", "<|endoftext|> x <|endoftext|>y<|endoftext|>", "  two  spaces ", "line\n\n  next\tx\x1cy", "don't we'll 'sx  's", "naïve Ünï ΑΣ İ ǅ é", "日本語 テキスト。 ok", "12,345.6 7", "x" * 5000, "ab " * 3000, "　wide space", "͸͹ z", "<|startoftext|>a<|endoftext|>"]
 
@@ -217,6 +217,52 @@ def test_language_model_in_parts():
     assert ((level.triples(level.pairs(a, b), c) >= 0) == [x in known for x in zip(a.tolist(), b.tolist(), c.tolist())]).all()
 
 
+def test_language_model_sorts_single_numbers(tmp_path, monkeypatch):
+    """N-grams aren't sorted by several keys, which took several times as long; vocabularies too wide for single numbers give the same."""
+    rng = np.random.default_rng(11)
+    word, begin = np.minimum(rng.zipf(1.2, 5000), 899).astype(np.int64) - 1, np.array([0, 1, 2000, 4999])
+    word[begin - 1] = 899  # ends
+    u, v, w = steps = next(ngram_lm._steps(word, begin, 900))
+    by = np.lexsort((w, v, u))
+    for width in (902, 1 << 22, 1 << 31):
+        order = ngram_lm.ordered(u, v, w, width)
+        assert all((x[order] == x[by]).all() for x in steps)
+
+    class Words:
+        size, none, number = 900, 901, np.bincount(np.append(word, [900] * len(begin)), minlength=901)
+
+        def look(self, ids):
+            n = np.where((ids < 0) | (ids > 900), 0, self.number[np.clip(ids, 0, 900)])
+            return n, np.log10((n + 1) / 6000)
+
+    class Folder:
+        def local(self, name):
+            return str(tmp_path / name)
+
+    def logs():
+        shards, packed = ngram_lm.Shards(5000), collections.defaultdict(list)
+        for s, x in ngram_lm._counted(u, v, w, Words(), shards, "<u4", 899):
+            packed[s].append(x)
+        for s, x in packed.items():
+            write_file(Folder().local(f"grams-{s}"), ngram_lm.Trie.build(*ngram_lm._merged(x, "<u4", 902), Words(), shards.hot))
+        other = np.where(rng.random(5000) < 0.1, -1, np.roll(word, 7))
+        return [ngram_lm._logs(*x, Words(), shards, Folder()) for x in (steps, next(ngram_lm._steps(other, begin, 900)), [x[:0] for x in steps])]
+
+    state = rng.bit_generator.state
+    monkeypatch.setattr(ngram_lm, "WIDE", 2)
+    wide = logs()
+    monkeypatch.undo()
+    rng.bit_generator.state = state
+    monkeypatch.setattr(np, "lexsort", None)
+    narrow = logs()
+    assert all((a == b).all() for a, b in zip(narrow, wide))
+    pair, triple = collections.Counter(zip(v.tolist(), w.tolist())), collections.Counter(zip(u.tolist(), v.tolist(), w.tolist()))
+    n = Words.number
+    two = lambda b, c: (pair[b, c] + ngram_lm.MU2 * (n[c] + 1) / 6000) / (n[b] + ngram_lm.MU2)
+    three = lambda a, b, c: (triple[a, b, c] + ngram_lm.MU3 * two(b, c)) / ((n[900] if b == 900 else pair[a, b]) + ngram_lm.MU3)
+    assert np.abs(narrow[0] - [math.log10(three(*x)) for x in zip(u.tolist(), v.tolist(), w.tolist())]).max() < 0.03
+
+
 def test_classifier(spark):
     rng = np.random.default_rng(5)
     word = lambda: "".join(rng.choice(list("aeioubdklm"), rng.integers(2, 7)))

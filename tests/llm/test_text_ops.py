@@ -71,7 +71,7 @@ def test_byte_bpe(spark, docs):
     assert sorted(r.ids for r in ids.collect()) == expected
     assert sorted(bytes(r.bytes) for r in byte_bpe.decode(ids, path).collect()) == sorted((r.text or "").encode() for r in docs.collect())
     for r in byte_bpe.round_trip(docs, path).where("doc_id is not null and doc_id <> 1").collect():
-        text = texts[r.doc_id]
+        text = ODD[r.doc_id]
         own = np.array(e.encode_ordinary(text), "<u4").tobytes()
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(own) // 4, hashlib.sha256(own).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
     assert byte_bpe.round_trip(docs.limit(0), path).count() == 0
